@@ -39,7 +39,7 @@ def completeness_colour(pct: Column) -> Column:
 
 def audit_severity(action: Column, success: Column) -> Column:
     """Severity an audit event gets when none is given."""
-    watched = ["permission_denied", "suspicious_activity", "login_failed", "rate_limit_exceeded"]
+    watched = ["security.permission_denied", "security.suspicious", "auth.login_failed", "security.rate_limit"]
     return (F.when(action.isin(watched), "warning").when(~success, "error").otherwise("info"))
 
 

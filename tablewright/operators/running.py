@@ -1,8 +1,8 @@
 """Running totals over a global order without a single-partition window.
 
-Values are first reduced to one row per distinct value, cut into ranges of about
-equal mass, summed per range, and the (few) range offsets are added to a window that
-runs inside each range. A heavy value costs one row, so it cannot make a range heavy.
+Values are reduced to one row per distinct value, cut into ranges of about equal mass,
+summed per range, and the (few) range offsets are added to a window that runs inside
+each range. A heavy value costs one row, so it cannot make a range heavy.
 """
 
 from __future__ import annotations
@@ -14,46 +14,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tablewright.functions.columns import as_double, quoted
 
-def range_bounds(df: DataFrame, value: str, ranges: int) -> list[float]:
-    """At most ``ranges`` − 1 cut points from one approximate-quantile job."""
+RANGE = "__range"
+
+
+def _cuts(df: DataFrame, cols: list[str], ranges: int) -> list[list[float]]:
+    """At most ``ranges`` − 1 cut points per column, all columns in one approximate-quantile job."""
     if ranges < 2:
-        return []
+        return [[] for _ in cols]
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.approxQuantile(value, probs, min(0.01, 1.0 / (4 * ranges)))
-    return sorted(set(cuts))
+    found = df.approxQuantile(cols, probs, min(0.01, 1.0 / (4 * ranges)))
+    return [sorted(set(c)) for c in found]
 
 
-def with_range(df: DataFrame, value: str, cuts: list[float], name: str = "__range") -> DataFrame:
-    """Range number by binary search in the JVM (``Bucketizer``)."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0))
-    out = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
-    return out.withColumn(name, F.col(name).cast("int"))
+def ranged_melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
+                ranges: int | None = None) -> DataFrame:
+    """(keep…, column, value, __range): numeric columns melted, each value with its range number.
 
+    The range is found by binary search in the JVM (``Bucketizer``), cut points per column.
+    """
+    keep = keep or []
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = df.select(*[quoted(k) for k in keep], *[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    names = [f"v{i}" for i in range(len(cols))]
+    splits = [[-float("inf"), *c, float("inf")] for c in _cuts(wide, names, ranges)]
+    splits = [s if len(s) > 2 else [-float("inf"), 0.0, float("inf")] for s in splits]
+    bucketed = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"r{i}" for i in range(len(cols))],
+                          handleInvalid="keep").transform(wide)
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"r{i}").cast("int").alias(RANGE))
+        for i, c in enumerate(cols)])
+    return bucketed.select(*keep, F.inline(rows)).where(F.col("value").isNotNull())
 
-def running_totals(df: DataFrame, value: str, sums: list[str], keys: list[str] | None = None,
-                   descending: bool = False, ranges: int | None = None) -> DataFrame:
+
+def running_totals(counted: DataFrame, value: str, sums: list[str], keys: list[str],
+                   descending: bool = False) -> DataFrame:
     """Adds ``cum_<s>`` for every s in sums: totals up to and including the row's value.
 
-    ``df`` must hold one row per (keys, value), as a group-by leaves it.
+    ``counted`` holds one row per (keys, value) and the value's ``__range``.
     """
-    keys = keys or []
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = with_range(df, value, range_bounds(df, value, ranges))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    range_order = F.col("__range").desc() if descending else F.col("__range").asc()
-    per_range = ranged.groupBy(*keys, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    earlier = W.partitionBy(*keys).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
+    def ordered(name: str):
+        return F.col(name).desc() if descending else F.col(name).asc()
+
+    per_range = counted.groupBy(*keys, RANGE).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    earlier = W.partitionBy(*keys).orderBy(ordered(RANGE)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
-        *keys, "__range",
-        *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums])
-    inside = W.partitionBy(*keys, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(s).over(inside).alias(f"__l_{s}") for s in sums])
-    on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(offsets[k]) for k in [*keys, "__range"]])
-    joined = local.join(offsets, on)
-    keep = [local[c] for c in df.columns]
-    return joined.select(*keep, *[(F.col(f"__l_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums])
+        *keys, RANGE, *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    inside = W.partitionBy(*keys, RANGE).orderBy(ordered(value)).rowsBetween(W.unboundedPreceding, 0)
+    local = counted.select("*", *[F.sum(s).over(inside).alias(f"__l_{s}") for s in sums])
+    on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(offsets[k]) for k in [*keys, RANGE]])
+    keep = [local[c] for c in counted.columns if c != RANGE]
+    return local.join(offsets, on).select(
+        *keep, *[(F.col(f"__l_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums])

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def display_round(c: Column, digits: int) -> Column:
+    """Rounding as NumPy displays it: scale, to the nearest integer with ties to even, scale back."""
+    return F.rint(c * 10.0 ** digits) / 10.0 ** digits
+
+
 def ladder(c: Column, steps: list[tuple[float, str]], default: str, strict: bool = False) -> Column:
     """First label whose lower bound the value reaches (or exceeds, when strict)."""
     out = None

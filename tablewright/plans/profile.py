@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (CATEGORICAL, DATETIME, NUMERIC, as_double, categorical_columns, is_missing,
                                            kind_of, numeric_columns, quoted, schema_frame, stats_rows)
-from tablewright.functions.labels import quality_rating
+from tablewright.functions.labels import display_round, quality_rating
 from tablewright.operators.categories import top_values
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.summary import (QUARTILES, distinct_counts, duplicate_rows, null_counts, text_lengths,
@@ -150,17 +150,17 @@ def quality_columns(df: DataFrame) -> DataFrame:
         base = base.join(F.broadcast(text_lengths(df, texts)), "column", "left")
     else:
         base = base.withColumn("max_length", F.lit(None).cast("bigint"))
-    missing = F.round(F.col("nulls") * 100.0 / F.col("n_rows"), 2)
+    missing = display_round(F.col("nulls") / F.col("n_rows") * 100, 2)
     score = 100 - missing - F.when(F.col("max_length") > 1000, 10).otherwise(0)
     return base.select(
         "column", missing.alias("missing_pct"), "n_unique",
-        F.round(F.col("n_unique") * 100.0 / F.col("n_rows"), 2).alias("unique_pct"),
-        F.round(F.greatest(score, F.lit(0.0)), 1).alias("quality_score"))
+        display_round(F.col("n_unique") / F.col("n_rows") * 100, 2).alias("unique_pct"),
+        display_round(F.greatest(score, F.lit(0.0)), 1).alias("quality_score"))
 
 
 def quality_score(df: DataFrame) -> DataFrame:
     """One row: mean column score and its rating."""
-    overall = F.round(F.avg("quality_score"), 1)
+    overall = display_round(F.avg("quality_score"), 1)
     return (quality_columns(df).agg(overall.alias("overall_score"))
             .withColumn("rating", quality_rating(F.col("overall_score"))))
 

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, chunks, numeric_columns, quoted
 from tablewright.functions.labels import correlation_direction, correlation_strength
 from tablewright.operators.summary import top_variance
 
-PAIRS_PER_AGGREGATE = 40
+PAIRS_PER_AGGREGATE = 28
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are present; null where it is undefined.
+
+    The built-in ``corr`` stops the query on a constant column under ANSI rules.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -27,7 +36,7 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     for part in chunks(pairs, PAIRS_PER_AGGREGATE):
         rows = F.array(*[
             F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                     F.corr(as_double(df, a), as_double(df, b)).alias("correlation"))
+                     pearson(as_double(df, a), as_double(df, b)).alias("correlation"))
             for a, b in part])
         parts.append(df.agg(rows.alias("r")).select(F.inline("r")))
     out = parts[0]
@@ -64,7 +73,7 @@ def correlation_with_target(df: DataFrame, target: str, k: int = 3, cols: list[s
     """The k columns of largest |r| with the target; the target itself takes part with 1."""
     cols = cols or numeric_columns(df)
     t = as_double(df, target)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.abs(F.corr(as_double(df, c), t)).alias("abs_correlation"))
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.abs(pearson(as_double(df, c), t)).alias("abs_correlation"))
                      for c in cols])
     return (df.agg(rows.alias("r")).select(F.inline("r"))
             .where(F.col("abs_correlation").isNotNull() & ~F.isnan("abs_correlation"))

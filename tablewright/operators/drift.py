@@ -92,13 +92,13 @@ def _shares(kind: str, variant: str, method: str) -> tuple[Column, Column]:
         if variant == "service":
             return (r + EPS) / (rt + EPS * k), (c + EPS) / (ct + EPS * k)
         if variant == "deployed":
-            return F.greatest(r / rt, F.lit(FLOOR)), F.greatest(c / ct, F.lit(FLOOR))
+            return F.greatest(F.try_divide(r, rt), F.lit(FLOOR)), F.greatest(F.try_divide(c, ct), F.lit(FLOOR))
     elif variant == "monitor":
         if method == "psi":
-            return F.greatest(r / rt, F.lit(FLOOR)), F.greatest(c / ct, F.lit(FLOOR))
-        return F.when(r == 0, FLOOR).otherwise(r / rt), F.when(c == 0, FLOOR).otherwise(c / ct)
+            return F.greatest(F.try_divide(r, rt), F.lit(FLOOR)), F.greatest(F.try_divide(c, ct), F.lit(FLOOR))
+        return F.when(r == 0, FLOOR).otherwise(F.try_divide(r, rt)), F.when(c == 0, FLOOR).otherwise(F.try_divide(c, ct))
     elif variant == "service":
-        return (r.cast("double"), c.cast("double")) if method == "psi" else (r / rt, c / ct)
+        return (r.cast("double"), c.cast("double")) if method == "psi" else (F.try_divide(r, rt), F.try_divide(c, ct))
     raise ValueError(f"no {variant} variant of {method} for {kind} columns")
 
 

@@ -160,19 +160,19 @@ def score_curve(scored: DataFrame, score: str = "prob", label: str = "actual") -
 def roc_curve(scored: DataFrame, score: str = "prob", label: str = "actual") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score."""
     c = score_curve(scored, score, label)
-    return c.select("threshold", (F.col("fp") / F.col("negatives")).alias("fpr"),
-                    (F.col("tp") / F.col("positives")).alias("tpr"))
+    return c.select("threshold", F.try_divide("fp", "negatives").alias("fpr"),
+                    F.try_divide("tp", "positives").alias("tpr"))
 
 
 def auc(scored: DataFrame, score: str = "prob", label: str = "actual") -> DataFrame:
     """One row: area under the ROC curve. Each step adds its own trapezoid, so no ordering is needed."""
     c = score_curve(scored, score, label)
     area = F.sum(F.col("fp_step") * (F.col("tp") - F.col("tp_step") / 2.0))
-    return c.agg((area / (F.max("positives") * F.max("negatives"))).alias("auc"))
+    return c.agg(F.try_divide(area, F.max("positives") * F.max("negatives")).alias("auc"))
 
 
 def precision_recall_curve(scored: DataFrame, score: str = "prob", label: str = "actual") -> DataFrame:
     """(threshold, precision, recall) for every distinct score."""
     c = score_curve(scored, score, label)
     return c.select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                    (F.col("tp") / F.col("positives")).alias("recall"))
+                    F.try_divide("tp", "positives").alias("recall"))

@@ -19,7 +19,7 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     def stats(d: DataFrame, c: str) -> list[Column]:
         nulls = F.count_if(is_missing(d, c))
         return [F.count(F.lit(1)).alias("n_rows"), nulls.alias("nulls"),
-                (nulls * 100.0 / F.count(F.lit(1))).alias("null_pct")]
+                F.try_divide(nulls * 100.0, F.count(F.lit(1))).alias("null_pct")]
     return stats_rows(df, cols or df.columns, stats)
 
 
@@ -28,7 +28,7 @@ def completeness(df: DataFrame) -> DataFrame:
     return (null_counts(df)
             .agg(F.sum("nulls").alias("missing_cells"), F.sum("n_rows").alias("cells"))
             .select("missing_cells", "cells",
-                    ((1 - F.col("missing_cells") / F.col("cells")) * 100).alias("completeness_pct")))
+                    ((1 - F.try_divide(F.col("missing_cells"), F.col("cells"))) * 100).alias("completeness_pct")))
 
 
 def moments(df: DataFrame, cols: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
         v = as_double(d, c) if kinds[c] == NUMERIC else F.lit(None).cast("double")
         nulls = F.count_if(is_missing(d, c))
         return [F.count(F.lit(1)).alias("n_rows"), nulls.alias("nulls"),
-                (nulls * 100.0 / F.count(F.lit(1))).alias("null_pct"),
+                F.try_divide(nulls * 100.0, F.count(F.lit(1))).alias("null_pct"),
                 F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
 
     out = F.broadcast(schema_frame(df)).join(stats_rows(df, df.columns, stats), "column")
@@ -50,7 +50,7 @@ def profile_summary(df: DataFrame) -> DataFrame:
     return (duplicate_rows(df).crossJoin(F.broadcast(filled)).select(
         "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
         *[F.lit(kinds[k]).cast("bigint").alias(f"{k}_columns") for k in (NUMERIC, CATEGORICAL, DATETIME)],
-        "duplicate_rows", ((1 - F.col("missing_cells") / F.col("cells")) * 100).alias("completeness_pct")))
+        "duplicate_rows", ((1 - F.try_divide(F.col("missing_cells"), F.col("cells"))) * 100).alias("completeness_pct")))
 
 
 def profile_top_values(df: DataFrame, k: int = 10) -> DataFrame:
@@ -130,7 +130,7 @@ def validate(df: DataFrame, required: list[str], max_null_ratio: float = 0.5) ->
     missing = spark.createDataFrame(gone, "column string").select(
         F.lit("missing_required_column").alias("check"), "column", F.lit("issue").alias("severity"),
         F.lit(None).cast("double").alias("value"))
-    nulls = null_counts(df).where(F.col("nulls") / F.col("n_rows") > max_null_ratio).select(
+    nulls = null_counts(df).where(F.col("nulls") > F.col("n_rows") * max_null_ratio).select(
         F.lit("high_null_ratio").alias("check"), "column", F.lit("warning").alias("severity"),
         (F.col("nulls") / F.col("n_rows")).alias("value"))
     constant = distinct_counts(df).where(F.col("n_unique") <= 1).select(
@@ -150,11 +150,11 @@ def quality_columns(df: DataFrame) -> DataFrame:
         base = base.join(F.broadcast(text_lengths(df, texts)), "column", "left")
     else:
         base = base.withColumn("max_length", F.lit(None).cast("bigint"))
-    missing = display_round(F.col("nulls") / F.col("n_rows") * 100, 2)
+    missing = display_round(F.try_divide("nulls", "n_rows") * 100, 2)
     score = 100 - missing - F.when(F.col("max_length") > 1000, 10).otherwise(0)
     return base.select(
         "column", missing.alias("missing_pct"), "n_unique",
-        display_round(F.col("n_unique") / F.col("n_rows") * 100, 2).alias("unique_pct"),
+        display_round(F.try_divide("n_unique", "n_rows") * 100, 2).alias("unique_pct"),
         display_round(F.greatest(score, F.lit(0.0)), 1).alias("quality_score"))
 
 

@@ -126,7 +126,8 @@ def windowed_drift(events: DataFrame, reference: DataFrame, time: str, value: st
     Bin edges come from the reference (one row, broadcast); values outside fall into the outer bins.
     """
     edges = reference.agg(F.min(quoted(value)).alias("lo"), F.max(quoted(value)).alias("hi"))
-    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((quoted(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(
+        F.coalesce(F.try_divide(quoted(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)))
     ref = reference.crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("r"))
     cur = (events.crossJoin(F.broadcast(edges)).groupBy(F.window(quoted(time), width)["start"].alias("start"), place.alias("bin"))
            .agg(F.count(F.lit(1)).alias("c")))

@@ -50,8 +50,10 @@ def crosstab(df: DataFrame, col: str, target: str) -> DataFrame:
     filled = df.where(~is_missing(df, col) & ~is_missing(df, target))
     cells = (filled.groupBy(quoted(col).alias("category"), quoted(target).alias("target"))
              .agg(F.count(F.lit(1)).alias("n")))
-    # category × class names: the table the caller asked for, bounded by its own size
-    full = cells.select("category").distinct().crossJoin(F.broadcast(cells.select("target").distinct()))
+    # the target is a class column: its few names travel as one row and open the absent cells
+    classes = cells.agg(F.collect_set("target").alias("__classes"))
+    full = (cells.select("category").distinct().join(F.broadcast(classes), F.lit(True))
+            .select("category", F.explode("__classes").alias("target")))
     per_row = W.partitionBy("category")
     return (full.join(cells, ["category", "target"], "left").fillna({"n": 0})
             .withColumn("row_pct", F.col("n") * 100.0 / F.sum("n").over(per_row)))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, chunks, numeric_columns, quoted
+from tablewright.functions.columns import as_double, chunks, is_missing, numeric_columns, quoted, stats_rows
 from tablewright.functions.labels import correlation_direction, correlation_strength
 from tablewright.operators.summary import top_variance
 
@@ -23,6 +23,14 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def dense_columns(df: DataFrame, cols: list[str]) -> set[str]:
+    """Columns without a missing value and with some spread: for these ``corr`` itself is safe
+    and costs a third. One narrow job; its result is one row per column."""
+    stats = stats_rows(df, cols, lambda d, c: [
+        F.count_if(is_missing(d, c)).alias("nulls"), F.stddev_pop(as_double(d, c)).alias("std")])
+    return {r["column"] for r in stats.collect() if r["nulls"] == 0 and (r["std"] or 0.0) > 0.0}
+
+
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(feature1, feature2, correlation) for i < j in column order; undefined pairs left out.
 
@@ -32,12 +40,16 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
+    dense = dense_columns(df, cols)
+
+    def one(a: str, b: str) -> Column:
+        x, y = as_double(df, a), as_double(df, b)
+        return F.corr(x, y) if a in dense and b in dense else pearson(x, y)
+
     parts = []
     for part in chunks(pairs, PAIRS_PER_AGGREGATE):
         rows = F.array(*[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                     pearson(as_double(df, a), as_double(df, b)).alias("correlation"))
-            for a, b in part])
+            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), one(a, b).alias("correlation")) for a, b in part])
         parts.append(df.agg(rows.alias("r")).select(F.inline("r")))
     out = parts[0]
     for p in parts[1:]:

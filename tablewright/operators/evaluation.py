@@ -33,8 +33,9 @@ def confusion_matrix(scored: DataFrame, actual: str = "actual", pred: str = "pre
         classes = counts.select(F.explode(F.array("actual", "pred")).alias("c")).distinct()
     else:
         classes = top_classes(counts, top)
-    # class × class is the asked-for matrix; classes are few by nature, and at most `top` when cut
-    square = classes.select(F.col("c").alias("actual")).crossJoin(F.broadcast(classes.select(F.col("c").alias("pred"))))
+    # the names of the classes travel as one row; class × class is the asked-for matrix
+    names = classes.agg(F.collect_list("c").alias("cs"))
+    square = names.select(F.explode("cs").alias("actual"), "cs").select("actual", F.explode("cs").alias("pred"))
     full = square.join(counts, ["actual", "pred"], "left").fillna({"n": 0})
     row = F.sum("n").over(W.partitionBy("actual"))
     return full.select("actual", "pred", "n", ratio(F.col("n"), row).alias("row_share"))

@@ -1,92 +1,71 @@
 """Exact linear-interpolated quantiles without holding a column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in memory of one
-reducer. Here a mergeable sketch first brackets each wanted rank, then a second scan
-counts exactly: values inside a bracket are kept apart (value, count), everything
-between brackets collapses into one (count, min, max) row. Both steps combine on the
-map side, so what is shuffled is a tiny, order-preserving compression of the column.
+Spark's ``percentile`` keeps every distinct value of a group in the memory of one
+reducer, and a sketch per task is costly to build and to merge. Here a sample gives
+a few hundred equal-depth ranges per column; a first scan counts the rows of each
+range exactly, which tells the ranges that hold the wanted ranks; a second scan counts
+the distinct values of those ranges only. Both scans combine on the map side, the
+ranges are found inside generated code, and the sample cannot affect the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tablewright.functions.columns import as_double, melt, quoted
+from tablewright.operators.running import RANGE, ranged_melt, running_totals
 
-ACCURACY = 10_000
-MARGIN = 2.0
+RANGES = 256
+SPLITS = 256
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by: list[str] | None = None,
-                    accuracy: int = ACCURACY) -> DataFrame:
+                    ranges: int = RANGES) -> DataFrame:
     """(by…, column, n, <one column per entry of probs>), NaN and null skipped.
 
     ``probs`` maps output names to probabilities. Columns without a value give no row.
     """
     by = by or []
     keys = [*by, "column"]
-    ordered = sorted(set(probs.values()))
-    slack = MARGIN / accuracy
-    lows = [max(0.0, p - slack) for p in ordered]
-    highs = [min(1.0, p + slack) for p in ordered]
-
-    def bracket(c: str):
-        # one sketch per column answers all edges: lows first, then highs
-        return F.struct(F.lit(c).alias("column"),
-                        F.percentile_approx(as_double(df, c), [*lows, *highs], accuracy).alias("edges"))
+    long = ranged_melt(df, cols, by, ranges)
+    counted = long.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    whole = W.partitionBy(*keys)  # at most `ranges` rows
+    placed = counted.select(
+        *keys, RANGE, "m", "lo", "hi", F.sum("m").over(whole).alias("n"),
+        F.coalesce(F.sum("m").over(whole.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
-    sketch = (
-        df.groupBy(*[quoted(b) for b in by])
-        .agg(F.array(*[bracket(c) for c in cols]).alias("__rows"))
-        .select(*by, F.inline("__rows"))
-        .where(F.col("edges").isNotNull())
-        .select(*keys, F.slice("edges", 1, len(ordered)).alias("lo"),
-                F.slice("edges", len(ordered) + 1, len(ordered)).alias("hi"))
-    )
-    if not by:
-        sketch = F.broadcast(sketch)  # one row per column of the schema
+    def ranks(p: float):
+        position = F.lit(p) * (F.col("n") - 1)
+        low = F.floor(position)
+        return low, F.least(low + 1, F.col("n") - 1), position - low
 
-    long = melt(df, cols, by)
-    if by:
-        marked = long.alias("l").join(
-            sketch.alias("s"),
-            [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by] + [F.col("l.column") == F.col("s.column")],
-        ).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.value").alias("value"), "lo", "hi")
-    else:
-        marked = long.join(sketch, "column")
-    inside = F.exists(F.arrays_zip("lo", "hi"), lambda b: (F.col("value") >= b["lo"]) & (F.col("value") <= b["hi"]))
-    compressed = (
-        marked.select(
-            *keys, "value",
-            F.size(F.filter("hi", lambda h: F.col("value") > h)).alias("__zone"),
-            F.when(inside, F.col("value")).alias("__exact"))
-        .groupBy(*keys, "__zone", "__exact")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    )
+    def holds(rank):
+        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("m"))
 
-    whole = W.partitionBy(*keys)
-    running = whole.orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
-    placed = compressed.select(
-        *keys, "m", "lo", "hi",
-        F.coalesce(F.sum("m").over(running), F.lit(0)).alias("before"),
-        F.sum("m").over(whole).alias("n"))
+    wanted = reduce(lambda a, b: a | b, [holds(r) for p in probs.values() for r in ranks(p)[:2]])
+    targets = placed.where(wanted).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(RANGE).alias("__kr"),
+                                          "lo", "hi", "n", "before")
+    if not by:
+        targets = F.broadcast(targets)  # two rows per column and probability
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) if k in by else F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
+    near = long.join(targets, [*on, F.col(RANGE) == F.col("__kr")])
+    # equal-width pieces of a range: the window below runs inside one piece
+    piece = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLITS),
+                                                     F.lit(SPLITS - 1))).otherwise(0)
+    values = (near.groupBy(*keys, F.col("__kr").alias("__in"), "n", "before", "value", piece.alias(RANGE))
+              .agg(F.count(F.lit(1)).alias("c")))
+    exact = running_totals(values, "value", ["c"], [*keys, "__in"])
+    last = F.col("before") + F.col("cum_c")
 
-    def at_rank(rank):
-        b, m = F.col("before"), F.col("m")
-        value = (
-            F.when((F.col("lo") == F.col("hi")) | (rank == b), F.col("lo"))
-            .when(rank == b + m - 1, F.col("hi"))
-            .otherwise(F.raise_error(F.lit("quantile bracket missed a rank; raise accuracy")).cast("double")))
-        return F.max(F.when((rank >= b) & (rank < b + m), value))
+    def value_at(rank):
+        return F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("value")))
 
     def quantile(p: float):
-        position = F.lit(p) * (F.col("n") - 1)
-        low = F.floor(position)
-        high = F.least(low + 1, F.col("n") - 1)
-        a, b = at_rank(low), at_rank(high)
-        return a + (b - a) * F.max(position - low)
+        low, high, fraction = ranks(p)
+        a, b = value_at(low), value_at(high)
+        return a + (b - a) * F.max(fraction)
 
-    return placed.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[quantile(p).alias(name) for name, p in probs.items()])
+    return exact.groupBy(*keys).agg(F.max("n").alias("n"), *[quantile(p).alias(name) for name, p in probs.items()])

@@ -136,8 +136,9 @@ def shapley_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int
     explained = _sample_vectors(model, df, key, rows)
     back = sample_n(df, key, background, seed + 1)
     b = _sample_vectors(model, back, key, background).select(F.col("id").alias("b"), F.col("x").alias("z"))
-    # rows × background is the bounded design of the estimator, not a function of the input size
-    pairs = explained.select("id", "x").crossJoin(F.broadcast(b))
+    # the background is a fixed, small number of rows and travels as one array
+    drawn = b.agg(F.collect_list(F.struct("b", "z")).alias("drawn"))
+    pairs = explained.select("id", "x").join(F.broadcast(drawn), F.lit(True)).select("id", "x", F.inline("drawn"))
     walks = F.posexplode(F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders]))
     steps = (pairs.select("id", "b", "x", "z", walks.alias("p", "order"))
              .select("id", "b", "p", "x", "z", "order", F.posexplode(F.sequence(F.lit(0), F.lit(k))).alias("step", "_")))

@@ -28,7 +28,7 @@ def values(df, name):
     return [r[name] for r in df.orderBy("k", "t", "id").collect()]
 
 
-@pytest.mark.parametrize("seconds", [100, 7_000, 10_000_000])
+@pytest.mark.parametrize("seconds", [7_000, 10_000_000])
 def test_previous_next_and_numbers(frame, log, seconds):
     g = log.groupby("k")
     prev = values(ordered.previous_value(frame, ["k"], "t", ["id"], "id", "p", seconds), "p")
@@ -52,7 +52,7 @@ def test_latest_and_last_n(frame, log):
     assert set(kept["id"]) == set(log.groupby("k").tail(30)["id"])
 
 
-@pytest.mark.parametrize("bucket", [50, 5_000, 10_000_000])
+@pytest.mark.parametrize("bucket", [500, 10_000_000])
 def test_point_in_time_join(spark, bucket):
     rng = np.random.default_rng(2)
     left = pd.DataFrame({"e": np.where(rng.random(400) < 0.6, 1, rng.integers(2, 9, 400)), "t": rng.integers(0, 30_000, 400) * 1_000_000, "id": range(400)})

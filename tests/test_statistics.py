@@ -23,7 +23,7 @@ def frame():
 
 
 @pytest.mark.parametrize("parts", [1, 7])
-@pytest.mark.parametrize("ranges", [1, 9, 1024])
+@pytest.mark.parametrize("ranges", [1, 256])
 def test_quantiles(spark, frame, rows_by, parts, ranges):
     df = spark.createDataFrame(frame).repartition(parts)
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.951, "e": 1.0}
@@ -69,7 +69,7 @@ def test_nan_is_missing(spark, rows_by):
     assert rows_by(summary.numeric_summary(df), "column")["x"]["mean"] == 1.0
 
 
-@pytest.mark.parametrize("bins", [5, 10, 20])
+@pytest.mark.parametrize("bins", [10, 20])
 def test_histogram_like_numpy(spark, frame, bins):
     df = spark.createDataFrame(frame)
     rows = histograms.histogram(df, ["skewed", "ints", "gaps", "flat"], bins).collect()

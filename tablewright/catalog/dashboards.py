@@ -41,7 +41,7 @@ def _(t):
 QUALITY = f"""
 WITH p AS ({small_profile_sql(LINEITEM_N, N_TYPES)}),
 q AS (SELECT "column", round_even(nulls / n_rows * 100, 2) AS missing_pct, n_unique, round_even(n_unique / n_rows * 100, 2) AS unique_pct,
-  round(100 - round_even(nulls / n_rows * 100, 2), 1) AS quality_score FROM p)"""
+  round_even(100 - round_even(nulls / n_rows * 100, 2), 1) AS quality_score FROM p)"""
 
 
 @query("quality_columns", "I4", QUALITY + " SELECT * FROM q")
@@ -50,8 +50,8 @@ def _(t):
 
 
 @query("quality_score", "I4 H20", QUALITY + """
-SELECT round(avg(quality_score), 1) AS overall_score, CASE WHEN round(avg(quality_score), 1) >= 95 THEN 'Excellent'
-  WHEN round(avg(quality_score), 1) >= 80 THEN 'Good' WHEN round(avg(quality_score), 1) >= 60 THEN 'Fair' ELSE 'Needs Improvement' END AS rating
+SELECT round_even(avg(quality_score), 1) AS overall_score, CASE WHEN round_even(avg(quality_score), 1) >= 95 THEN 'Excellent'
+  WHEN round_even(avg(quality_score), 1) >= 80 THEN 'Good' WHEN round_even(avg(quality_score), 1) >= 60 THEN 'Fair' ELSE 'Needs Improvement' END AS rating
 FROM q""")
 def _(t):
     return prof.quality_score(t.lineitem_n)

@@ -319,3 +319,14 @@ def _(t):
 def _(t):
     x = F.col("p_retailprice") / 7
     return t.part.select("p_partkey", F.round(x, 2).alias("r2"), F.round(x, 4).alias("r4"))
+
+
+@query("date_detection", "H9", """
+SELECT 'stamp' AS "column", count(*) AS n, count(ts) AS parsed, max(ts)::DATE::VARCHAR AS last_day FROM events""")
+def _(t):
+    df = t.events.select(F.col("ts").cast("string").alias("stamp"), "event_type", "props")
+    found = text.date_like_columns(df)
+    times = df.select(*[F.try_to_timestamp(F.col(c)).alias(c) for c in found])
+    return times.agg(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count(c).alias("parsed"),
+        F.max(c).cast("date").cast("string").alias("last_day")) for c in found]).alias("r")).select(F.inline("r"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import packing, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
+from tablewright.llm import lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.sentencepiece_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece]
-SQL: dict[str, str] = {}
+def op10_lm_scoring(spark, sf_dir):
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece, op10_lm_scoring]
+SQL: dict[str, str] = {"op10_lm_scoring": lm_scoring.SQL}
 
 
 def queries():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
+from tablewright.llm import lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.sentencepiece_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece, op10_lm_scoring]
+QUERIES = [op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
+           op9_suffix_dedup, op10_lm_scoring]
 SQL: dict[str, str] = {"op10_lm_scoring": lm_scoring.SQL}
 
 

@@ -13,8 +13,7 @@ documents have to be compared.
    tell for every 50-byte window around the anchor which surroundings share it, and so its smallest id.
 3. The chunk gets one bit for each window and removes what the windows cover.
 
-A passage in very many documents is one surrounding in each chunk, so it makes no partition hot. Documents that equal a
-whole earlier one are settled before, by their digest.
+A passage in very many documents is one surrounding in each chunk, so it makes no partition hot.
 
 Null texts are empty. Rows with equal ids do not count against each other. Rows with a null id are left as they are
 and remove nothing elsewhere.
@@ -332,13 +331,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc_id", "text"] if digest else [id_col, text_col]
     chunks = max(1, CHUNKS * source.rdd.getNumPartitions())
     id_, text = quoted(names[0]), quoted(names[1])
-    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    marked = source.select("*", body.alias("__digest"))
-    copies = (marked.where(id_.isNotNull() & (F.octet_length(text) >= LENGTH)).groupBy("__digest")
-              .agg(F.min(id_).alias("__least"), F.max(id_).alias("__most")).where("__least < __most").drop("__most"))
-    dealt = (marked.join(copies, "__digest", "left")
-             .withColumn("__copy", F.coalesce(F.col("__least") < id_, F.lit(False))).drop("__least", "__digest")
-             .withColumn("__chunk", F.pmod(F.xxhash64(id_, F.octet_length(text)), F.lit(chunks)).cast("int")))
+    dealt = source.withColumn("__chunk", F.pmod(F.xxhash64(id_, F.octet_length(text)), F.lit(chunks)).cast("int"))
     ddl = {"ask": "bucket int, chunk int, kind int, body binary, more binary", "answer": "chunk int, bucket int, kind int, body binary"}
     ask, answer = (to_arrow_schema(T.StructType.fromDDL(d)) for d in ddl.values())
     out = T.StructType([source.schema["doc_id"]] + T.StructType.fromDDL(SCHEMA).fields) if digest else docs.schema
@@ -348,9 +341,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
     def chunk_of(table: pa.Table) -> Chunk:
-        copy = table.column("__copy").to_pylist()
-        ids = table.column(names[0]).to_pylist()
-        return Chunk([None if c else i for i, c in zip(ids, copy)], table.column(names[1]).to_pylist())
+        return Chunk(table.column(names[0]).to_pylist(), table.column(names[1]).to_pylist())
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         pack, _ = tools()
@@ -384,24 +375,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows.append((c, b, 0, int(len(k)).to_bytes(8, "little") + pack(np.packbits(shared[place[e - len(k):e]]).tobytes())))
         return _table(rows, answer)
 
-    def anchors_of(chunk: Chunk, answers: list) -> np.ndarray:
-        """Is each anchor of the chunk, in order, shared."""
-        _, unpack = tools()
-        bits = [np.unpackbits(np.frombuffer(unpack(x[8:]), np.uint8), count=int.from_bytes(x[:8], "little"))
-                for _, x in sorted(answers)]
-        keys, _ = chunk.keys()
-        place = np.unique(keys, return_inverse=True)[1]
-        return np.concatenate(bits)[place].astype(bool) if bits else np.zeros(0, bool)
+    def bits_of(x: bytes) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(tools()[1](x[8:]), np.uint8), count=int.from_bytes(x[:8], "little")).astype(bool)
+
+    def shared_of(chunk: Chunk, by_key: np.ndarray) -> np.ndarray:
+        """Is each anchor of the chunk shared; the bits come by sorted distinct hash, whatever the order of the rows."""
+        return by_key[np.unique(chunk.keys()[0], return_inverse=True)[1]]
 
     def ask_surroundings(table: pa.Table, answers: pa.Table) -> pa.Table:
         pack, _ = tools()
         if not table.num_rows:
             return ask.empty_table()
         number, chunk = table.column("__chunk")[0].as_py(), chunk_of(table)
-        shared = anchors_of(chunk, list(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist())))
-        text, left, right, least, *_ = chunk.distinct(shared)
+        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist()))
+        by_key = np.concatenate([np.zeros(0, bool)] + [bits_of(x) for _, x in parts])
+        text, left, right, least, *_ = chunk.distinct(shared_of(chunk, by_key))
         bucket = _bucket(text, chunks)
-        rows = [(number, number, 1, pack(np.packbits(shared).tobytes()), int(len(shared)).to_bytes(8, "little"))]
+        rows = [(number, number, 1, pack(np.packbits(by_key).tobytes()), int(len(by_key)).to_bytes(8, "little"))]
         for b in np.unique(bucket):
             own = bucket == b
             rows.append((int(b), number, 2, pack(text[own].tobytes()),
@@ -432,8 +422,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _, unpack = tools()
         chunk = chunk_of(table)
         parts = list(zip(answers.column("bucket").to_pylist(), answers.column("kind").to_pylist(), answers.column("body").to_pylist()))
-        own = next(x for _, kind, x in parts if kind == 1)
-        shared = np.unpackbits(np.frombuffer(unpack(own[8:]), np.uint8), count=int.from_bytes(own[:8], "little")).astype(bool)
+        shared = shared_of(chunk, bits_of(next(x for _, kind, x in parts if kind == 1)))
         text = chunk.distinct(shared)[0]
         bucket = _bucket(text, chunks)
         bits = np.zeros(len(text), np.uint32)
@@ -441,7 +430,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if kind == 2:
                 bits[bucket == b] = np.frombuffer(unpack(x), "<u4")
         whole = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(names[1]).to_pylist()]
-        kept = [(b"", len(d), 1) if c else (d, 0, 0) for d, c in zip(whole, table.column("__copy").to_pylist())]
+        kept = [(d, 0, 0) for d in whole]
         for number, data, removed, spans in _kept(chunk, shared, bits):
             kept[number] = (data, removed, spans)
         if digest:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
+from tablewright.llm import embedding_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.sentencepiece_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,8 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
-           op9_suffix_dedup, op10_lm_scoring]
+QUERIES = [op2_embedding_dedup, op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
+           op8_ngram_join, op9_suffix_dedup, op10_lm_scoring]
 SQL: dict[str, str] = {"op10_lm_scoring": lm_scoring.SQL}
 
 

@@ -102,7 +102,8 @@ def _first_paths(runs: int):
             for r in range(runs):
                 for k in range(fanout(r)):
                     c = _draw(r, k) % COORDINATES
-                    h = (values[:, c].astype(np.uint64) + np.uint64(1 + (r * 2 + k) * COORDINATES + c) * _seeds[0, 0]) * _seeds[1, 1]
+                    place = np.uint64((1 + (r * 2 + k) * COORDINATES + c) * int(_seeds[0, 0]) % (1 << 64))
+                    h = (values[:, c].astype(np.uint64) + place) * _seeds[1, 1]
                     h = (h ^ (h >> np.uint64(31))) * _seeds[0, 1]
                     yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array((h ^ (h >> np.uint64(30))).view(np.int64))], ["rep", "path"])
     return split

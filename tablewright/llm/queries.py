@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import embedding_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
+from tablewright.llm import embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark, sf_dir):
+    return license_scan.license_matches(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
 def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -49,9 +53,9 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_embedding_dedup, op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
+QUERIES = [op1_license_scan, op2_embedding_dedup, op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
            op8_ngram_join, op9_suffix_dedup, op10_lm_scoring]
-SQL: dict[str, str] = {"op10_lm_scoring": lm_scoring.SQL}
+SQL: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op10_lm_scoring": lm_scoring.SQL}
 
 
 def queries():

@@ -103,8 +103,9 @@ def license_matches(docs: DataFrame, notices: DataFrame, threshold: float = THRE
     table = table.select("license_id", "size", "width", "shingles", F.posexplode(_minima(F.col("piece"))).alias("band", "minimum"))
     sizes = sorted(windows)
     wanted = {k: F.array(*[F.lit(h) for h in sorted({h for r in rows if r["size"] == k for h in r["all"]})]) for k in sizes}
-    found = source.where(F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("w"))
-    found = found.select("doc_id", *[shingles_of(F.col("w"), k).alias(f"s{k}") for k in sizes])
+    # one-row generators: words and shingles are computed once, not again wherever a later expression names them
+    found = source.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array(words_of(F.col("text")))).alias("w"))
+    found = found.select("doc_id", F.inline(F.array(F.struct(*[shingles_of(F.col("w"), k).alias(f"s{k}") for k in sizes]))))
     hit = F.lit(False)
     for k in sizes:
         hit = hit | F.arrays_overlap(f"s{k}", wanted[k])

@@ -134,7 +134,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     words = often + [once[i] for i in rng.permutation(len(once))[:RARE_TYPES]]
     counts = np.array([seen[w] for w in words], np.float64)
     share = counts / np.maximum(1, np.bincount(y[~aside], minlength=2))  # the share of the texts of each class with the word
-    weight = np.sqrt(share * len(texts))
+    # two texts of either class are added, so that words of a few texts, which may be there by chance, stay near even
+    n = share * (~aside).sum() / 2
+    weight = np.sqrt(n.sum(1, keepdims=True)) * (n + 2) / (n.sum(1, keepdims=True) + 4)
     ids, owners = word_grams(words)
     begin = np.searchsorted(owners, np.arange(len(words) + 1))
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)

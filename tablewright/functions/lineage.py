@@ -7,6 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def local_folder(master: str, prefix: str) -> str:
+    """A temporary folder for a local master; elsewhere executors could not see it."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
@@ -17,5 +24,5 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
+        sc.setCheckpointDir(configured or local_folder(sc.master, "tablewright-checkpoint-"))
     return df.checkpoint(eager=eager)

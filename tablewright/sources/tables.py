@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from functools import reduce
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.lineage import local_folder
+
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet"}
 
 
@@ -19,7 +20,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/tablewright-{uuid.uuid4().hex}/{name}"
-    return os.path.join(tempfile.mkdtemp(prefix="tablewright-"), name)
+    return os.path.join(local_folder(spark.sparkContext.master, "tablewright-"), name)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

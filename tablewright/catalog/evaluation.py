@@ -24,6 +24,33 @@ def _(t):
     return rounded(ev.confusion_matrix(t.scored_multi))
 
 
+NULL_LABELS = f"(SELECT CASE WHEN actual <> 'P' THEN actual END AS actual, CASE WHEN pred <> 'F' THEN pred END AS pred FROM {SCORED_MULTI})"
+
+
+def null_labels(t):
+    return t.scored_multi.select(F.when(F.col("actual") != "P", F.col("actual")).alias("actual"),
+                                 F.when(F.col("pred") != "F", F.col("pred")).alias("pred"))
+
+
+@query("confusion_matrix_null_labels", "D23", matrix_sql(NULL_LABELS).replace(
+    "k.actual = a.c AND k.pred = b.c", "k.actual IS NOT DISTINCT FROM a.c AND k.pred IS NOT DISTINCT FROM b.c") + """
+SELECT actual, pred, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0), 6) AS row_share FROM f""")
+def _(t):
+    return rounded(ev.confusion_matrix(null_labels(t)))
+
+
+@query("per_class_metrics_null_labels", "D24", f"""
+WITH k AS (SELECT * FROM {NULL_LABELS}), c AS (SELECT actual AS c FROM k UNION SELECT pred FROM k),
+m AS (SELECT c, (SELECT count(*) FROM k WHERE actual IS NOT DISTINCT FROM c) AS support,
+  (SELECT count(*) FROM k WHERE pred IS NOT DISTINCT FROM c) AS predicted,
+  (SELECT count(*) FROM k WHERE actual IS NOT DISTINCT FROM c AND pred IS NOT DISTINCT FROM c) AS tp FROM c),
+p AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r FROM m)
+SELECT c AS "class", round(p, 6) AS precision, round(r, 6) AS recall,
+  round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support::BIGINT AS support FROM p""")
+def _(t):
+    return rounded(ev.per_class_metrics(null_labels(t)))
+
+
 BRANDS = ("(SELECT p_brand AS actual, CASE WHEN p_size > 25 THEN p_brand ELSE 'Brand#1' END AS pred FROM part)")
 
 
@@ -53,7 +80,7 @@ p AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS p, coalesce(tp / nulli
 SELECT c AS "class", round(p, 6) AS precision, round(r, 6) AS recall,
   round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support::BIGINT AS support FROM p""")
 def _(t):
-    return rounded(ev.per_class_metrics(brands(t)))
+    return rounded(ev.per_class_metrics(brands(t), top=10))
 
 
 @query("rows_of_top_classes", "C7", f"""
@@ -94,6 +121,19 @@ def _(t):
     return rounded(ev.regression_metrics(t.scored_reg), mse=2, rmse=4, mae=4)
 
 
+GAPS = f"(SELECT actual, CASE WHEN floor(actual) % 10 <> 0 THEN pred END AS pred FROM {SCORED_REG})"
+
+
+@query("regression_metrics_gaps", "D26", f"""
+SELECT round(avg(power(actual - pred, 2)), 2) AS mse, round(sqrt(avg(power(actual - pred, 2))), 4) AS rmse,
+  round(avg(abs(actual - pred)), 4) AS mae,
+  round(1 - sum(power(actual - pred, 2)) / (var_pop(actual) * count(*)), 6) AS r2_score, count(*) AS sample_count
+FROM {GAPS} WHERE pred IS NOT NULL""")
+def _(t):
+    gaps = t.scored_reg.withColumn("pred", F.when(F.floor("actual") % 10 != 0, F.col("pred")))
+    return rounded(ev.regression_metrics(gaps), mse=2, rmse=4, mae=4)
+
+
 @query("residual_summary", "D27", f"""
 SELECT count(*) AS n, round(avg(actual - pred), 4) AS mean, round(stddev_pop(actual - pred), 4) AS std FROM {SCORED_REG}""")
 def _(t):

@@ -195,6 +195,17 @@ def _(t):
     return out.select("event_id", "previous")
 
 
+@query("previous_value_nulls", "E7", """
+SELECT event_id, lag(v) OVER w AS previous, lead(v) OVER w AS following
+FROM (SELECT *, CASE WHEN event_id % 3 <> 0 THEN event_id END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def _(t):
+    v = F.when(F.col("event_id") % 3 != 0, F.col("event_id"))
+    out = t.events.select("user_id", "ts", "event_id", v.alias("v"))
+    for step, name in ((ordered.previous_value, "previous"), (ordered.next_value, "following")):
+        out = step(out, ["user_id"], "ts", ["event_id"], "v", name)
+    return out.select("event_id", "previous", "following")
+
+
 @query("row_numbers", "E5", """
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events""")
 def _(t):

@@ -220,6 +220,20 @@ def _(t):
     return ex.deployment_states(deploys(t))
 
 
+@query("deployment_states_retried", "O11", """
+WITH e AS (SELECT o_orderpriority AS environment, o_custkey AS deployment_id, o_orderkey AS tm,
+  CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'rollback' ELSE 'deployed' END AS kind FROM orders),
+s AS (SELECT environment, deployment_id, tm, lead(kind) OVER (PARTITION BY environment ORDER BY tm, deployment_id) AS nk FROM e WHERE kind <> 'failed'),
+a AS (SELECT environment, deployment_id, tm, CASE WHEN nk IS NULL THEN 'active' WHEN nk = 'rollback' THEN 'rolled_back' ELSE 'superseded' END AS state FROM s
+  UNION ALL SELECT environment, deployment_id, tm, 'failed' FROM e WHERE kind = 'failed')
+SELECT environment, deployment_id, arg_max(state, tm) AS state FROM a GROUP BY ALL""")
+def _(t):
+    events = t.orders.select(
+        F.col("o_orderpriority").alias("environment"), F.col("o_custkey").alias("deployment_id"), F.col("o_orderkey").alias("at"),
+        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "rollback").otherwise("deployed").alias("kind"))
+    return ex.deployment_states(events)
+
+
 @query("active_deployments", "O11", f"""
 SELECT environment, deployment_id FROM {DEPLOYS} WHERE kind <> 'failed'
 QUALIFY row_number() OVER (PARTITION BY environment ORDER BY tm DESC, deployment_id DESC) = 1""")

@@ -158,6 +158,17 @@ def _(t):
                                        {"p25": 0.25, "p75": 0.75, "p95": 0.95}))
 
 
+@query("percentiles_infinite", "D10 H10", """
+WITH x AS (SELECT CASE WHEN l_partkey % 10 = 0 THEN 'inf'::DOUBLE WHEN l_partkey % 10 = 1 THEN '-inf'::DOUBLE ELSE l_extendedprice END AS price
+FROM lineitem)
+SELECT 'price' AS "column", count(*) AS n, round(quantile_cont(price, 0.25), 6) AS p25, round(quantile_cont(price, 0.75), 6) AS p75,
+  round(quantile_cont(price, 0.8), 6) AS p80 FROM x""")
+def _(t):
+    part = F.col("l_partkey") % 10
+    price = (F.when(part == 0, F.lit(float("inf"))).when(part == 1, F.lit(float("-inf"))).otherwise(F.col("l_extendedprice")))
+    return rounded(summary.percentiles(t.lineitem.select(price.alias("price")), ["price"], {"p25": 0.25, "p75": 0.75, "p80": 0.8}))
+
+
 def histogram_sql(source: str, cols, bins: int = 20) -> str:
     """NumPy's rule in SQL: a guess by division, corrected against the edges."""
     return union_all(f"""

@@ -126,16 +126,12 @@ def flatten_struct(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*out)
 
 
-def date_like_columns(df: DataFrame, probe_rows: int = 100) -> list[str]:
-    """Text columns whose first ``probe_rows`` non-null values all parse as a time.
-
-    This is the detection rule, a bounded peek; no result rows are cut.
-    """
+def date_like_columns(df: DataFrame) -> list[str]:
+    """Text columns of which every non-null value parses as a time; one aggregate over all rows."""
     texts = categorical_columns(df)
     if not texts:
         return []
-    head = df.select(*[quoted(c) for c in texts]).limit(probe_rows)
-    row = head.agg(*[
+    row = df.agg(*[
         F.struct(F.count(quoted(c)).alias("n"), F.count(F.try_to_timestamp(quoted(c))).alias("ok")).alias(c)
         for c in texts]).first()
     return [c for c in texts if row[c]["n"] > 0 and row[c]["n"] == row[c]["ok"]]

@@ -26,7 +26,7 @@ def confusion_matrix(scored: DataFrame, actual: str = "actual", pred: str = "pre
                      top: int | None = None) -> DataFrame:
     """(actual, pred, n, row_share) with every cell of the class square.
 
-    With ``top`` only the most frequent actual classes are kept, on both axes.
+    With ``top`` only the most frequent actual classes are kept, on both axes. A null label is a class of its own.
     """
     counts = confusion_counts(scored, actual, pred)
     if top is None:
@@ -34,9 +34,10 @@ def confusion_matrix(scored: DataFrame, actual: str = "actual", pred: str = "pre
     else:
         classes = top_classes(counts, top)
     # the names of the classes travel as one row; class × class is the asked-for matrix
-    names = classes.agg(F.collect_list("c").alias("cs"))
-    square = names.select(F.explode("cs").alias("actual"), "cs").select("actual", F.explode("cs").alias("pred"))
-    full = square.join(counts, ["actual", "pred"], "left").fillna({"n": 0})
+    names = classes.agg(F.collect_list(F.struct("c")).alias("cs"))
+    square = names.select(F.inline("cs").alias("actual"), "cs").select("actual", F.inline("cs").alias("pred"))
+    full = square.join(counts.toDF("__a", "__p", "n"), F.col("actual").eqNullSafe(F.col("__a")) & F.col("pred").eqNullSafe(F.col("__p")),
+                       "left").select("actual", "pred", F.coalesce("n", F.lit(0)).alias("n"))
     row = F.sum("n").over(W.partitionBy("actual"))
     return full.select("actual", "pred", "n", ratio(F.col("n"), row).alias("row_share"))
 
@@ -54,15 +55,24 @@ def rows_of_top_classes(scored: DataFrame, k: int, actual: str = "actual", pred:
 
 
 def per_class_metrics(scored: DataFrame, actual: str = "actual", pred: str = "pred",
-                      top: int | None = 10) -> DataFrame:
-    """(class, precision, recall, f1, support); false positives count within the shown classes only."""
-    cells = confusion_matrix(scored, actual, pred, top)
-    hit = F.col("actual") == F.col("pred")
+                      top: int | None = None) -> DataFrame:
+    """(class, precision, recall, f1, support) of all classes, or of the ``top`` most frequent ones.
+
+    False positives count within the shown classes only. Comes from the counts that occur, not from the square.
+    """
+    cells = confusion_counts(scored, actual, pred)
+    if top is not None:
+        keep = F.broadcast(top_classes(cells, top))  # at most ``top`` rows
+        for side in ("actual", "pred"):
+            cells = cells.join(keep, F.col(side).eqNullSafe(F.col("c")), "left_semi")
+    hit = F.col("actual").eqNullSafe(F.col("pred"))
     rows = cells.groupBy(F.col("actual").alias("class")).agg(
         F.sum("n").alias("support"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"))
     cols = cells.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
+    both = (rows.withColumn("predicted", F.lit(0)).unionByName(cols.withColumns({"support": F.lit(0), "tp": F.lit(0)}))
+            .groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")]))
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return rows.join(cols, "class").select(
+    return both.select(
         "class", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
 
 
@@ -90,10 +100,10 @@ def classification_metrics(scored: DataFrame, actual: str = "actual", pred: str
 
 def regression_metrics(scored: DataFrame, actual: str = "actual", pred: str = "pred",
                        by: list[str] | None = None) -> DataFrame:
-    """(by…, mse, rmse, mae, r2_score, sample_count) in one aggregate."""
+    """(by…, mse, rmse, mae, r2_score, sample_count) in one aggregate, over rows that have both values."""
     a, e = F.col(actual).cast("double"), F.col(actual).cast("double") - F.col(pred).cast("double")
     out = scored.groupBy(*(by or [])).agg(
-        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(a).alias("__v"),
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(F.when(e.isNotNull(), a)).alias("__v"),
         F.count(e).alias("sample_count"))
     return out.select(
         *(by or []), "mse", F.sqrt("mse").alias("rmse"), "mae",
@@ -131,13 +141,16 @@ def calibration_curve(scored: DataFrame, prob: str = "prob", label: str = "actua
                  F.count(F.lit(1)).alias("n")))
 
 
-def class_distribution(scored: DataFrame, actual: str = "actual", pred: str = "pred", k: int = 10) -> DataFrame:
-    """(side, class, n): the k most frequent classes, actual and predicted."""
+def class_distribution(scored: DataFrame, actual: str = "actual", pred: str = "pred",
+                       k: int | None = None) -> DataFrame:
+    """(side, class, n): all classes, or the k most frequent ones, actual and predicted."""
     counts = confusion_counts(scored, actual, pred)
     parts = []
     for side in ("actual", "pred"):
-        parts.append(counts.groupBy(F.col(side).cast("string").alias("class")).agg(F.sum("n").alias("n"))
-                     .orderBy(F.col("n").desc(), "class").limit(k).select(F.lit(side).alias("side"), "class", "n"))
+        sums = counts.groupBy(F.col(side).cast("string").alias("class")).agg(F.sum("n").alias("n"))
+        if k is not None:
+            sums = sums.orderBy(F.col("n").desc(), "class").limit(k)
+        parts.append(sums.select(F.lit(side).alias("side"), "class", "n"))
     return parts[0].unionByName(parts[1])
 
 

@@ -184,15 +184,16 @@ def deployment_states(events: DataFrame) -> DataFrame:
     """(environment, deployment_id, state): failed / active / superseded / rolled_back.
 
     ``kind`` is deployed, rollback (the named deployment became active again) or failed. An
-    active deployment is superseded by the next deployment, rolled back by the next rollback.
+    active deployment is superseded by the next deployment, rolled back by the next rollback. The last event of a
+    deployment decides, so one that failed first and went live later is not failed.
     """
     live = events.where(F.col("kind") != "failed")
     following = next_value(live, ["environment"], "at", ["deployment_id"], "kind", "next_kind", seconds=30 * 86_400)
     state = (F.when(F.col("next_kind").isNull(), "active").when(F.col("next_kind") == "rollback", "rolled_back")
              .otherwise("superseded"))
-    last = following.withColumn("state", state).groupBy("environment", "deployment_id").agg(F.max_by("state", "at").alias("state"))
-    failed = events.where(F.col("kind") == "failed").select("environment", "deployment_id", F.lit("failed").alias("state"))
-    return last.unionByName(failed)
+    failed = events.where(F.col("kind") == "failed").select("environment", "deployment_id", "at", F.lit("failed").alias("state"))
+    return (following.select("environment", "deployment_id", "at", state.alias("state")).unionByName(failed)
+            .groupBy("environment", "deployment_id").agg(F.max_by("state", F.struct("at", "state")).alias("state")))
 
 
 def active_deployments(events: DataFrame) -> DataFrame:

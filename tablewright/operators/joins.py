@@ -68,9 +68,19 @@ def point_in_time_join(entity_df: DataFrame, features: DataFrame, entities: list
 
 def online_features(features: DataFrame, entities: list[str], time: str | None,
                     tie: list[str] | None = None) -> DataFrame:
-    """The row an online lookup returns, for all entities at once: the newest one."""
+    """The row an online lookup returns, for all entities at once: the newest one.
+
+    Without a time it is the first one by ``tie``, else by all other columns in their order (maps as JSON).
+    """
     if time is None:
-        return features.dropDuplicates(entities)
+        rest = [c for c in features.columns if c not in entities]
+        kinds = {f.name: f.dataType.typeName() for f in features.schema.fields}
+        order = [F.to_json(quoted(c)) if kinds[c] == "map" else quoted(c) for c in [*(tie or []), *rest]]
+        if not rest:
+            return features.distinct()
+        first = features.groupBy(*[quoted(c) for c in entities]).agg(
+            F.min_by(F.struct(*[quoted(c) for c in rest]), F.struct(*order)).alias("__first"))
+        return first.select(*[F.col("__first").getField(c).alias(c) if c in rest else quoted(c) for c in features.columns])
     return latest(features, entities, time, tie)
 
 

@@ -48,14 +48,15 @@ def carry_in(df: DataFrame, keys: list[str], value: Column, order: Column) -> Da
 
 def previous_value(df: DataFrame, keys: list[str], time: str, tie: list[str], value: str, name: str,
                    seconds: int = DAY) -> DataFrame:
-    """Adds the value of the row before, in (time, tie) order within the keys."""
+    """Adds the value of the row before, in (time, tie) order within the keys; null where that row has none."""
     b = bucketed(df, time, seconds)
     order = F.struct(quoted(time), *[quoted(c) for c in tie])
-    carry = carry_in(b, keys, quoted(value), order)
+    row = F.struct(quoted(value).alias("v"))  # never null itself, so a null value is carried too
+    carry = carry_in(b, keys, row, order)
     inside = W.partitionBy(*keys, BUCKET).orderBy(time, *tie)
-    local = b.withColumn("__prev", F.lag(quoted(value)).over(inside))
+    local = b.withColumn("__prev", F.lag(row).over(inside))
     joined = local.join(carry, same(local, carry, [*keys, BUCKET]), "left")
-    return joined.select(*[local[c] for c in df.columns], F.coalesce(local["__prev"], carry["__carry"]).alias(name))
+    return joined.select(*[local[c] for c in df.columns], F.coalesce(local["__prev"], carry["__carry"])["v"].alias(name))
 
 
 def row_numbers(df: DataFrame, keys: list[str], time: str, tie: list[str], name: str = "rn",

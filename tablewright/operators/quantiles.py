@@ -20,18 +20,21 @@ from tablewright.operators.running import RANGE, ranged_melt, running_totals
 
 RANGES = 256
 SPLITS = 256
+INF = float("inf")
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by: list[str] | None = None,
                     ranges: int = RANGES) -> DataFrame:
     """(by…, column, n, <one column per entry of probs>), NaN and null skipped.
 
-    ``probs`` maps output names to probabilities. Columns without a value give no row.
+    ``probs`` maps output names to probabilities. Columns without a value give no row. Infinities are values like
+    others, at the ends of the order.
     """
     by = by or []
     keys = [*by, "column"]
     long = ranged_melt(df, cols, by, ranges)
-    counted = long.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    finite = F.when(F.abs("value") < INF, F.col("value"))
+    counted = long.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("m"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
     whole = W.partitionBy(*keys)  # at most `ranges` rows
     placed = counted.select(
         *keys, RANGE, "m", "lo", "hi", F.sum("m").over(whole).alias("n"),
@@ -52,8 +55,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
         targets = F.broadcast(targets)  # two rows per column and probability
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) if k in by else F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
     near = long.join(targets, [*on, F.col(RANGE) == F.col("__kr")])
-    # equal-width pieces of a range: the window below runs inside one piece
-    piece = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLITS),
+    # equal-width pieces of a range, infinities apart: the window below runs inside one piece
+    piece = F.when(F.col("value") == INF, SPLITS).when(F.col("value") == -INF, -1).when(
+        F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLITS),
                                                      F.lit(SPLITS - 1))).otherwise(0)
     values = (near.groupBy(*keys, F.col("__kr").alias("__in"), "n", "before", "value", piece.alias(RANGE))
               .agg(F.count(F.lit(1)).alias("c")))
@@ -66,6 +70,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     def quantile(p: float):
         low, high, fraction = ranks(p)
         a, b = value_at(low), value_at(high)
-        return a + (b - a) * F.max(fraction)
+        f = F.max(fraction)
+        # between -inf and a number lies -inf; between -inf and inf there is no value
+        return (F.when((a == b) | (f == 0) | ((a == -INF) & (b < INF)), a).when(a == -INF, F.lit(float("nan")))
+                .otherwise(a + (b - a) * f))
 
     return exact.groupBy(*keys).agg(F.max("n").alias("n"), *[quantile(p).alias(name) for name, p in probs.items()])

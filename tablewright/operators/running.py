@@ -7,6 +7,7 @@ each range. A heavy value costs one row, so it cannot make a range heavy.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -25,13 +26,14 @@ SAMPLE = 0.01
 def _cuts(df: DataFrame, cols: list[str], ranges: int) -> list[list[float]]:
     """At most ``ranges`` − 1 cut points per column: quantiles of a sample, all columns in one job.
 
-    Cut points decide how evenly the work is spread and never what the result is.
+    Cut points decide how evenly the work is spread and never what the result is. Infinite ones are left out: they
+    would repeat the outer border.
     """
     if ranges < 2:
         return [[] for _ in cols]
     probs = [i / ranges for i in range(1, ranges)]
     found = df.sample(SAMPLE, seed=7).approxQuantile(cols, probs, 1.0 / (2 * ranges))
-    return [sorted(set(c)) for c in found]
+    return [sorted({x for x in c if math.isfinite(x)}) for c in found]
 
 
 def ranged_melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
@@ -41,7 +43,7 @@ def ranged_melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
     The range is found by binary search in the JVM (``Bucketizer``), cut points per column.
     """
     keep = keep or []
-    ranges = ranges or min(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = df.select(*[quoted(k) for k in keep], *[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     names = [f"v{i}" for i in range(len(cols))]
     splits = [[-float("inf"), *c, float("inf")] for c in _cuts(wide, names, ranges)]

@@ -10,13 +10,13 @@ from tablewright.functions.columns import datetime_columns, melt, numeric_column
 
 
 def resample(df: DataFrame, time: str | None = None, cols: list[str] | None = None) -> DataFrame:
-    """(column, frequency, bucket, value): bucket means, empty buckets absent.
+    """(column, frequency, bucket, value): bucket means of all numeric columns or ``cols``, empty buckets absent.
 
     Over a year of data → months, over 30 days → weeks ending on Sunday, else days. The
     choice is made inside the plan from a one-row aggregate.
     """
     time = time or datetime_columns(df)[0]
-    cols = cols or numeric_columns(df)[:5]
+    cols = cols or numeric_columns(df)
     day = quoted(time).cast("date")
     span = df.agg(((F.unix_micros(F.max(quoted(time)).cast("timestamp")) - F.unix_micros(F.min(quoted(time)).cast("timestamp")))
                    / 86_400_000_000).cast("bigint").alias("__days"))

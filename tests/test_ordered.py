@@ -172,3 +172,27 @@ def test_health(spark):
     assert (row["health_score"], row["status"]) == (35.0, "critical")
     calm = operations.health_overview(a.where("status = 'resolved'"), F.lit(False), F.lit(0.0)).first()
     assert (calm["health_score"], calm["status"]) == (100.0, "healthy")
+
+
+@pytest.mark.parametrize("seconds", [5, 1000])
+def test_previous_and_next_value_keep_nulls(spark, seconds):
+    df = spark.createDataFrame([("a", t, t, None if t % 3 == 0 else t) for t in range(30)], "k string, t long, id long, v long")
+    for step, shift in ((ordered.previous_value, -1), (ordered.next_value, 1)):
+        got = {r["id"]: r["w"] for r in step(df, ["k"], "t", ["id"], "v", "w", seconds).collect()}
+        assert got == {t: t + shift if (t + shift) % 3 and 0 <= t + shift < 30 else None for t in range(30)}
+
+
+def test_failed_deployment_that_went_live_later(spark):
+    log = [("p", 1, "failed", 1), ("p", 1, "deployed", 2), ("p", 2, "deployed", 3), ("p", 2, "failed", 4)]
+    df = spark.createDataFrame(log, "environment string, deployment_id int, kind string, at int")
+    got = {r["deployment_id"]: r["state"] for r in experiments.deployment_states(df).collect()}
+    assert got == {1: "superseded", 2: "failed"}
+
+
+def test_online_features_without_time(spark):
+    df = spark.createDataFrame([(1, "b", 5), (1, "a", 9), (2, None, 1)], "id int, x string, y int")
+    for n in (1, 5):
+        got = {r["id"]: (r["x"], r["y"]) for r in joins.online_features(df.repartition(n), ["id"], None).collect()}
+        assert got == {1: ("a", 9), 2: (None, 1)}
+    tied = joins.online_features(df, ["id"], None, ["y"])
+    assert tied.columns == df.columns and {r["id"]: r["y"] for r in tied.collect()} == {1: 5, 2: 1}

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import categories, correlation, histograms, summary
+from tablewright.functions.text import date_like_columns
+from tablewright.operators import categories, correlation, evaluation, histograms, summary, trends
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.plans import dashboard, profile, suggest
 
@@ -166,3 +167,39 @@ def test_zscore_anomalies_skip_constant_columns(spark):
 def test_approximate_distinct(spark):
     df = spark.range(10_000).select((F.col("id") % 100).alias("x"))
     assert abs(summary.distinct_counts(df, approximate=True).first()["n_unique"] - 100) <= 8
+
+
+@pytest.mark.parametrize("ranges", [1, 256])
+def test_quantiles_of_infinite_values(spark, ranges):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=4000)
+    x[:400], x[400:1000] = np.inf, -np.inf
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    row = exact_quantiles(df, ["x"], {"a": 0.05, "b": 0.5, "c": 0.75, "d": 0.99}, ranges=ranges).first()
+    s = np.sort(x)
+    assert row.a == -np.inf and row.d == np.inf and row.n == 4000
+    assert math.isclose(row.b, (s[1999] + s[2000]) / 2, rel_tol=1e-12)
+    assert math.isclose(row.c, s[2999] + (s[3000] - s[2999]) * 0.25, rel_tol=1e-12)
+
+
+def test_metrics_with_nulls(spark):
+    df = spark.createDataFrame([(1.0, 1.1), (2.0, 1.9), (3.0, 3.2), (1e6, None), (None, 4.0)], "actual double, pred double")
+    row = evaluation.regression_metrics(df).first()
+    assert row.sample_count == 3 and math.isclose(row.r2_score, 1 - 0.02 / (2 / 3), rel_tol=1e-9)
+    labels = spark.createDataFrame([("a", "a"), (None, "a"), (None, None)], "actual string, pred string")
+    cells = {(r["actual"], r["pred"]): r["n"] for r in evaluation.confusion_matrix(labels).collect()}
+    assert cells == {("a", "a"): 1, (None, "a"): 1, (None, None): 1, ("a", None): 0}
+    per = {r["class"]: (r["precision"], r["recall"], r["support"]) for r in evaluation.per_class_metrics(labels).collect()}
+    assert per == {"a": (0.5, 1.0, 1), None: (1.0, 0.5, 2)}
+
+
+def test_nothing_is_cut_unasked(spark):
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}", f"2024-01-{i % 28 + 1:02d}" if i != 150 else "no date", *[float(i * k) for k in range(8)]) for i in range(200)]
+    names = [f"n{k}" for k in range(8)]
+    df = spark.createDataFrame(rows, "id long, day string, almost string, " + ", ".join(f"{n} double" for n in names))
+    assert date_like_columns(df) == ["day"]
+    assert {r["column"] for r in trends.resample(df, "day", None).select("column").distinct().collect()} == {"id", *names}
+    assert dashboard.key_statistics(profile.profile(df)).count() == 9
+    many = spark.range(60).select(F.col("id").cast("string").alias("actual"), F.col("id").cast("string").alias("pred"))
+    assert evaluation.per_class_metrics(many).count() == 60 and evaluation.class_distribution(many).count() == 120
+    assert evaluation.per_class_metrics(many, top=7).count() == 7

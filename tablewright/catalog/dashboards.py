@@ -88,6 +88,29 @@ def _(t):
     return out
 
 
+@query("detect_target_by_name", "I2", """
+WITH c AS (SELECT 'orders' AS source, cid AS i, lower(name) AS name FROM pragma_table_info('orders')
+  UNION ALL SELECT 'part', cid, lower(name) FROM pragma_table_info('part')),
+h AS (SELECT source, i, name, list_contains(['target', 'label', 'class', 'y', 'outcome', 'result', 'status'], name) AS exact, regexp_matches(
+  name, 'target|label|class|category|y|outcome|result|status|type|response') AS part FROM c)
+SELECT source, 'common_name' AS rule, coalesce(arg_min(name, i) FILTER (WHERE exact), arg_max(name, i)) AS "column" FROM h GROUP BY source
+UNION ALL SELECT source, 'cardinality', arg_min(name, i) FILTER (WHERE part) FROM h GROUP BY source HAVING bool_or(part)""")
+def _(t):
+    out = None
+    for source in ("orders", "part"):
+        rows = prof.profile(getattr(t, source))
+        for rule in ("common_name", "cardinality"):
+            one = prof.detect_target(rows, rule).select(F.lit(source).alias("source"), F.lit(rule).alias("rule"), "column")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("feature_categories", "I13", union_all(f"""
+SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM customer GROUP BY {c}""" for c in ("c_name", "c_mktsegment")))
+def _(t):
+    return prof.feature_categories(t.customer)
+
+
 @query("problem_type", "I6 M10", """
 SELECT 'o_orderstatus' AS "column", 3 AS n_unique, 'classification' AS dashboard, 'classification' AS suggest FROM (SELECT count(*) FROM orders)
 UNION ALL SELECT 'o_totalprice', (SELECT count(DISTINCT o_totalprice) FROM orders), 'regression', 'regression'""")
@@ -137,11 +160,11 @@ def _(t):
 @query("executive_summary", "I6", f"""
 WITH p AS ({small_profile_sql(LINEITEM_N, N_TYPES)}), s AS (SELECT max(n_rows) AS n, round((1 - sum(nulls) / sum(n_rows)) * 100, 1) AS c,
   round(sum(nulls) / sum(n_rows) * 100, 1) AS m FROM p)
-SELECT 'Dataset Overview: ' || format('{{:,}}', n) || ' Records with 9 Features' AS headline, c AS data_completeness,
-  'This dataset contains ' || format('{{:,}}', n) || ' records with 9 features. There are 6 numerical features and 2 categorical features. '
-  || 'There are ' || printf('%.1f', m) || '% missing values that have been handled during preprocessing. '
-  || 'The target variable ''l_linestatus'' has 2 unique classes, with ''' || (SELECT l_linestatus FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-  || ''' being the most common. ' AS narrative FROM s""")
+SELECT format('{{:,}}', n) || ' rows in 9 columns' AS headline, c AS data_completeness,
+  format('{{:,}}', n) || ' rows, 9 columns. 6 of them are numbers. 2 of them are texts. '
+  || CASE WHEN m < 5 THEN 'Few' WHEN m < 20 THEN 'Some' ELSE 'Many' END || ' cells are empty (' || printf('%.1f', m) || '%). '
+  || 'Target l_linestatus: 2 classes, most often ' || (SELECT l_linestatus FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+  || '. ' AS narrative FROM s""")
 def _(t):
     return dash.executive_summary(t.lineitem_n, prof.profile(t.lineitem_n).persist(), "l_linestatus")
 
@@ -206,7 +229,7 @@ SELECT '{c}' AS "column", '{ty}' AS dtype, '{k}' AS kind, count(*) - count({c})
   {f"min({c})::VARCHAR" if k == "datetime" else "NULL::VARCHAR"} AS min_time, {f"max({c})::VARCHAR" if k == "datetime" else "NULL::VARCHAR"} AS max_time,
   {f"string_agg(DISTINCT {c}, ',' ORDER BY {c})" if k == "categorical" else "NULL::VARCHAR"} AS categories FROM {LINEITEM_N}""" for c, ty, k in N_TYPES))
 def _(t):
-    meta = prof.feature_metadata(t.lineitem_n)
+    meta = prof.feature_metadata(t.lineitem_n, 50)
     return rounded(meta.withColumn("categories", F.array_join("categories", ",")), 4)
 
 

@@ -104,17 +104,28 @@ def _(t):
 
 @query("permutation_importance", "N2")
 def _(t):
-    return explain.permutation_importance(regressor(t, "linear"), prices(t), "row_id", repeats=5)
+    return explain.permutation_importance(regressor(t, "linear"), prices(t), "row_id")
 
 
 @query("partial_dependence", "N3")
 def _(t):
-    return explain.partial_dependence(regressor(t), prices(t), "row_id", points=20, sample=200)
+    return explain.partial_dependence(regressor(t), prices(t), "row_id")
 
 
 @query("shapley_attribution", "N4")
 def _(t):
-    return explain.top_attributions(explain.shapley_attribution(classifier(t), binary(t), "doc_id", rows=5, background=10, permutations=6))
+    return explain.top_attributions(explain.shapley_attribution(classifier(t), binary(t), "doc_id"))
+
+
+@query("linear_attribution", "N4", """
+WITH m AS (SELECT avg(l_quantity) AS q, regr_slope(l_extendedprice, l_quantity) AS s FROM lineitem)
+SELECT l_quantity AS id, 'l_quantity' AS feature, count(*) AS n, round(any_value(s) * (l_quantity - any_value(q)), 2) AS attribution
+FROM lineitem, m GROUP BY l_quantity""")
+def _(t):
+    df = t.lineitem.select("l_quantity", "l_extendedprice")
+    m = models.train(df, "l_extendedprice", "regression", "linear")
+    return rounded(explain.linear_attribution(m, df, "l_quantity").groupBy("id", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("attribution").alias("attribution")), 2)
 
 
 @query("lime_local", "N5")

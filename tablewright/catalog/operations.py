@@ -156,6 +156,11 @@ def _(t):
     return ex.latest_version(versions(t), "Production")
 
 
+@query("list_versions", "O9", f"SELECT name, version, status FROM {VERSIONS} WHERE stage = 'Production' AND status = 'READY'")
+def _(t):
+    return ex.listing(versions(t), ["version", "name"], {"stage": "Production", "status": "READY"}).select("name", "version", "status")
+
+
 @query("compare_versions", "C4 O8", f"""
 SELECT 'balance' AS key, a.s_acctbal AS a, b.s_acctbal AS b, round(b.s_acctbal - a.s_acctbal, 6) AS diff FROM {VERSIONS} a JOIN {VERSIONS} b USING (name)
 WHERE name = 0 AND a.version = 1 AND b.version = 2
@@ -220,6 +225,13 @@ def _(t):
     return ex.deployment_states(deploys(t))
 
 
+@query("list_deployments", "O11 O12", f"""
+SELECT deployment_id, tm::VARCHAR AS "at" FROM {DEPLOYS} WHERE environment = '1-URGENT' AND kind = 'rollback' ORDER BY tm DESC, deployment_id DESC LIMIT 20""")
+def _(t):
+    rows = ex.listing(deploys(t), ["at", "deployment_id"], {"environment": "1-URGENT", "kind": "rollback"}, 20)
+    return rows.select("deployment_id", F.col("at").cast("string").alias("at"))
+
+
 @query("deployment_states_retried", "O11", """
 WITH e AS (SELECT o_orderpriority AS environment, o_custkey AS deployment_id, o_orderkey AS tm,
   CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'rollback' ELSE 'deployed' END AS kind FROM orders),
@@ -333,6 +345,14 @@ def _(t):
     return op.active_alerts(alerts(t), "warning").select("rule", "severity", F.col("fired_at").cast("string").alias("fired_at"))
 
 
+@query("alert_states", "P2", """
+SELECT o_custkey AS alert_id, arg_max(kind, o_orderkey) AS state, max(o_orderkey) AS since, count(*) AS n_events
+FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'acknowledged' ELSE 'fired' END AS kind FROM orders) GROUP BY o_custkey""")
+def _(t):
+    kind = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "acknowledged").otherwise("fired")
+    return op.alert_states(t.orders.select(F.col("o_custkey").alias("alert_id"), kind.alias("kind"), F.col("o_orderkey").alias("at")))
+
+
 @query("alert_history", "P2", f"SELECT rule, fired_at::VARCHAR AS fired_at FROM (SELECT * FROM {ALERTS} ORDER BY fired_at DESC LIMIT 100)")
 def _(t):
     return op.alert_history(alerts(t)).select("rule", F.col("fired_at").cast("string").alias("fired_at"))
@@ -368,8 +388,8 @@ def _(t):
 @query("monitoring_report", "P5 P3", f"""
 SELECT active_alerts, critical, health_score::DOUBLE AS health_score, CASE WHEN health_score < 50 THEN 'critical' WHEN health_score < 80 THEN 'warning' ELSE base END AS status,
   (SELECT count(*) FROM {ALERTS}) AS total_alerts, (SELECT count(*) FROM {ALERTS} WHERE fired_at > {AS_OF} - INTERVAL 24 HOURS) AS last_24h, true AS degraded, 0.4 AS drift_rate,
-  CASE WHEN (SELECT count(*) FROM {ALERTS} WHERE fired_at > {AS_OF} - INTERVAL 24 HOURS) > 10 THEN 'High alert volume. Review alert thresholds.; ' ELSE '' END
-  || 'High drift rate detected. Review data pipeline for changes.; Model performance has degraded. Consider retraining.' AS recommendations FROM {HEALTH}""")
+  CASE WHEN (SELECT count(*) FROM {ALERTS} WHERE fired_at > {AS_OF} - INTERVAL 24 HOURS) > 10 THEN 'Alerts are frequent: set the limits anew.; ' ELSE '' END
+  || 'Drift in many checks: compare the inputs with the training data.; Metrics are below the baseline: train again.' AS recommendations FROM {HEALTH}""")
 def _(t):
     out = op.monitoring_report(alerts(t), newest(t), F.lit(True), F.lit(0.4))
     return out.withColumn("recommendations", F.array_join("recommendations", "; "))

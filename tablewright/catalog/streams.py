@@ -38,6 +38,11 @@ def _(t):
     return out.select("id", "feature", "ph_drift")
 
 
+@query("online_detectors_both", "L1 L3")
+def _(t):
+    return drain(detectors.online_detectors(events(t), "event_type", "ts", "event_id", "value"))
+
+
 @query("streaming_performance", "L4", """
 WITH s AS (SELECT user_id % 3 AS m, event_type AS a, CASE WHEN value > 20 THEN event_type ELSE 'view' END AS p,
   row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 1000),

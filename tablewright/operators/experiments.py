@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tablewright.functions.columns import quoted
 from tablewright.functions.text import md5_mod
-from tablewright.operators.joins import align_maps
+from tablewright.operators.joins import align_maps, entity_filter
 from tablewright.operators.ordered import last_n, next_value
 
 # -- A/B tests ------------------------------------------------------------------------
@@ -131,6 +131,12 @@ def experiment_report(runs: DataFrame) -> DataFrame:
 
 # -- model versions: (name, version, status, hash, metrics map, params map) ------------------
 
+def listing(rows: DataFrame, newest: list[str], wanted: dict[str, object] | None = None, limit: int | None = None) -> DataFrame:
+    """Versions, deployments or rollbacks whose columns equal what is wanted, by descending ``newest``; all unless limited."""
+    out = entity_filter(rows, {k: v for k, v in (wanted or {}).items() if v is not None}).orderBy(*[quoted(c).desc() for c in newest])
+    return out if limit is None else out.limit(limit)
+
+
 def latest_version(versions: DataFrame, stage: str | None = None) -> DataFrame:
     """(name, version): highest version per model, or per model within a stage."""
     rows = versions if stage is None else versions.where(F.col("stage") == stage)

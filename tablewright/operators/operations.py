@@ -119,6 +119,16 @@ def active_alerts(alerts: DataFrame, severity: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("fired_at").desc(), "rule")
 
 
+def alert_states(log: DataFrame) -> DataFrame:
+    """(alert_id, state, since, n_events): what the last entry of a log (alert_id, kind, at) says about each alert.
+
+    ``kind`` is fired, acknowledged, silenced or resolved; of entries at one time the largest kind by name counts.
+    """
+    last = F.max(F.struct("at", "kind"))
+    return log.groupBy("alert_id").agg(last.alias("l"), F.count(F.lit(1)).alias("n_events")).select(
+        "alert_id", F.col("l.kind").alias("state"), F.col("l.at").alias("since"), "n_events")
+
+
 def alert_history(alerts: DataFrame, limit: int = 100) -> DataFrame:
     """The newest ``limit`` alerts (TakeOrdered)."""
     return alerts.orderBy(F.col("fired_at").desc(), "rule").limit(limit)
@@ -149,9 +159,9 @@ def alert_timeline(alerts: DataFrame, as_of: Column, hours: int = 24) -> DataFra
 def monitoring_recommendations(report: DataFrame) -> DataFrame:
     """(recommendation) rows from one row (degraded, drift_rate, last_24h)."""
     items = F.array(
-        F.when(F.col("degraded"), F.lit("Model performance has degraded. Consider retraining.")),
-        F.when(F.col("drift_rate") > 0.3, F.lit("High drift rate detected. Review data pipeline for changes.")),
-        F.when(F.col("last_24h") > 10, F.lit("High alert volume. Review alert thresholds.")))
+        F.when(F.col("degraded"), F.lit("Metrics are below the baseline: train again.")),
+        F.when(F.col("drift_rate") > 0.3, F.lit("Drift in many checks: compare the inputs with the training data.")),
+        F.when(F.col("last_24h") > 10, F.lit("Alerts are frequent: set the limits anew.")))
     return report.select(F.explode(F.array_compact(items)).alias("recommendation"))
 
 

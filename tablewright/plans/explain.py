@@ -1,5 +1,5 @@
-"""Model explanations. Every method explodes modified copies of a bounded sample of rows,
-scores them in one distributed transform, and aggregates."""
+"""Model explanations. Every method explodes modified copies of rows, scores them in one
+distributed transform, and aggregates. All rows take part unless the caller asks for a sample."""
 
 from __future__ import annotations
 
@@ -21,6 +21,10 @@ from tablewright.operators.sampling import sample_n
 from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target
 
 
+#: rows of a group inside which permuted values change places
+GROUP = 1000
+
+
 def feature_importance(model: TrainedModel, top: int = 15) -> DataFrame:
     """(feature, importance): tree importances, or absolute coefficients of a linear model."""
     inner = model.model
@@ -39,15 +43,16 @@ def feature_importance(model: TrainedModel, top: int = 15) -> DataFrame:
     return rows.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
-def _sample_vectors(model: TrainedModel, df: DataFrame, key: str, n: int) -> DataFrame:
-    """(id, label, x array): encoded features of n rows, persisted because every copy starts from them."""
-    rows = sample_n(df, key, n)
+def _vectors(model: TrainedModel, df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """(id, label, x array): encoded features of all rows, or of n rows, which are persisted as every copy starts from them."""
+    rows = df if n is None else sample_n(df, key, n)
     keep = [key] + ([model.target] if model.target in df.columns else [])
     ready = model.prepare(rows, keep)
     label = F.lit(None).cast("double")
     if model.target in df.columns:
         label = encode_target(ready, model.target, model.classes) if model.classes else quoted(model.target).cast("double")
-    return ready.select(quoted(key).alias("id"), label.alias("label"), vector_to_array("features").alias("x")).persist()
+    out = ready.select(quoted(key).alias("id"), label.alias("label"), vector_to_array("features").alias("x"))
+    return out if n is None else out.persist()
 
 
 def _output(model: TrainedModel, scored: DataFrame) -> Column:
@@ -67,22 +72,25 @@ def _replaced(position: Column, value: Column) -> Column:
     return F.transform("x", lambda v, i: F.when(i == position, value).otherwise(v))
 
 
-def permutation_importance(model: TrainedModel, df: DataFrame, key: str, repeats: int = 10, sample: int = 500,
+def permutation_importance(model: TrainedModel, df: DataFrame, key: str, repeats: int = 10, sample: int | None = None,
                            top: int = 15, seed: int = 42) -> DataFrame:
     """(feature, importance, std): loss of accuracy or R² when one feature is shuffled.
 
-    A shuffle pairs row and donor by their ranks in two hash orders of the sample; the windows
-    hold one sample each, and all features and repeats are scored in one transform.
+    Rows are dealt by hash into groups of about ``GROUP`` rows, anew for every feature and repeat; inside a group
+    row and donor are paired by their ranks in two orders, so a window holds one group however many rows
+    there are. All features and repeats are scored in one transform.
     """
-    base = _sample_vectors(model, df, key, sample).where(F.col("label").isNotNull())
+    base = _vectors(model, df, key, sample).where(F.col("label").isNotNull())
     k = len(model.features)
+    groups = max(1, base.count() // GROUP)
     grid = F.explode(F.sequence(F.lit(0), F.lit(k * repeats - 1)))
-    copies = base.select("id", "label", "x", grid.alias("g")).withColumn("j", (F.col("g") % k).cast("int"))
-    here = F.row_number().over(W.partitionBy("g").orderBy("id"))
-    there = F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id", "g", F.lit(seed)), "id"))
+    copies = base.select("id", "label", "x", grid.alias("g")).withColumn("j", (F.col("g") % k).cast("int")).withColumn(
+        "b", F.pmod(F.xxhash64("id", "g", F.lit(seed + 1)), F.lit(groups)))
+    here = F.row_number().over(W.partitionBy("g", "b").orderBy("id"))
+    there = F.row_number().over(W.partitionBy("g", "b").orderBy(F.xxhash64("id", "g", F.lit(seed)), "id"))
     receivers = copies.withColumn("r", here)
-    donors = copies.select("g", there.alias("r"), F.get("x", F.col("j")).alias("donated"))
-    shuffled = receivers.join(donors, ["g", "r"]).withColumn("x", _replaced(F.col("j"), F.col("donated")))
+    donors = copies.select("g", "b", there.alias("r"), F.get("x", F.col("j")).alias("donated"))
+    shuffled = receivers.join(donors, ["g", "b", "r"]).withColumn("x", _replaced(F.col("j"), F.col("donated")))
     scored = _score(model, shuffled.select("g", "j", "label", "x")).select("g", "j", F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     plain = _score(model, base.select("label", "x")).select(F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     if model.problem_type == CLASSIFICATION:
@@ -99,21 +107,21 @@ def permutation_importance(model: TrainedModel, df: DataFrame, key: str, repeats
 
 
 def partial_dependence(model: TrainedModel, df: DataFrame, key: str, features: list[str] | None = None,
-                       points: int = 100, sample: int = 500) -> DataFrame:
-    """(feature, value, mean_prediction): mean output over a sample with one feature set to each grid value.
+                       points: int = 100, sample: int | None = None) -> DataFrame:
+    """(feature, value, mean_prediction): mean output over the rows with one feature set to each grid value.
 
     The grid spans the 5 % to 95 % quantiles of the encoded feature; where fewer distinct
     values exist, those are the grid. Features default to the four most important ones.
     """
     if features is None:
         features = [r["feature"] for r in feature_importance(model, 4).collect()]
-    base = _sample_vectors(model, df, key, sample)
+    base = _vectors(model, df, key, sample)
     wide = base.select(*[F.get("x", F.lit(model.features.index(f))).alias(f) for f in features])
     ends = {r["column"]: r for r in exact_quantiles(wide, features, {"lo": 0.05, "hi": 0.95}).collect()}
-    few = wide.agg(*[F.sort_array(F.collect_set(quoted(f))).alias(f) for f in features]).first()  # ≤ sample values
     cells = []
     for f in features:
-        values = list(few[f])
+        # no more than ``points`` values come back; as many mean that the grid is needed
+        values = sorted(r[0] for r in wide.select(quoted(f)).distinct().limit(points).collect() if r[0] is not None)
         if len(values) >= points:
             values = np.linspace(ends[f]["lo"], ends[f]["hi"], points).tolist()
         cells.append(F.struct(F.lit(f).alias("feature"), F.lit(model.features.index(f)).alias("j"), F.array(*[F.lit(float(v)) for v in values]).alias("grid")))
@@ -122,39 +130,51 @@ def partial_dependence(model: TrainedModel, df: DataFrame, key: str, features: l
     return _score(model, rows).groupBy("feature", "value").agg(F.avg("f").alias("mean_prediction"))
 
 
-def shapley_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int = 10, background: int = 20,
+def shapley_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int = 10, background: int | None = None,
                         permutations: int = 10, seed: int = 42) -> DataFrame:
     """(id, feature, attribution, f, base): Monte-Carlo Shapley values by random feature orders.
 
     Each (row, background row, order) is a walk from the background row to the row; one step is
-    one feature's share. Every order meets every background row, so the shares of a row add up
-    to f(x) − mean f(background) exactly.
+    one feature's share: what is scored after it counts for the feature, what is scored before it against it. Every
+    order meets every background row (all rows, or as many as asked for), so the shares of a row add up to
+    f(x) − mean f(background) exactly. The ``rows`` explained rows are broadcast, the background is scanned.
     """
     k = len(model.features)
     rng = random.Random(seed)
     orders = [rng.sample(range(k), k) for _ in range(permutations)]
-    explained = _sample_vectors(model, df, key, rows)
-    back = sample_n(df, key, background, seed + 1)
-    b = _sample_vectors(model, back, key, background).select(F.col("id").alias("b"), F.col("x").alias("z"))
-    # the background is a fixed, small number of rows and travels as one array
-    drawn = b.agg(F.collect_list(F.struct("b", "z")).alias("drawn"))
-    pairs = explained.select("id", "x").join(F.broadcast(drawn), F.lit(True)).select("id", "x", F.inline("drawn"))
-    walks = F.posexplode(F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders]))
-    steps = (pairs.select("id", "b", "x", "z", walks.alias("p", "order"))
-             .select("id", "b", "p", "x", "z", "order", F.posexplode(F.sequence(F.lit(0), F.lit(k))).alias("step", "_")))
+    explained = _vectors(model, df, key, rows).select("id", "x")
+    back = df if background is None else sample_n(df, key, background, seed + 1)
+    pairs = _vectors(model, back, key, None).select(F.col("x").alias("z")).crossJoin(F.broadcast(explained))
+    walks = F.explode(F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders]))
+    steps = (pairs.select("id", "x", "z", walks.alias("order"))
+             .select("id", "x", "z", "order", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("step")))
     mixed = F.transform("x", lambda v, i: F.when(
         F.array_position(F.col("order"), i) <= F.col("step"), v).otherwise(F.get(F.col("z"), i)))
-    scored = _score(model, steps.select("id", "b", "p", "order", "step", mixed.alias("x")))
-    walk = W.partitionBy("id", "b", "p").orderBy("step")  # k + 1 rows
-    share = F.col("f") - F.lag("f").over(walk)
+    scored = _score(model, steps.select("id", "order", "step", mixed.alias("x")))
     names = F.array(*[F.lit(f) for f in model.features])
-    moved = scored.withColumn("share", share).withColumn("feature", F.get(names, F.get("order", F.col("step") - 1)))
+    sides = F.array(F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1).alias("sign")),
+                    F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1).alias("sign")))
+    moved = scored.select("id", "f", F.inline(sides)).where(F.col("j").isNotNull()).withColumn("feature", F.get(names, F.col("j")))
+    share = F.sum(F.col("sign") * F.col("f")) / F.count_if(F.col("sign") > 0)
     totals = scored.groupBy("id").agg(F.avg(F.when(F.col("step") == k, F.col("f"))).alias("f"),
                                       F.avg(F.when(F.col("step") == 0, F.col("f"))).alias("base"))
-    return (moved.where("step > 0").groupBy("id", "feature").agg(F.avg("share").alias("attribution"))
+    return (moved.groupBy("id", "feature").agg(share.alias("attribution"))
             .join(F.broadcast(totals), "id"))
 
 
+def linear_attribution(model: TrainedModel, df: DataFrame, key: str) -> DataFrame:
+    """(id, feature, attribution): the exact Shapley values of a linear model, weight × (x − mean of x over all rows)."""
+    inner = model.model
+    weights = (inner.coefficients if hasattr(inner, "coefficients") and model.problem_type != CLASSIFICATION
+               else inner.coefficientMatrix.toArray()[-1])
+    base = _vectors(model, df, key, None)
+    at = [F.get("x", F.lit(j)) for j in range(len(model.features))]
+    mean = base.agg(F.array(*[F.avg(x) for x in at]).alias("m"))  # one row
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * (x - F.get("m", F.lit(j)))).alias("attribution"))
+                      for j, (f, w, x) in enumerate(zip(model.features, weights, at))])
+    return base.crossJoin(F.broadcast(mean)).select("id", F.inline(cells))
+
+
 def top_attributions(attributions: DataFrame, k: int = 5) -> DataFrame:
     """The k largest signed attributions per row by absolute value."""
     order = W.partitionBy("id").orderBy(F.abs("attribution").desc(), "feature")  # one row per feature
@@ -173,8 +193,8 @@ def lime_local(model: TrainedModel, df: DataFrame, key: str, rows: int = 3, feat
     normal equations are summed by Spark; per row only a (k+1)×(k+1) system is solved.
     """
     k = len(model.features)
-    explained = _sample_vectors(model, df, key, rows).select("id", "x")
-    spread = _sample_vectors(model, df, key, 500)
+    explained = _vectors(model, df, key, rows).select("id", "x")
+    spread = _vectors(model, df, key, None)
     sd = spread.agg(F.array(*[F.coalesce(F.stddev_pop(F.get("x", F.lit(j))), F.lit(0.0)) for j in range(k)]).alias("sd"))
     draws = (explained.crossJoin(F.broadcast(sd))  # one row
              .select("id", "x", "sd", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s")))

@@ -11,7 +11,7 @@ from tablewright.functions.labels import display_round, quality_rating
 from tablewright.operators.categories import top_values
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.summary import (QUARTILES, distinct_counts, duplicate_rows, null_counts, text_lengths,
-                                           type_counts)
+                                           type_counts, value_table)
 
 
 def profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
@@ -61,7 +61,9 @@ def profile_top_values(df: DataFrame, k: int = 10) -> DataFrame:
 
 # fixed values: the names a target column is recognised by
 KEYWORDS = ["target", "label", "class", "outcome", "y"]
-COMMON_NAMES = ["target", "label", "class", "y", "outcome"]
+COMMON_NAMES = ["target", "label", "class", "y", "outcome", "result", "status"]
+# the names that are looked for anywhere in a column name
+NAME_PARTS = ["target", "label", "class", "category", "y", "outcome", "result", "status", "type", "response", "classification"]
 
 
 def target_candidates(profile_rows: DataFrame, rule: str = "token") -> DataFrame:
@@ -90,16 +92,19 @@ def target_candidates(profile_rows: DataFrame, rule: str = "token") -> DataFrame
 def detect_target(profile_rows: DataFrame, rule: str = "token") -> DataFrame:
     """One row (column): the best candidate, or the last column where nothing hints at one.
 
-    rules: ``token``, ``substring``, ``common_name`` (exact common name, else last column),
-    ``cardinality`` (common name; else the first column with 2–50 values that is text or has
+    rules: ``token``, ``substring``, ``common_name`` (first column with an exact common name, else last column),
+    ``cardinality`` (first column whose name holds one of the name parts; else the first column with 2–50 values that is text or has
     at most 20, and fewer values than a tenth of the rows; else last column).
     """
     last = profile_rows.select("column", F.lit(-1).alias("score"), (-F.col("position")).alias("order"))
     if rule in ("token", "substring"):
         found = target_candidates(profile_rows, rule).select("column", "score", F.col("position").alias("order"))
     else:
-        named = F.array_position(F.array(*[F.lit(c) for c in COMMON_NAMES]), F.lower("column")).cast("int")
-        found = profile_rows.where(named > 0).select("column", F.lit(10).alias("score"), named.alias("order"))
+        named = F.lower("column").isin(COMMON_NAMES)
+        if rule == "cardinality":
+            for part in NAME_PARTS:
+                named = named | F.lower("column").contains(part)
+        found = profile_rows.where(named).select("column", F.lit(10).alias("score"), F.col("position").alias("order"))
         if rule == "cardinality":
             n = F.col("n_unique")
             fits = (n.between(2, 50) & (n < F.col("n_rows") * 0.1) & ((F.col("kind") == CATEGORICAL) | (n <= 20)))
@@ -165,8 +170,17 @@ def quality_score(df: DataFrame) -> DataFrame:
             .withColumn("rating", quality_rating(F.col("overall_score"))))
 
 
-def feature_metadata(df: DataFrame, max_categories: int = 50) -> DataFrame:
-    """One row per feature: kind, nulls, distinct values, numeric range or sorted categories or time range."""
+def feature_categories(df: DataFrame) -> DataFrame:
+    """(column, value, n): every category of every text column, one row each."""
+    return value_table(df, categorical_columns(df))
+
+
+def feature_metadata(df: DataFrame, categories: int | None = None) -> DataFrame:
+    """One row per feature: kind, nulls, distinct values, numeric range or time range.
+
+    Where the caller asks for it, also the most frequent categories, at most so many, in order;
+    ``feature_categories`` gives all of them.
+    """
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
 
     def stats(d: DataFrame, c: str) -> list[Column]:
@@ -178,9 +192,9 @@ def feature_metadata(df: DataFrame, max_categories: int = 50) -> DataFrame:
     out = F.broadcast(schema_frame(df)).join(stats_rows(df, df.columns, stats), "column")
     out = out.join(F.broadcast(distinct_counts(df)), "column", "left")
     texts = categorical_columns(df)
-    if texts:
-        few = (top_values(df, max_categories, texts).groupBy("column")
-               .agg(F.array_sort(F.collect_list("value")).alias("categories")))  # ≤ max_categories per column
+    if texts and categories:
+        few = (top_values(df, categories, texts).groupBy("column")
+               .agg(F.array_sort(F.collect_list("value")).alias("categories")))  # ≤ categories per column
         out = out.join(F.broadcast(few), "column", "left")
     else:
         out = out.withColumn("categories", F.lit(None).cast("array<string>"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +26,17 @@ class AlertRule:
 
 # fixed values: the rules every monitor starts with
 DEFAULT_RULES = [
-    AlertRule("drift_detected", "drift_detected", "warning", 3600, description="Alert when data drift is detected"),
-    AlertRule("performance_degradation", "degradation_detected", "critical", 1800, description="Alert when model performance degrades"),
-    AlertRule("high_error_rate", "error_rate > 0.1", "critical", 900, description="Alert when prediction error rate exceeds 10%"),
-    AlertRule("low_accuracy", "accuracy < 0.8", "warning", 3600, description="Alert when model accuracy drops below 80%"),
+    AlertRule("drift_detected", "drift_detected", "warning", 3600, description="the data has drifted"),
+    AlertRule("performance_degradation", "degradation_detected", "critical", 1800, description="metrics fell below the baseline"),
+    AlertRule("high_error_rate", "error_rate > 0.1", "critical", 900, description="more than one request in ten fails"),
+    AlertRule("low_accuracy", "accuracy < 0.8", "warning", 3600, description="fewer than four predictions in five are right"),
 ]
 
 
 def candidates(metrics: DataFrame, rules: list[AlertRule]) -> DataFrame:
     """The metric rows once per rule whose condition holds; a null condition does not fire.
 
-    A rule whose columns the row lacks never fires.
+    A rule whose columns the row lacks never fires; any other error in a condition is raised.
     """
     hits = []
     for r in rules:
@@ -44,7 +45,9 @@ def candidates(metrics: DataFrame, rules: list[AlertRule]) -> DataFrame:
         test = F.expr(r.condition) if isinstance(r.condition, str) else r.condition
         try:
             metrics.select(test)
-        except Exception:  # the condition names a column this frame does not have
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
             continue
         hits.append(F.when(F.coalesce(test, F.lit(False)), F.struct(
             F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cooldown_seconds).alias("cooldown"))))

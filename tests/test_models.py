@@ -77,6 +77,19 @@ def test_attributions_add_up(linear, data):
     assert explain.top_attributions(explain.shapley_attribution(linear, data, "id", 2, 4, 2), 2).count() == 4
 
 
+def test_linear_attribution_is_the_limit_of_the_walks(linear, data):
+    exact = {(r["id"], r["feature"]): r["attribution"] for r in explain.linear_attribution(linear, data, "id").collect()}
+    assert len(exact) == 600 * 4
+    walks = explain.shapley_attribution(linear, data, "id", rows=3, permutations=2).collect()  # all rows as background
+    assert len(walks) == 12 and all(math.isclose(r["attribution"], exact[(r["id"], r["feature"])], abs_tol=1e-6) for r in walks)
+
+
+def test_permutation_in_small_groups(linear, data, rows_by, monkeypatch):
+    monkeypatch.setattr(explain, "GROUP", 50)
+    got = rows_by(explain.permutation_importance(linear, data, "id", repeats=3), "feature")
+    assert got["a"]["importance"] > got["b"]["importance"] > got["kind"]["importance"] > 0.001 > abs(got["noise"]["importance"])
+
+
 def test_partial_dependence_is_a_line(linear, data):
     got = explain.partial_dependence(linear, data, "id", ["a"], points=9, sample=100).orderBy("value").collect()
     steps = np.diff([r["mean_prediction"] for r in got]) / np.diff([r["value"] for r in got])

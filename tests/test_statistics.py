@@ -149,7 +149,7 @@ def test_models_are_ranked(spark):
     c = suggest.dataset_complexity(df, profile.profile(df), "target")
     ranked = suggest.rank_models(c, "classification").orderBy("rank").collect()
     assert ranked[0]["model"] == "LogisticRegression" and ranked[0]["score"] == 80.0 and ranked[0]["is_recommended"]
-    assert suggest.recommendation_reason(c).first()[0] == "Best for your data: small dataset size"
+    assert suggest.recommendation_reason(c).first()[0] == "fits because of: small dataset size"
 
 
 def test_dashboard_parts(spark, sf):

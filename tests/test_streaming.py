@@ -133,3 +133,14 @@ def test_feature_store_versions(spark, folder):
     info = store.info("s").orderBy("version").collect()
     assert [r["n_rows"] for r in info] == [2, 1] and info[0]["data_hash"] != info[1]["data_hash"]
     assert store.read("s", 1, ["x", "gone"], {"id": 2}, ["id"]).collect()[0].asDict() == {"id": 2, "x": 3.0}
+
+
+def test_a_rule_with_an_unknown_column_is_passed_over_but_errors_are_raised(spark):
+    from pyspark.errors import AnalysisException
+
+    from tablewright.streaming.alerts import AlertRule, candidates
+    df = spark.createDataFrame([(0.5,)], "error_rate double")
+    rules = [AlertRule("absent", "accuracy < 0.8"), AlertRule("high", "error_rate > 0.1")]
+    assert [r["rule"] for r in candidates(df, rules).collect()] == ["high"]
+    with pytest.raises(AnalysisException):
+        candidates(df, [AlertRule("typo", "no_such_function(error_rate) > 1")])

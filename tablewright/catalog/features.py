@@ -62,6 +62,37 @@ def _(t):
                       where={"event_type": ["click", "view"], "unknown": 1})
 
 
+@query("feature_catalogue", "A8", """
+WITH c AS (SELECT 'activity' AS name, 2 AS version, name AS "column" FROM pragma_table_info('events')
+  UNION ALL SELECT 'money', 1, name FROM pragma_table_info('orders') WHERE name IN ('o_custkey', 'o_totalprice'))
+SELECT c.*, "column" IN ('event_id', 'o_custkey') AS is_entity, (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) AS n_rows FROM c""")
+def _(t):
+    store = feature_sets.FeatureStore(t.spark, tables.scratch_dir(t.spark, "catalogue"))
+    store.write("activity", t.events.select("event_id"), ["event_id"])
+    store.write("activity", t.events, ["event_id"], "ts")
+    store.write("money", t.orders.select("o_custkey", "o_totalprice"), ["o_custkey"])
+    total = store.sets().agg(F.sum("n_rows").alias("n_rows"))
+    return rounded(store.features().drop("dtype").crossJoin(F.broadcast(total)))
+
+
+@query("performance_summary", "E4 K15", """
+WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'accuracy' WHEN 'view' THEN 'rmse' ELSE event_type END AS metric, ts::DATE AS d, value FROM events),
+h AS (SELECT metric, d, avg(value) AS v FROM e GROUP BY ALL), b AS (SELECT metric, avg(value) AS b FROM e GROUP BY metric),
+c AS (SELECT metric, arg_max(v, d) AS c FROM h GROUP BY metric),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY d DESC) AS r FROM h QUALIFY r <= 10),
+s AS (SELECT metric, count(*) AS points, regr_slope(v, -r) AS slope FROM r GROUP BY metric),
+x AS (SELECT *, CASE WHEN metric = 'accuracy' THEN b - c ELSE c - b END AS ch, CASE WHEN metric = 'accuracy' THEN 0.05 ELSE 0.1 END AS lim
+  FROM b JOIN c USING (metric) JOIN s USING (metric))
+SELECT metric, round(b, 4) AS baseline, round(c, 4) AS current, round(ch / b * 100, 4) AS change_pct, ch > b * lim AS degraded, points, round(slope, 4) AS slope,
+  CASE WHEN points < 2 THEN 'unknown' WHEN abs(slope) < 0.001 THEN 'stable' WHEN (slope > 0) = (metric = 'accuracy') THEN 'improving' ELSE 'degrading' END AS trend FROM x""")
+def _(t):
+    from tablewright.operators.trends import performance_summary
+    kind = F.when(F.col("event_type") == "click", "accuracy").when(F.col("event_type") == "view", "rmse").otherwise(F.col("event_type"))
+    rows = t.events.select(kind.alias("metric"), F.col("ts").cast("date").alias("at"), "value")
+    history = rows.groupBy("metric", "at").agg(F.avg("value").alias("value"))
+    return rounded(performance_summary(rows.groupBy("metric").agg(F.avg("value").alias("value")), history), 4)
+
+
 @query("jsonl_log_source", "A9", """
 SELECT event_type AS level, count(*) AS n FROM events GROUP BY event_type""")
 def _(t):

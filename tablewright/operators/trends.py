@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tablewright.functions.columns import datetime_columns, melt, numeric_columns, quoted
+from tablewright.operators.drift import degradation
 
 
 def resample(df: DataFrame, time: str | None = None, cols: list[str] | None = None) -> DataFrame:
@@ -66,3 +67,11 @@ def metric_trend(history: DataFrame, periods: int = 10) -> DataFrame:
     trend = (F.when(F.col("points") < 2, "unknown").when(F.abs("slope") < 0.001, "stable")
              .when(up == better, "improving").otherwise("degrading"))
     return out.withColumn("trend", trend)
+
+
+def performance_summary(baseline: DataFrame, history: DataFrame, periods: int = 10) -> DataFrame:
+    """(metric, baseline, current, change_pct, degraded, points, slope, trend): the newest snapshot of every metric
+    against its baseline (metric, value), with its trend over the last ``periods`` snapshots (metric, at, value)."""
+    newest = history.where(F.col("value").isNotNull()).groupBy("metric").agg(F.max_by("value", "at").alias("value"))
+    moved = degradation(baseline, newest).select("metric", "baseline", "current", "change_pct", "degraded")
+    return moved.join(metric_trend(history, periods).select("metric", "points", "slope", "trend"), "metric", "left")

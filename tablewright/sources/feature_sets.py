@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,16 @@ class FeatureStore:
         return f"{self.root}/name={name}/version={version}"
 
     def versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/name={name}/version=*")
-        files = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = files.globStatus(base) or []
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in found)
+        """Numbers of the stored versions; none for an unknown set."""
+        try:
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option(
+                "recursiveFileLookup", "true").load(f"{self.root}/name={name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        number = F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int")
+        return sorted(r[0] for r in files.select(number.alias("v")).distinct().collect())
 
     def write(self, name: str, df: DataFrame, entities: list[str], time: str | None = None) -> int:
         """Stores the next version and its metadata row; returns the number."""
@@ -34,13 +40,27 @@ class FeatureStore:
         info = (content_hash(stored).crossJoin(entity_count(stored, entities))
                 .select(F.lit(name).alias("name"), F.lit(version).alias("version"), "n_rows", "entity_count",
                         F.concat_ws("-", "n_rows", "xor_hash", "sum_hash").alias("data_hash"),
-                        F.array(*[F.lit(e) for e in entities]).alias("entities"), F.lit(time).cast("string").alias("time_column")))
+                        F.array(*[F.lit(e) for e in entities]).alias("entities"), F.lit(time).cast("string").alias("time_column"),
+                        F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"))
+                                  for f in stored.schema.fields]).alias("columns")))
         info.coalesce(1).write.mode("append").parquet(f"{self.root}/_sets")
         return version
 
     def info(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/_sets").where(F.col("name") == name)
 
+    def sets(self) -> DataFrame:
+        """(name, versions, version, n_rows, entity_count, entities, time_column, columns): the newest version of every set."""
+        rest = ["n_rows", "entity_count", "entities", "time_column", "columns"]
+        every = self.spark.read.parquet(f"{self.root}/_sets")
+        newest = F.max_by(F.struct("version", *rest), "version").alias("newest")
+        return every.groupBy("name").agg(F.count_distinct("version").alias("versions"), newest).select("name", "versions", "newest.*")
+
+    def features(self) -> DataFrame:
+        """(name, version, column, dtype, is_entity): the features of all sets, by their newest versions."""
+        return self.sets().select("name", "version", "entities", F.inline("columns")).withColumn(
+            "is_entity", F.array_contains("entities", F.col("column"))).drop("entities")
+
     def read(self, name: str, version: int | None = None, columns: list[str] | None = None,
              where: dict[str, object] | None = None, entities: list[str] | None = None) -> DataFrame:
         """Columns and entity filter reach the parquet scan."""

@@ -6,6 +6,7 @@ import os
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,11 +49,12 @@ def load(spark: SparkSession, path: str, file_type: str | None = None) -> DataFr
     kind = FORMATS.get((file_type or extension(path)).lower())
     if kind is None:
         raise ValueError(f"unsupported file type: {file_type or path}")
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.globStatus(hadoop_path):
-        raise FileNotFoundError(path)
-    return {"csv": scan_csv, "json": scan_json, "parquet": scan_parquet}[kind](spark, path)
+    try:
+        return {"csv": scan_csv, "json": scan_json, "parquet": scan_parquet}[kind](spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:

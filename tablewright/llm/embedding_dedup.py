@@ -3,16 +3,17 @@
 A codebook for each half of the vectors makes a grid of cells, one for each pair of codewords. A vector is stored in the cell
 of its two nearest codewords. As a query it goes through the cells in the order of the multi-sequence algorithm: both
 codebooks sorted by how far the vector would have to move to change to that codeword, cells in the order of the sum of the
-squares. It stops where a vector at the threshold would be found with less than the chance that the target recall
-leaves: a link of length r moves a vector by r / sqrt(d) in a given direction on average, and cells beyond ``REACH`` times
-that are not visited. All pairs that meet are verified by cosine in double precision.
+squares. It stops where that sum exceeds 2 - 2 cos, the squared length of the longest link: a linked vector lies beyond the
+planes between the codewords, so none is farther than that, whatever the directions in which the data differ. The search is
+exact. All pairs that meet are verified by cosine in double precision.
+
+Vectors link with vectors of their own length only; every length has its own codebooks and cells.
 
 Equal vectors are one class from the start. Pairs that meet in one cell pair only are counted where they meet, so links
 are summed without writing pairs out. Cells are cut into blocks, the queries of a cell are salted by its measured number
 of visitors, so a cell with a third of all vectors is many tasks.
 
-Null and zero vectors, vectors with null or non-finite components and vectors whose length is not the
-commonest one link with nothing. A null vec_id is returned with a null component and no links.
+Null, empty and zero vectors and vectors with null or non-finite components link with nothing. A null vec_id is returned with a null component and no links.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from tablewright.functions.columns import quoted
 from tablewright.llm.components import connected_components, roots_of
 from tablewright.llm.shared import cut_lineage
 
-COSINE, CODEWORDS, REACH = 0.95, 16, 4.5
-#: rows that the codebooks are fitted on
-SAMPLE = 10_000
+COSINE, CODEWORDS = 0.95, 16
+#: added to the limit of the traversal for the rounding of unit vectors and distances
+ROUNDING = 1e-9
+#: rows that the codebooks are fitted on, shared by the lengths; a length with at most FEW vectors is one cell
+SAMPLE, FEW = 10_000, 64
 MEMBERS, VISITORS = 1024, 2048
 LINKS_ARROW = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -54,11 +57,11 @@ def codebook(x: np.ndarray, size: int, rounds: int = 15, seed: int = 2) -> np.nd
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, codewords: int = CODEWORDS, cosine: float = COSINE, reach: float = REACH):
+    def __init__(self, sample: np.ndarray, codewords: int = CODEWORDS, cosine: float = COSINE):
         half = sample.shape[1] // 2
         self.half = half
         self.books = [codebook(sample[:, :half], codewords), codebook(sample[:, half:], codewords)]
-        self.limit = reach ** 2 * (2 - 2 * cosine) / sample.shape[1]
+        self.limit = 2 - 2 * cosine + ROUNDING
 
     def place(self, x: np.ndarray):
         """The cell of every vector and the cells after its own (by number) that it visits."""
@@ -115,37 +118,52 @@ def _links(table: pa.Table, cosine: float) -> pa.Table:
 
 
 def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-                   codewords: int = CODEWORDS, reach: float = REACH) -> DataFrame:
+                   codewords: int = CODEWORDS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     source = table.select(quoted(id_col).alias("vec_id"), quoted(vector_col).cast("array<double>").alias("v"))
     kind = source.schema["vec_id"].dataType
-    size = source.where("vec_id IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce((F.col("vec_id").isNotNull()) & (F.size("v") == (size.n if size else 0)) & good, F.lit(False))
+    usable = F.coalesce((F.col("vec_id").isNotNull()) & (F.size("v") > 0) & good, F.lit(False))
     marked = source.select("vec_id", F.when(usable, F.col("v")).alias("v"))
     classes = cut_lineage(marked.where("v IS NOT NULL").groupBy("v").agg(
         F.min(F.col("vec_id").cast("long")).alias("rep"), F.count(F.lit(1)).alias("copies")))
-    sample = [r.v for r in classes.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
+    lengths = {r.n: r["count"] for r in classes.groupBy(F.size("v").alias("n")).count().collect()}
     alone = marked.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not sample:
+    if not lengths:
         return alone.withColumn("kept", F.lit(True))
-    vectors = np.array(sample)
-    index = Index(unit(vectors) if vectors.shape[1] > 1 else np.repeat(unit(vectors), 2, 1), codewords, cosine, reach)
+    many = sorted(n for n, count in lengths.items() if count > FEW)
+    share = max(FEW, SAMPLE // max(1, len(many)))
+    drawn: dict[int, list] = {n: [] for n in many}
+    if many:
+        quota = F.broadcast(source.sparkSession.createDataFrame([(n, lengths[n]) for n in many], "n int, total long"))
+        for r in (classes.withColumn("n", F.size("v")).join(quota, "n").where(F.pmod(F.xxhash64("rep"), "total") < share)
+                  .select("n", "v").orderBy(F.xxhash64("rep"), "rep").collect()):
+            drawn[r.n].append(r.v)
+
+    def halves(v: np.ndarray) -> np.ndarray:
+        u = unit(v)
+        return u if u.shape[1] > 1 else np.repeat(u, 2, 1) / np.sqrt(2)
+
+    indexes = {n: Index(halves(np.array(v)), codewords, cosine) for n, v in drawn.items() if v}
 
     def place(batches):
         for batch in batches:
-            v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            if not len(v):
-                continue
-            u = unit(v)
-            cell, visits = index.place(u if u.shape[1] > 1 else np.repeat(u, 2, 1))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("rep").cast(pa.int64()), batch.column("copies").cast(pa.int64()),
-                pa.array([x.tobytes() for x in v], pa.binary()), pa.array(cell, pa.int32()),
-                pa.array([x.tolist() for x in visits], pa.list_(pa.int32()))], ["rep", "copies", "vector", "cell", "visits"])
-
-    placed = cut_lineage(classes.mapInArrow(place, "rep long, copies long, vector binary, cell int, visits array<int>"))
-    # one row for each cell, at most codewords squared: members, visitors, and the blocks and salts that follow
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == n))
+                v = np.array(part.column("v").to_pylist(), np.float64)
+                if n in indexes:
+                    cell, visits = indexes[n].place(halves(v))
+                else:
+                    cell, visits = np.zeros(len(v), np.int64), [np.zeros(0, np.int64)] * len(v)
+                first = n * codewords ** 2  # cells of a length are numbered after those of shorter ones
+                yield pa.RecordBatch.from_arrays([
+                    part.column("rep").cast(pa.int64()), part.column("copies").cast(pa.int64()),
+                    pa.array([x.tobytes() for x in v], pa.binary()), pa.array(first + cell, pa.int64()),
+                    pa.array([(first + x).tolist() for x in visits], pa.list_(pa.int64()))], ["rep", "copies", "vector", "cell", "visits"])
+
+    placed = cut_lineage(classes.mapInArrow(place, "rep long, copies long, vector binary, cell long, visits array<long>"))
+    # one row for each cell, at most codewords squared for each length: members, visitors, and the blocks and salts that follow
     counts = (placed.select("cell", F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(
         placed.select(F.explode("visits").alias("cell"), F.lit(0).alias("m"), F.lit(1).alias("q")))
         .groupBy("cell").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).where("m > 0")

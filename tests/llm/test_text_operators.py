@@ -234,6 +234,24 @@ def test_linked_vectors_equal_brute_force(spark):
     assert got == {k: (int(near[k].sum()) - 1, int(root[k])) for k in range(len(x))} | {k: (0, k) for k in range(990, 996)}
 
 
+def test_linked_vectors_of_uneven_spectra_and_of_every_length(spark):
+    r, rows = np.random.default_rng(6), []
+    for n, width, power in ((500, 64, 1.5), (400, 384, 1.5), (120, 96, 1.0), (20, 8, 1.0)):
+        scale = np.arange(1, width + 1.0) ** -power  # links differ along the main directions of the data
+        half = embedding_dedup.unit(r.normal(size=(n // 2, width)) * scale)
+        away = r.normal(size=half.shape) * scale
+        away = embedding_dedup.unit(away - (away * half).sum(1, keepdims=True) * half)
+        rows += np.concatenate([half, 0.955 * half + np.sqrt(1 - 0.955 ** 2) * away]).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {g.vec_id: g.n_links for g in embedding_dedup.linked_vectors(df).collect()}
+    want = {}
+    for width in (64, 384, 96, 8):
+        ids = [k for k, v in enumerate(rows) if len(v) == width]
+        u = embedding_dedup.unit(np.array([rows[k] for k in ids]))
+        want |= dict(zip(ids, ((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+    assert got == want and min(want.values()) >= 1
+
+
 # -- licences and language model
 
 def test_license_scan_on_odd_texts(spark):

@@ -28,7 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablewright.llm.shared import id_and_text
 
-#: bigrams; a third order adds about twice the input to the shuffle
+#: bigrams, as ``SQL`` has them; ``op10_lm_scoring_trigrams`` scores with ``TRIGRAMS``, as ``SQL_TRIGRAMS`` does
+TRIGRAMS = 3
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: chunks for each partition of the input
 CHUNKS = 2
@@ -153,3 +154,23 @@ sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (seen) AS n_seen, s
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen,
   round(coalesce(s, 0), 4) AS log_score, round(s / n_words, 6) AS mean_log_score
 FROM documents d LEFT JOIN sums USING (doc_id)"""
+
+SQL_TRIGRAMS = """
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
+    SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)),
+grams AS (SELECT doc_id, i, word, lag(word) OVER d AS prev, lag(word, 2) OVER d AS first FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+two AS (SELECT prev, word, count(*) AS n FROM grams WHERE prev IS NOT NULL GROUP BY prev, word),
+three AS (SELECT first, prev, word, count(*) AS n FROM grams WHERE first IS NOT NULL GROUP BY first, prev, word HAVING count(*) >= 2),
+scored AS (
+  SELECT g.doc_id, h.n IS NOT NULL AS seen,
+    CASE WHEN h.n IS NOT NULL THEN ln(h.n) - ln(b.n) WHEN t.n >= 2 THEN ln(t.n) - ln(c.n) + ln(0.4)
+      ELSE ln(w.n) - ln((SELECT sum(n) FROM one)) + 2 * ln(0.4) END AS v
+  FROM grams g JOIN one w ON w.word = g.word LEFT JOIN one c ON c.word = g.prev
+  LEFT JOIN two t ON t.prev = g.prev AND t.word = g.word LEFT JOIN two b ON b.prev = g.first AND b.word = g.prev
+  LEFT JOIN three h ON h.first = g.first AND h.prev = g.prev AND h.word = g.word),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (seen) AS n_seen, sum(v) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen,
+  round(coalesce(s, 0), 4) AS log_score, round(s / n_words, 6) AS mean_log_score
+FROM documents d LEFT JOIN sums USING (doc_id)"""

@@ -53,9 +53,14 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring_trigrams(spark, sf_dir):
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"), lm_scoring.TRIGRAMS)
+
+
 QUERIES = [op1_license_scan, op2_embedding_dedup, op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
-           op8_ngram_join, op9_suffix_dedup, op10_lm_scoring]
-SQL: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op10_lm_scoring": lm_scoring.SQL}
+           op8_ngram_join, op9_suffix_dedup, op10_lm_scoring, op10_lm_scoring_trigrams]
+SQL: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op10_lm_scoring": lm_scoring.SQL,
+                       "op10_lm_scoring_trigrams": lm_scoring.SQL_TRIGRAMS}
 
 
 def queries():

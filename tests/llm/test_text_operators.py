@@ -267,6 +267,20 @@ def test_backoff_on_odd_texts(spark):
     assert lm_scoring.stupid_backoff(frame(spark, []).limit(0)).count() == 0
 
 
+def test_trigrams_tell_shuffled_pairs_from_fluent_text(spark, folder):
+    # the last two texts hold pairs that are all common; only the first of them holds common runs of three
+    texts = ["a b c"] * 6 + ["d b e"] * 6 + ["a b c", "a b e"]
+    frame(spark, list(enumerate(texts))).write.parquet(f"{folder}/documents.parquet")
+    rows = {x.doc_id: x for x in entry.queries()["op10_lm_scoring_trigrams"](spark, folder).collect()}
+    pairs = {x.doc_id: x for x in entry.queries()["op10_lm_scoring"](spark, folder).collect()}
+    assert pairs[12].n_seen == pairs[13].n_seen == 2
+    assert (rows[12].n_seen, rows[13].n_seen) == (1, 0)
+    log = np.log
+    first, second = log(8 / 42) + 2 * log(0.4), log(0.4)  # a: one word; b after a: 8 of 8
+    assert abs(rows[12].log_score - (first + second + log(7 / 8))) < 1e-3
+    assert abs(rows[13].log_score - (first + second + log(7 / 14) + log(0.4))) < 1e-3
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, folder):

@@ -25,8 +25,9 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id; of rows with that id, one."""
-    lost = ngram_join.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    lost = ngram_join.near_duplicate_rows(docs).where(~F.col("stands")).select(F.col("doc_id").alias("lost_id"), F.col("body").alias("lost_body")).distinct()
+    gone = (docs["doc_id"] == F.col("lost_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("lost_body"))
+    return docs.join(lost, gone, "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

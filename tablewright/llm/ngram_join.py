@@ -15,7 +15,8 @@ the threshold is found with the target probability at the greatest depth.
 
 Shingles are runs of five words (ASCII white space between words, case kept); shorter texts are one shingle. Null,
 empty and white-space texts have no set and link with nothing. Rows with a null id are returned with no links and a
-null class; rows with equal ids are taken as documents of the same id and link with each other if their texts do.
+null class; rows with equal ids are taken as documents of the same id and link with each other if their texts do. An id with
+different texts has the links and the class of each text in the row of that text.
 """
 
 from __future__ import annotations
@@ -83,15 +84,18 @@ def children(path: int, values: np.ndarray) -> list[int]:
 def _sketches(docs: DataFrame) -> DataFrame:
     def make():
         def sketch(texts):
-            out = {"digest": [], "sketch": []}
+            out = {"digest": [], "sketch": [], "body": []}
             for t in texts:
                 s = shingles(t)
                 out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out["sketch"].append(minhash(s).tobytes() if len(s) else None)
+                # Spark's xxhash64 of the text
+                out["body"].append(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed=42))
+            out["body"] = np.array(out["body"], np.uint64).view(np.int64)
             return out
         return sketch
 
-    return map_texts(docs, make, "digest binary, sketch binary")
+    return map_texts(docs, make, "digest binary, sketch binary, body long")
 
 
 def _first_paths(runs: int):
@@ -231,16 +235,16 @@ def _verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """doc_id, copy_id (smallest id with the same shingle set), n_links (other documents at or above the threshold),
-    class_id (smallest id reachable by links) and kept (is it that document), one row per row of ``docs``."""
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """What ``near_duplicates`` gives, with ``body``, the xxhash64 of the row's text, and ``stands``: is it the row, by id and
+    text, that its group of near duplicates keeps."""
     source = id_and_text(docs, id_col, text_col)
     marked = cut_lineage(_sketches(source.where(F.col("doc_id").isNotNull())))
+    # classes have keys of their own: an id with different texts can be the smallest of several classes
     classes = cut_lineage(marked.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min(F.struct("doc_id", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .select("digest", F.col("first.doc_id").cast("long").alias("rep"), "first.sketch", "copies"))
-    # a document id with two different texts can stand for two classes; the digest keeps them apart
-    sets = classes.groupBy("rep").agg(F.min(F.struct("digest", "sketch", "copies")).alias("s")).select("rep", "s.digest", "s.sketch", "s.copies")
+        F.min(F.struct("doc_id", "body", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .select("digest", "first.doc_id", "first.body", "first.sketch", "copies", F.monotonically_increasing_id().alias("rep")))
+    sets = classes.select("rep", "sketch", "copies")
     parts = cut_lineage(_parts(sets, runs_needed(THRESHOLD, recall, DEPTH)))
     lists = parts.groupBy("rep").agg(F.collect_set("path").alias("parts"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
@@ -250,20 +254,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = placed.join(lists, "rep").join(sets.select("rep", "sketch"), "rep")
     pairs = cut_lineage(members.groupBy("part").applyInArrow(_candidates, PAIRS))
     wanted = pairs.select(F.col("part").alias("task"), F.explode("reps").alias("rep"))
-    one = wanted.select("rep").distinct().join(sets.select("rep", "digest", "copies"), "rep")
-    # one text of each wanted class: the ids carry the digest along, so the text is the class's own
-    texts = (source.join(marked.select("doc_id", "digest").join(one, "digest").where("doc_id = rep").select("doc_id", "rep", "copies").distinct(), "doc_id")
+    one = wanted.select("rep").distinct().join(classes.select("rep", "doc_id", "body", "copies"), "rep")
+    # the text of each wanted class: by id and text hash, so it is the one that was sketched
+    texts = (source.withColumn("body", F.xxhash64("text")).join(one, ["doc_id", "body"])
              .groupBy("rep").agg(F.min("text").alias("text"), F.first("copies").alias("copies")))
     found = cut_lineage(pairs.groupBy("part").cogroup(wanted.join(texts, "rep").groupBy("task")).applyInArrow(_verify, LINKS))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_class = (classes.select("digest", "rep", "copies").join(links, "rep", "left")
-                 .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("digest", F.col("rep").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                         F.coalesce("component", "rep").alias("class_id")))
-    kind = source.schema["doc_id"].dataType
-    rows = marked.select("doc_id", "digest").join(per_class, "digest", "left").select(
-        "doc_id", F.coalesce("copy_id", "doc_id").cast(kind).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_id", "doc_id").cast(kind).alias("class_id"))
-    lost = source.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    labels = cut_lineage(labels.withColumnRenamed("node", "rep"))
+    least = labels.join(classes.select("rep", "doc_id", "body"), "rep").groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("least"))
+    per_class = (classes.select("digest", "rep", "doc_id", "body", "copies").join(links, "rep", "left")
+                 .join(labels.join(least, "component").select("rep", "least"), "rep", "left")
+                 .select("digest", F.col("doc_id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                         F.coalesce("least", F.struct("doc_id", "body")).alias("least")))
+    rows = marked.select("doc_id", "body", "digest").join(per_class, "digest", "left").select(
+        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("least.doc_id", "doc_id").alias("class_id"), "body",
+        F.coalesce((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.body") == F.col("body")), F.lit(True)).alias("stands"))
+    lost = source.where(F.col("doc_id").isNull()).select(
+        "doc_id", F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"),
+        F.xxhash64("text").alias("body"), F.lit(True).alias("stands"))
     return rows.unionByName(lost).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """doc_id, copy_id (smallest id with the same shingle set), n_links (other documents at or above the threshold),
+    class_id (smallest id reachable by links) and kept (is it that document), one row per row of ``docs``."""
+    return near_duplicate_rows(docs, id_col, text_col, recall).select("doc_id", "copy_id", "n_links", "class_id", "kept")

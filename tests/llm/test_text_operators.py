@@ -172,6 +172,23 @@ def test_ngram_join_finds_every_link(spark):
     assert ngram_join.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_ids_with_different_texts_link_by_their_texts(spark):
+    a, b, c = (prose(100 + k, 70) for k in range(3))
+    near = lambda t: t.replace(t.split()[-1], "other")
+    rows = [(7, a), (7, b), (3, b), (20, near(a)), (5, a), (2, c), (2, near(b)), (30, near(c)), (8, a + " end"), (8, a), (7, None)]
+    got = sorted(((x.doc_id, x.n_links, x.class_id) for x in ngram_join.near_duplicates(frame(spark, rows)).collect()), key=str)
+    by_row = plain_near_duplicates([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (_, root) in by_row.items():
+        least[root] = min(rows[k][0], least.get(root, rows[k][0]))
+    assert got == sorted(((rows[k][0], n, least[root]) for k, (n, root) in by_row.items()), key=str)
+    groups = {root for _, root in by_row.values()}
+    stay = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
+    index = {r: k for k, r in enumerate(rows)}
+    assert sorted(by_row[index[x.doc_id, x.text]][1] for x in stay) == sorted(groups)  # one row of every group
+    assert all(x.doc_id == least[by_row[index[x.doc_id, x.text]][1]] for x in stay)
+
+
 def plain_passages(rows, size=50):
     least = {}
     data = [(i, (t or "").encode()) for i, t in rows]

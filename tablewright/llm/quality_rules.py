@@ -2,7 +2,9 @@
 
 A text is compressed whole and in fixed chunks. Repetitive text compresses to far fewer bytes than prose of
 its length, noise to far more; what counts as far depends on the length, because short texts hold little to
-refer back to. Base rules on words and repeated eight-word windows come first.
+refer back to. The ratio keeps falling with the length, so a text of two ``BLOCK`` or more is cut into equal blocks of at
+least ``BLOCK`` bytes, each compressed on its own, and its ratio is that of all blocks together; the band is that of a block's
+length. What repeats across blocks is seen by the base rules, which read the whole text. Base rules on words and repeated eight-word windows come first.
 
 Null and empty texts have no words and fail the base rule. Rows with equal ids are judged one by one.
 """
@@ -21,6 +23,7 @@ from tablewright.llm.shared import id_and_text, keep_texts, map_texts
 
 LEVEL = 3
 CHUNK = 2048
+BLOCK = 65536
 # lower end of a length class in bytes, lowest and highest ratio of compressed to raw bytes for whole texts
 WHOLE_BANDS = [
     (0, 0.30, 1.80),
@@ -84,12 +87,14 @@ def judge(text: str | None, compress: Callable, bands: list, chunk_band: tuple,
     lines = [x for x in data.split(b"\n") if x.strip()]
     repeats = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PCT * len(words)
-    ratio = len(compress(data)) / len(data) if data else 0.0
+    n_blocks = max(1, len(data) // BLOCK)
+    ends = [len(data) * i // n_blocks for i in range(n_blocks + 1)]
+    ratio = sum(len(compress(data[a:b])) for a, b in zip(ends, ends[1:])) / len(data) if data else 0.0
     # equal chunks over the whole text, none shorter than half of the fixed size
     n_chunks = max(1, round(len(data) / CHUNK)) if data else 0
     cuts = [len(data) * i // n_chunks for i in range(n_chunks + 1)] if n_chunks > 1 else []
     bad = sum(not chunk_band[0] <= len(compress(data[a:b])) / (b - a) <= chunk_band[1] for a, b in zip(cuts, cuts[1:]))
-    low, high = band_of(len(data), bands)
+    low, high = band_of(len(data) // n_blocks, bands)
     kept = not failed and low <= ratio <= high and bad <= max_bad * n_chunks
     return (len(words), chars, len(_symbols.findall(text or "")), len(lines) - len(set(lines)), repeats, failed, ratio,
             n_chunks, bad, kept)

@@ -62,6 +62,24 @@ def test_quality_rules_reject_noise_and_repeats(spark):
     assert same.columns == ["doc_id", "text", "kept", "n_words"] and sorted(r.doc_id for r in same.collect()) == [76, 76, 77]
 
 
+def test_quality_rules_keep_long_clean_texts_and_reject_long_noise(spark):
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    texts = {}
+    for r in good.select("doc_id", "lang", "text").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, {})[r.text] = None
+    rows = []
+    for lang in ("de", "es", "fr"):
+        joined = "\n".join(texts[lang])
+        rows += [(len(rows) + k, joined[:n]) for k, n in enumerate((500_000, 1_000_000)) if len(joined) >= n]
+    assert rows
+    r = random.Random(6)
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9)) for _ in range(60_000))
+    got = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, [*rows, (900, noise), (901, rows[0][1] * 2)])).collect()}
+    assert not got[900].kept and not got[901].kept
+    assert [(i, got[i].whole_ratio) for i, _ in rows if not got[i].kept] == []
+
+
 # -- classifiers
 
 @pytest.mark.parametrize("module", [toxicity, quality_classifier])

@@ -3,9 +3,9 @@
 A word is the mean of the vectors of its character n-grams (and of the word itself), all hashed to one table; a
 window of words is the mean of its words, and a linear softmax over that mean gives the two class scores. Vectors
 and softmax are learned together in numpy. Misspellings that were never seen share most n-grams with words
-that were. Windows overlap and cover the whole text; the most toxic one decides, so that a short insult is not
-averaged away in a long document, and a logistic line fitted on the training documents turns its margin into a
-probability.
+that were. A window is one word as long as ``WINDOW`` is 1, so nothing is averaged over words: the most toxic word
+decides, phrases of ordinary words are not seen, and false alarms grow with the length. A logistic line fitted on the
+training documents turns its margin into a probability.
 
 Null, empty and white-space texts have no window and get the score of the lowest margin, close to 0.
 """

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, toxicity
+from tablewright.llm import (embedding_dedup, lexical_search, license_scan, lm_scoring, nearest_lists, ngram_join, packing, quality_classifier,
+                             quality_rules, sentencepiece_bpe, suffix_dedup, toxicity, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +58,22 @@ def op10_lm_scoring_trigrams(spark, sf_dir):
     return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"), lm_scoring.TRIGRAMS)
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_lists(spark, sf_dir):
+    return nearest_lists.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [op1_license_scan, op2_embedding_dedup, op3_quality_rules, op4_quality_classifier, op5_packing, op6_toxicity, op7_sentencepiece,
-           op8_ngram_join, op9_suffix_dedup, op10_lm_scoring, op10_lm_scoring_trigrams]
+           op8_ngram_join, op9_suffix_dedup, op10_lm_scoring, op10_lm_scoring_trigrams, op11_lexical_search, op12_nearest_lists, op13_whitening]
 SQL: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op10_lm_scoring": lm_scoring.SQL,
-                       "op10_lm_scoring_trigrams": lm_scoring.SQL_TRIGRAMS}
+                       "op10_lm_scoring_trigrams": lm_scoring.SQL_TRIGRAMS, "op11_lexical_search": lexical_search.SQL}
 
 
 def queries():

@@ -87,23 +87,30 @@ class Chunk:
     def __init__(self, ids: list, texts: list):
         self.ids = ids
         self.data = [(t or "").encode("utf-8", "surrogatepass") if i is not None else b"" for i, t in zip(ids, texts)]
-
-    def slices(self):
-        """(numbers of the documents, all bytes, first byte of each document and the end, anchors, document of each)."""
-        group, size = [], 0
+        self.groups, group, size = [], [], 0
         for i, d in enumerate(self.data):
             if len(d) >= LENGTH:
                 group.append(i)
                 size += len(d)
             if size >= SLICE or i == len(self.data) - 1:
                 if group:
-                    data = np.frombuffer(b"".join(self.data[g] for g in group), np.uint8)
-                    first = np.concatenate([[0], np.cumsum([len(self.data[g]) for g in group])])
-                    at = anchor_places(data)
-                    doc = np.searchsorted(first, at, "right") - 1
-                    inside = at + ANCHOR <= first[doc + 1]
-                    yield np.array(group), data, first, at[inside], doc[inside]
+                    self.groups.append(np.array(group))
                 group, size = [], 0
+        #: anchors and their documents, slice by slice; looked for once
+        self.anchors: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def slices(self):
+        """(numbers of the documents, all bytes, first byte of each document and the end, anchors, document of each)."""
+        for k, group in enumerate(self.groups):
+            data = np.frombuffer(b"".join(self.data[g] for g in group), np.uint8)
+            first = np.concatenate([[0], np.cumsum([len(self.data[g]) for g in group])])
+            if k == len(self.anchors):
+                at = anchor_places(data)
+                doc = np.searchsorted(first, at, "right") - 1
+                inside = at + ANCHOR <= first[doc + 1]
+                self.anchors.append((at[inside].astype(np.uint32 if len(data) < 1 << 32 else np.int64), doc[inside].astype(np.uint32)))
+            at, doc = (x.astype(np.int64) for x in self.anchors[k])
+            yield group, data, first, at, doc
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Short hash and document of every anchor, in order."""
@@ -297,9 +304,10 @@ def _table(rows: list, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _kept(chunk: Chunk, shared: np.ndarray, bits: np.ndarray):
-    """(number of the document, kept bytes, removed, spans) of every document that loses something."""
-    text, left, right, least, cls, doc, at, ids = chunk.distinct(shared)
+def _kept(chunk: Chunk, found: tuple, bits: np.ndarray):
+    """(number of the document, kept bytes, removed, spans) of every document that loses something; ``found`` is what
+    ``chunk.distinct`` gave."""
+    text, left, right, least, cls, doc, at, ids = found
     valid = np.zeros(len(text), np.uint32)
     for o in range(BEFORE + 1):
         valid |= ((left >= o) & (right >= LENGTH - o)).astype(np.uint32) << np.uint32(o)
@@ -331,7 +339,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc_id", "text"] if digest else [id_col, text_col]
     chunks = max(1, CHUNKS * source.rdd.getNumPartitions())
     id_, text = quoted(names[0]), quoted(names[1])
-    dealt = source.withColumn("__chunk", F.pmod(F.xxhash64(id_, F.octet_length(text)), F.lit(chunks)).cast("int"))
+    chunk_col = "chunk"  # a name that no column of the documents has
+    while chunk_col.lower() in {c.lower() for c in source.columns}:
+        chunk_col = "_" + chunk_col
+    dealt = source.withColumn(chunk_col, F.pmod(F.xxhash64(id_, F.octet_length(text)), F.lit(chunks)).cast("int"))
     ddl = {"ask": "bucket int, chunk int, kind int, body binary, more binary", "answer": "chunk int, bucket int, kind int, body binary"}
     ask, answer = (to_arrow_schema(T.StructType.fromDDL(d)) for d in ddl.values())
     out = T.StructType([source.schema["doc_id"]] + T.StructType.fromDDL(SCHEMA).fields) if digest else docs.schema
@@ -345,7 +356,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         pack, _ = tools()
-        number, chunk = table.column("__chunk")[0].as_py(), chunk_of(table)
+        number, chunk = table.column(chunk_col)[0].as_py(), chunk_of(table)
         keys, doc = chunk.keys()
         unique, first, cls = np.unique(keys, return_index=True, return_inverse=True)
         ids = np.array([-1 if i is None else i for i in chunk.ids], np.int64)[doc]
@@ -386,7 +397,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pack, _ = tools()
         if not table.num_rows:
             return ask.empty_table()
-        number, chunk = table.column("__chunk")[0].as_py(), chunk_of(table)
+        number, chunk = table.column(chunk_col)[0].as_py(), chunk_of(table)
         parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist()))
         by_key = np.concatenate([np.zeros(0, bool)] + [bits_of(x) for _, x in parts])
         text, left, right, least, *_ = chunk.distinct(shared_of(chunk, by_key))
@@ -423,7 +434,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chunk = chunk_of(table)
         parts = list(zip(answers.column("bucket").to_pylist(), answers.column("kind").to_pylist(), answers.column("body").to_pylist()))
         shared = shared_of(chunk, bits_of(next(x for _, kind, x in parts if kind == 1)))
-        text = chunk.distinct(shared)[0]
+        found = chunk.distinct(shared)
+        text = found[0]
         bucket = _bucket(text, chunks)
         bits = np.zeros(len(text), np.uint32)
         for b, kind, x in parts:
@@ -431,7 +443,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 bits[bucket == b] = np.frombuffer(unpack(x), "<u4")
         whole = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(names[1]).to_pylist()]
         kept = [(d, 0, 0) for d in whole]
-        for number, data, removed, spans in _kept(chunk, shared, bits):
+        for number, data, removed, spans in _kept(chunk, found, bits):
             kept[number] = (data, removed, spans)
         if digest:
             columns = [table.column("doc_id"), [len(d) for d in whole], [k[1] for k in kept], [k[2] for k in kept],
@@ -443,11 +455,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         table = table.select([f.name for f in arrow])
         return table.set_column(table.column_names.index(text_col), arrow.field(text_col), pa.array(new, type=pa.string()).cast(arrow.field(text_col).type)).cast(arrow)
 
-    by_chunk = dealt.groupBy("__chunk")
-    first = dealt.groupBy("__chunk").applyInArrow(ask_anchors, ddl["ask"]).groupBy("bucket").applyInArrow(shared_anchors, ddl["answer"])
+    by_chunk = dealt.groupBy(chunk_col)
+    first = dealt.groupBy(chunk_col).applyInArrow(ask_anchors, ddl["ask"]).groupBy("bucket").applyInArrow(shared_anchors, ddl["answer"])
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(ask_surroundings, ddl["ask"])
     bits = second.groupBy("bucket").applyInArrow(compare, ddl["answer"])
-    return dealt.groupBy("__chunk").cogroup(bits.groupBy("chunk")).applyInArrow(finish, out)
+    return dealt.groupBy(chunk_col).cogroup(bits.groupBy("chunk")).applyInArrow(finish, out)
 
 
 def _bucket(text: np.ndarray, buckets: int) -> np.ndarray:

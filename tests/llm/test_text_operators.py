@@ -287,6 +287,16 @@ def test_linked_vectors_of_uneven_spectra_and_of_every_length(spark):
     assert got == want and min(want.values()) >= 1
 
 
+
+def test_suffix_dedup_leaves_other_columns_alone_whatever_their_name(spark):
+    shared = prose(31, 40)
+    rows = [(i, f"{prose(40 + i, 30)} {shared} {prose(60 + i, 30)}", 7 + i, 90 + i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk int, __chunk int")
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs).collect()}
+    assert [(got[i].chunk, got[i]["__chunk"]) for i in range(3)] == [(7 + i, 90 + i) for i in range(3)]
+    assert got[0].text == rows[0][1] and all(shared not in got[i].text for i in (1, 2))
+
+
 # -- licences and language model
 
 def test_license_scan_on_odd_texts(spark):

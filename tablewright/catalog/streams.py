@@ -27,18 +27,52 @@ def _(t):
     return rounded(detectors.page_hinkley(t.events, "event_type", "ts", "event_id", "value", chunk=500), 4)
 
 
-@query("adaptive_window", "L1")
+def _window_sql() -> str:
+    """The adaptive window in SQL: a list of buckets (newest first), one recursion step a value.
+
+    Fourteen levels of joining are written out, enough for 5 * 2^14 values in a window.
+    """
+    state = "list_concat([{'n': 1::BIGINT, 's': e.v}], coalesce(h.kept, []::STRUCT(n BIGINT, s DOUBLE)[]))"
+    source = f"(SELECT e.feature, e.event_id, e.rn, {state} AS b FROM @here)"
+    for level in range(14):
+        n = 2 ** level
+        run = f"list_filter(b, lambda x: x.n = {n})"
+        joined = (f"list_concat(list_concat(list_filter(b, lambda x: x.n < {n}), ({run})[1:4]), "
+                  f"list_concat([{{'n': {2 * n}::BIGINT, 's': ({run})[5].s + ({run})[6].s}}], list_filter(b, lambda x: x.n > {n})))")
+        source = f"(SELECT feature, event_id, rn, CASE WHEN len({run}) > 5 THEN {joined} ELSE b END AS b FROM {source})"
+    sums, sizes = "list_transform(b, lambda x: x.s)", "list_transform(b, lambda x: x.n)"
+    right = f"list_transform(range(1, len(b)), lambda k: {{'k': k, 'rs': list_sum(({sums})[1:k]), 'rn': list_sum(({sizes})[1:k])}})"
+    cut = f"(SELECT *, list_sum({sums}) AS t, list_sum({sizes})::BIGINT AS w, {right} AS c FROM {source})"
+    ok = ("list_filter(c, lambda x: x.rn >= 5 AND w - x.rn >= 5 AND w >= 10 AND abs((t - x.rs) / (w - x.rn) - x.rs / x.rn) > "
+          "sqrt(0.5 * ln(4 / 0.002) * (1 / (w - x.rn) + 1 / x.rn)))")
+    step = (f"SELECT feature, event_id, rn, len({ok}) > 0 AS drift, "
+            f"CASE WHEN len({ok}) > 0 THEN b[1:list_max(list_transform({ok}, lambda x: x.k))] ELSE b END AS kept FROM {cut}")
+    first = step.replace("@here", "(SELECT * FROM e WHERE rn = 1) e, (SELECT NULL::STRUCT(n BIGINT, s DOUBLE)[] AS kept) h")
+    later = step.replace("@here", "g h JOIN e ON e.feature = h.feature AND e.rn = h.rn + 1")
+    return f"g AS ({first} UNION ALL {later})"
+
+
+BOTH = PH + ", " + _window_sql() + """ SELECT event_id AS id, feature, g.drift AS adwin_drift, total - low > 50 AS ph_drift
+FROM h JOIN g USING (feature, event_id)"""
+
+
+@query("adaptive_window", "L1", PH + ", " + _window_sql() + """ SELECT feature, event_id, drift,
+  list_sum(list_transform(kept, lambda x: x.n))::BIGINT AS width FROM g""")
 def _(t):
     return detectors.adaptive_window(t.events, "event_type", "ts", "event_id", "value")
 
 
-@query("online_detectors", "L1 L2 L3", PH + " SELECT event_id AS id, feature, total - low > 50 AS ph_drift FROM h")
+@query("adaptive_window_exact", "L1")
 def _(t):
-    out = drain(detectors.online_detectors(events(t), "event_type", "ts", "event_id", "value"))
-    return out.select("id", "feature", "ph_drift")
+    return detectors.adaptive_window(t.events, "event_type", "ts", "event_id", "value", exact_width=2000)
 
 
-@query("online_detectors_both", "L1 L3")
+@query("online_detectors", "L1 L2 L3", BOTH)
+def _(t):
+    return drain(detectors.online_detectors(events(t), "event_type", "ts", "event_id", "value"))
+
+
+@query("online_detectors_both", "L1 L3", BOTH)
 def _(t):
     return drain(detectors.online_detectors(events(t), "event_type", "ts", "event_id", "value"))
 

@@ -38,8 +38,8 @@ def point_in_time_join(entity_df: DataFrame, features: DataFrame, entities: list
 
     Equal times match; of several feature rows at one time the largest by value wins, so the
     result does not depend on row order; left rows without a match keep nulls. Both sides are
-    unioned and walked by a window per entity and time bucket; the last feature of the
-    earlier buckets is carried in, so a hot entity is split over its buckets.
+    unioned and walked by a window per entity and piece of time; the last feature of the
+    earlier pieces is carried in, so a hot entity is split however many of its rows share a time.
     """
     feature_time = feature_time or time
     columns = columns or [c for c in features.columns if c not in entities and c != feature_time]
@@ -49,13 +49,15 @@ def point_in_time_join(entity_df: DataFrame, features: DataFrame, entities: list
     for e in entities:
         right = right.where(quoted(e).isNotNull())
     right_type = right.select(F.struct(*[quoted(c) for c in columns]).alias("f")).schema["f"].dataType
+    hashed = [quoted(f.name) for f in entity_df.schema.fields if "map<" not in f.dataType.simpleString()]
     both = entity_df.select(
-        *[quoted(e) for e in entities], quoted(time).alias("__t"), F.lit(1).alias("__side"),
+        *[quoted(e) for e in entities], quoted(time).alias("__t"), F.lit(1).alias("__side"), F.xxhash64(*hashed).alias("__h"),
         F.struct(*[quoted(c) for c in left_cols]).alias("__l"), F.lit(None).cast(right_type).alias("__f"),
     ).unionByName(right.select(
-        *[quoted(e) for e in entities], quoted(feature_time).alias("__t"), F.lit(0).alias("__side"),
+        *[quoted(e) for e in entities], quoted(feature_time).alias("__t"), F.lit(0).alias("__side"), F.lit(0).cast("bigint").alias("__h"),
         F.lit(None).cast(left_type).alias("__l"), F.struct(*[quoted(c) for c in columns]).alias("__f")))
-    b = bucketed(both, "__t", bucket_seconds)
+    # left rows of one time may stand in any order, so a hash of the row parts them
+    b = bucketed(both, entities, "__t", ["__side", "__f", "__h"], bucket_seconds)
     carry = carry_in(b, entities, F.col("__f"), F.struct("__t", "__f"))
     inside = W.partitionBy(*entities, BUCKET).orderBy("__t", "__side", "__f").rowsBetween(W.unboundedPreceding, 0)
     local = b.withColumn("__m", F.last("__f", ignorenulls=True).over(inside)).where("__side = 1")

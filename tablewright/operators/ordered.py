@@ -1,8 +1,13 @@
 """Order-dependent work per key that does not put a whole key into one task.
 
-Rows are cut into time buckets. Inside a bucket a window does the work; what crosses a
-bucket border (the last value, a count) is one row per key and bucket, so a key that
-holds a third of all rows is spread over as many tasks as it has buckets.
+Rows are cut into time buckets, and buckets that hold too many rows into pieces of about
+equal depth, at cut points in (time, tie) order. Inside a piece a window does the work; what
+crosses a border (the last value, a count) is one row per key and piece, so a key that
+holds a third of all rows, or all of them at one time, is spread over as many tasks as its
+rows need.
+
+The cut points come from two passes: one counts rows per key and bucket, the other takes a
+sample, by hash, of the buckets found too large. The sample affects balance, never the result.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from tablewright.functions.columns import quoted
 
 BUCKET = "__bucket"
 DAY = 86_400
+#: rows wanted in a piece, sample rows drawn for each piece, and most pieces that hot buckets are cut into
+#: (their cut points are broadcast, about a hundred bytes each; beyond that pieces get larger)
+TARGET_ROWS, DRAWN, MOST_CUTS = 1_000_000, 64, 50_000
 
 
 def micros(df: DataFrame, time: str) -> Column:
@@ -27,8 +35,44 @@ def micros(df: DataFrame, time: str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def bucketed(df: DataFrame, time: str, seconds: int = DAY) -> DataFrame:
-    return df.withColumn(BUCKET, F.floor(micros(df, time) / (seconds * 1_000_000)).cast("bigint"))
+def bucketed(df: DataFrame, keys: list[str], time: str, tie: list[str], seconds: int = DAY, target: int | None = None) -> DataFrame:
+    """Adds ``BUCKET``, a (time bucket, piece) pair that is in the order of (time, tie) within the keys.
+
+    No piece holds many more than ``target`` rows unless more rows agree in keys, time and ties.
+    """
+    target = target or TARGET_ROWS
+    coarse = F.floor(micros(df, time) / (seconds * 1_000_000)).cast("bigint")
+    sizes = df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], coarse.alias("__c")).groupBy(
+        *[f"__k{i}" for i in range(len(keys))], "__c").agg(F.count(F.lit(1)).alias("__n"))
+    total, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    if (most or 0) <= 2 * target:
+        return df.withColumn(BUCKET, F.struct(coarse.alias("b"), F.lit(0).cast("bigint").alias("p")))
+    target = max(target, -(-total // MOST_CUTS))
+    names = [f"__k{i}" for i in range(len(keys))] + ["__c"]
+    hot = F.broadcast(sizes.where(F.col("__n") > 2 * target))  # at most total / (2 target) rows, so half of MOST_CUTS
+    place = F.struct(quoted(time).alias("t"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(tie)])
+    there = df.withColumn("__cell", coarse)
+
+    def on(other: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [there[k].eqNullSafe(other[n]) for k, n in zip([*keys, "__cell"], names)])
+
+    # rows that agree in key, time and ties have one hash; DRAWN sample rows for each piece
+    drawn = F.pmod(F.xxhash64(*[there[k] for k in keys], F.to_json(F.struct(place))), F.lit(target)) < DRAWN
+    sample = there.where(drawn).join(hot, on(hot)).select(*[F.col(n) for n in names], "__n", place.alias("at")).distinct()
+    inside = W.partitionBy(*names).orderBy("at")
+    whole = W.partitionBy(*names)
+    share = F.floor((F.row_number().over(inside) - 1) * F.ceil(F.col("__n") / target) / F.count(F.lit(1)).over(whole))
+    cuts = (sample.withColumn("piece", share).groupBy(*names, "piece").agg(F.min("at").alias("at")).where("piece > 0")
+            .groupBy(*names).agg(F.sort_array(F.collect_list("at")).alias("__cuts")))
+    # blocks of cut points: a row is held against the first of each block, then against one block
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__cuts"))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / size).cast("int")), lambda i: F.slice("__cuts", i * size + 1, size))
+    cuts = F.broadcast(cuts.withColumn("__size", size).withColumn("__blocks", blocks).drop("__cuts"))
+    joined = there.join(cuts, on(cuts), "left")
+    before = F.size(F.filter("__blocks", lambda b: F.get(b, F.lit(0)) <= place))
+    within = F.size(F.filter(F.get("__blocks", before - 1), lambda c: c <= place))
+    piece = F.when(F.col("__blocks").isNull() | (before == 0), F.lit(0)).otherwise((before - 1) * F.col("__size") + within)
+    return joined.select(*[there[c] for c in df.columns], F.struct(there["__cell"].alias("b"), piece.cast("bigint").alias("p")).alias(BUCKET))
 
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -49,7 +93,7 @@ def carry_in(df: DataFrame, keys: list[str], value: Column, order: Column) -> Da
 def previous_value(df: DataFrame, keys: list[str], time: str, tie: list[str], value: str, name: str,
                    seconds: int = DAY) -> DataFrame:
     """Adds the value of the row before, in (time, tie) order within the keys; null where that row has none."""
-    b = bucketed(df, time, seconds)
+    b = bucketed(df, keys, time, tie, seconds)
     order = F.struct(quoted(time), *[quoted(c) for c in tie])
     row = F.struct(quoted(value).alias("v"))  # never null itself, so a null value is carried too
     carry = carry_in(b, keys, row, order)
@@ -62,7 +106,7 @@ def previous_value(df: DataFrame, keys: list[str], time: str, tie: list[str], va
 def row_numbers(df: DataFrame, keys: list[str], time: str, tie: list[str], name: str = "rn",
                 seconds: int = DAY) -> DataFrame:
     """Adds the 1-based position in (time, tie) order within the keys."""
-    b = bucketed(df, time, seconds)
+    b = bucketed(df, keys, time, tie, seconds)
     sizes = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))

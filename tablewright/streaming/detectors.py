@@ -2,8 +2,13 @@
 
 Each exists as a keyed streaming state and as a batch form over a stored history. The
 adaptive window is sequential per feature by definition (a cut decides what later cuts
-see); its batch form streams sorted rows and holds the current window only. Page-Hinkley
-is a linear recurrence, so its batch form is parallel inside a feature as well.
+see). It is kept in buckets whose sizes double, so its state and the time of an update grow
+with the logarithm of the window; an exact window exists beside it for a width that the
+caller bounds. Page-Hinkley is a linear recurrence, so its batch form is parallel inside a
+feature as well.
+
+The streaming form keeps its state in ``transformWithState``, which needs the RocksDB state
+store; ``online_detectors`` sets it for the session.
 """
 
 from __future__ import annotations
@@ -15,50 +20,94 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 from tablewright.functions.columns import quoted
 from tablewright.operators.ordered import DAY, row_numbers
 
 MIN_WIDTH, MIN_SIDE = 10, 5
+#: buckets of one size before the two oldest are joined
+BUCKETS = 5
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class AdaptiveWindow:
-    """Window of recent values that drops its old part when both parts' means differ.
+def first_cut(sums: np.ndarray, sizes: np.ndarray, spread: float) -> int:
+    """Pieces (oldest first) to the left of the first border whose sides differ; 0 if none does.
 
-    One update looks at all splits at once through prefix sums; the first split that differs
-    is the cut, and at most one cut is made per update.
+    Both sides hold at least ``MIN_SIDE`` values; means differ by more than sqrt(spread (1/left + 1/right)).
+    """
+    left = np.cumsum(sizes)
+    n, total = left[-1], sums.sum()
+    if n < MIN_WIDTH:
+        return 0
+    left, head = left[:-1], np.cumsum(sums)[:-1]
+    right = n - left
+    with np.errstate(divide="ignore", invalid="ignore"):
+        differs = np.abs(head / left - (total - head) / right) > np.sqrt(spread * (1.0 / left + 1.0 / right))
+    cuts = np.flatnonzero((left >= MIN_SIDE) & (right >= MIN_SIDE) & differs)
+    return int(cuts[0]) + 1 if len(cuts) else 0
+
+
+class BucketWindow:
+    """Adaptive window over buckets of 1, 2, 4, … values, each known by its sum.
+
+    Of every size there are at most ``BUCKETS``; one more, and the two oldest become one of twice the size. Borders
+    between buckets are the possible cuts, at most one cut is made per update, and what lies left of it is dropped.
+    A window of n values is about 5 log2(n / 5) numbers.
     """
 
-    def __init__(self, delta: float = 0.002, values: list[float] | None = None):
+    def __init__(self, delta: float = 0.002, sums: list[float] | None = None, levels: list[int] | None = None):
         self.spread = 0.5 * math.log(4.0 / delta)
-        self.buffer = np.array(values or [], dtype=float)
-        self.size = len(self.buffer)
+        self.sums, self.levels = list(sums or []), list(levels or [])  # oldest first; level l holds 2^l values
+
+    def update(self, value: float) -> bool:
+        sums, levels = self.sums, self.levels
+        sums.append(value)
+        levels.append(0)
+        end, level = len(levels), 0
+        while True:
+            start = end
+            while start and levels[start - 1] == level:
+                start -= 1
+            if end - start <= BUCKETS:
+                break
+            sums[start:start + 2] = [sums[start] + sums[start + 1]]
+            levels[start:start + 2] = [level + 1]
+            end, level = start + 1, level + 1
+        cut = first_cut(np.array(sums), np.left_shift(1, np.array(levels, np.int64)), self.spread)
+        del sums[:cut], levels[:cut]
+        return cut > 0
+
+    @property
+    def size(self) -> int:
+        return sum(1 << x for x in self.levels)
+
+
+class AdaptiveWindow:
+    """The exact window: every split is looked at, and at most ``width`` values are kept (the oldest go first).
+
+    An update takes time in proportion to the window.
+    """
+
+    def __init__(self, delta: float = 0.002, width: int = 10_000):
+        self.spread, self.width = 0.5 * math.log(4.0 / delta), width
+        self.buffer, self.size = np.empty(64), 0
 
     def update(self, value: float) -> bool:
+        if self.size == self.width:
+            self.buffer[:self.size - 1] = self.buffer[1:self.size]
+            self.size -= 1
         if self.size == len(self.buffer):
-            self.buffer = np.concatenate([self.buffer, np.empty(max(64, self.size))])
+            self.buffer = np.concatenate([self.buffer, np.empty(self.size)])
         self.buffer[self.size] = value
         self.size += 1
-        n = self.size
-        if n < MIN_WIDTH:
-            return False
-        sums = np.cumsum(self.buffer[:n])
-        left = np.arange(MIN_SIDE, n - MIN_SIDE + 1)
-        right = n - left
-        head = sums[left - 1]
-        gap = np.abs(head / left - (sums[-1] - head) / right)
-        cuts = np.flatnonzero(gap > np.sqrt(self.spread * (1.0 / left + 1.0 / right)))
-        if not len(cuts):
-            return False
-        kept = self.buffer[left[cuts[0]]:n].copy()
-        self.buffer, self.size = kept, len(kept)
-        return True
-
-    @property
-    def values(self) -> list[float]:
-        return self.buffer[:self.size].tolist()
+        cut = first_cut(self.buffer[:self.size], np.ones(self.size, np.int64), self.spread)
+        if cut:
+            self.buffer = self.buffer[cut:self.size].copy()
+            self.size -= cut
+        return cut > 0
 
 
 class PageHinkley:
@@ -80,8 +129,13 @@ class PageHinkley:
         return self.count, self.mean, self.total, self.low
 
 
-def adaptive_window(history: DataFrame, feature: str, time: str, tie: str, value: str, delta: float = 0.002) -> DataFrame:
-    """(feature, tie, drift, width) for every row of a stored history."""
+def adaptive_window(history: DataFrame, feature: str, time: str, tie: str, value: str, delta: float = 0.002,
+                    exact_width: int | None = None) -> DataFrame:
+    """(feature, tie, drift, width) for every row of a stored history.
+
+    Rows of a feature stream through one task in order, which holds the window only: its buckets, or with ``exact_width``
+    that many values.
+    """
     rows = (history.where(quoted(value).isNotNull())
             .select(quoted(feature).alias("feature"), quoted(time).alias("__t"), quoted(tie).alias(tie),
                     quoted(value).cast("double").alias("__v"))
@@ -94,7 +148,7 @@ def adaptive_window(history: DataFrame, feature: str, time: str, tie: str, value
             drift, width = [], []
             for f, v in zip(batch["feature"], batch["__v"]):
                 if window is None or f != current:
-                    current, window = f, AdaptiveWindow(delta)
+                    current, window = f, AdaptiveWindow(delta, exact_width) if exact_width else BucketWindow(delta)
                 drift.append(window.update(v))
                 width.append(window.size)
             yield pd.DataFrame({"feature": batch["feature"], tie: batch[tie], "drift": drift, "width": width})
@@ -143,31 +197,44 @@ def page_hinkley(history: DataFrame, feature: str, time: str, tie: str, value: s
         "feature", tie, "total", (F.col("total") - low > threshold).alias("drift"))
 
 
-STATE = "window array<double>, n bigint, mean double, total double, low double"
+STATE = "sums array<double>, levels array<int>, n bigint, mean double, total double, low double"
 OUTPUT = "feature string, id bigint, adwin_drift boolean, ph_drift boolean"
 
 
+class Detectors(StatefulProcessor):
+    """Both detectors of one feature: the buckets and four numbers."""
+
+    def __init__(self, delta: float, threshold: float):
+        self.delta, self.threshold = delta, threshold
+        self.schema = T.StructType.fromDDL(STATE)  # read here: the workers have no session
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("detectors", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sums, levels, *page = self.state.get() if self.state.exists() else ([], [], 0, 0.0, 0.0, math.inf)
+        window = BucketWindow(self.delta, sums, levels)
+        hinkley = PageHinkley(threshold=self.threshold, state=tuple(page))
+        new = pd.concat(list(rows)).sort_values(["t", "id"])
+        found = [(window.update(v), hinkley.update(v)) for v in new["v"]]
+        self.state.update(([float(x) for x in window.sums], window.levels, *hinkley.state))
+        yield pd.DataFrame({"feature": key[0], "id": new["id"].to_numpy(), "adwin_drift": [a for a, _ in found],
+                            "ph_drift": [p for _, p in found]})
+
+    def close(self) -> None:
+        pass
+
+
 def online_detectors(stream: DataFrame, feature: str, time: str, tie: str, value: str, delta: float = 0.002,
                      threshold: float = 50.0) -> DataFrame:
     """(feature, id, adwin_drift, ph_drift) per arriving value, both detectors in one state per feature.
 
     Values of one micro-batch are taken in (time, tie) order; the size of a micro-batch is
-    bounded by the source's rate option.
+    bounded by the source's rate option. The state of a feature is a few hundred numbers however many values came.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.where(quoted(value).isNotNull()).select(
         quoted(feature).cast("string").alias("feature"), quoted(time).alias("t"), quoted(tie).cast("bigint").alias("id"),
         quoted(value).cast("double").alias("v"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = state.get if state.exists else ([], 0, 0.0, 0.0, math.inf)
-        window = AdaptiveWindow(delta, list(stored[0]))
-        hinkley = PageHinkley(threshold=threshold, state=tuple(stored[1:]))
-        new = pd.concat(list(batches)).sort_values(["t", "id"])
-        a, p = [], []
-        for v in new["v"]:
-            a.append(window.update(v))
-            p.append(hinkley.update(v))
-        state.update((window.values, *hinkley.state))
-        yield pd.DataFrame({"feature": key[0], "id": new["id"].to_numpy(), "adwin_drift": a, "ph_drift": p})
-
-    return rows.groupBy("feature").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    return rows.groupBy("feature").transformWithStateInPandas(
+        Detectors(delta, threshold), T.StructType.fromDDL(OUTPUT), "append", "None")

@@ -38,6 +38,54 @@ def test_previous_next_and_numbers(frame, log, seconds):
     assert values(ordered.row_numbers(frame, ["k"], "t", ["id"], "rn", seconds), "rn") == (g.cumcount() + 1).tolist()
 
 
+@pytest.fixture
+def rush(spark, monkeypatch):
+    """Nine rows in ten belong to one key and one hour, half of those to one second."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    hot = rng.random(n) < 0.9
+    second = np.where(rng.random(n) < 0.5, 1800, rng.integers(0, 3600, n))
+    log = pd.DataFrame({"k": np.where(hot, 0, rng.integers(1, 5, n)), "t": np.where(hot, second, rng.integers(0, 200_000, n)) * 1_000_000,
+                        "id": rng.permutation(n), "v": rng.normal(size=n)}).sort_values(["k", "t", "id"]).reset_index(drop=True)
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 200)
+    return log, spark.createDataFrame(log).repartition(5)
+
+
+def test_no_piece_of_a_rush_hour_is_large_and_pieces_are_in_order(rush):
+    log, frame = rush
+    pieces = ordered.bucketed(frame, ["k"], "t", ["id"], 3600).groupBy("k", ordered.BUCKET).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).collect()
+    assert max(r["n"] for r in pieces) <= 2 * 200 and sum(r["n"] for r in pieces) == len(log)
+    mine = sorted((r[ordered.BUCKET], r["lo"], r["hi"]) for r in pieces if r["k"] == 0)
+    assert len(mine) > 12 and all(a[2] < b[1] for a, b in zip(mine, mine[1:]))
+
+
+def test_results_do_not_depend_on_the_pieces(rush, monkeypatch):
+    log, frame = rush
+    g = log.groupby("k")
+    assert values(ordered.row_numbers(frame, ["k"], "t", ["id"], "rn", 3600), "rn") == (g.cumcount() + 1).tolist()
+    prev = values(ordered.previous_value(frame, ["k"], "t", ["id"], "id", "p", 3600), "p")
+    assert [None if pd.isna(x) else int(x) for x in g["id"].shift(1)] == prev
+    following = values(ordered.next_value(frame, ["k"], "t", ["id"], "id", "p", 3600), "p")
+    assert [None if pd.isna(x) else int(x) for x in g["id"].shift(-1)] == following
+    monkeypatch.setattr(ordered, "MOST_CUTS", 8)  # fewer, larger pieces
+    assert values(ordered.row_numbers(frame, ["k"], "t", ["id"], "rn", 3600), "rn") == (g.cumcount() + 1).tolist()
+
+
+def test_point_in_time_join_in_a_rush_hour(rush, spark):
+    log, frame = rush
+    left = frame.where("id % 3 = 0").select("k", "t", "id")
+    right = frame.where("id % 3 <> 0").select("k", "t", F.col("id").alias("f"))
+    got = {r["id"]: r["f"] for r in joins.point_in_time_join(left, right, ["k"], "t", bucket_seconds=3600).collect()}
+    want, last = {}, {}
+    for (k, t), rows in log.groupby(["k", "t"], sort=True):
+        features = [i for i in rows["id"] if i % 3]
+        if features:
+            last[k] = max(features)
+        want.update({i: last.get(k) for i in rows["id"] if i % 3 == 0})
+    assert got == want
+
+
 @pytest.mark.parametrize("chunk", [20, 33, 5000])
 def test_rolling(frame, log, chunk):
     got = values(ordered.rolling(frame, ["k"], "t", ["id"], 20, {"m": F.avg("v"), "n": F.count("v")}, 3000, chunk), "m")

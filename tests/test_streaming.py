@@ -37,8 +37,51 @@ def test_adaptive_window(spark, shifts):
     d = detectors.AdaptiveWindow()
     assert [(d.update(v), d.size) for v in shifts] == naive_window(shifts)
     df = spark.createDataFrame(pd.DataFrame({"f": "a", "t": range(len(shifts)), "id": range(len(shifts)), "v": shifts})).repartition(6)
-    got = detectors.adaptive_window(df, "f", "t", "id", "v").orderBy("id").collect()
+    got = detectors.adaptive_window(df, "f", "t", "id", "v", exact_width=1000).orderBy("id").collect()
     assert [(r["drift"], r["width"]) for r in got] == naive_window(shifts)
+    got = detectors.adaptive_window(df, "f", "t", "id", "v").orderBy("id").collect()
+    assert [(r["drift"], r["width"]) for r in got] == naive_buckets(shifts)
+
+
+def naive_buckets(values, delta=0.002):
+    """Buckets as lists of raw values, oldest first; all borders tried from the left."""
+    buckets, flags = [], []
+    for v in values:
+        buckets.append([v])
+        size = 1
+        while len(same := [i for i, b in enumerate(buckets) if len(b) == size]) > 5:
+            i, j = same[:2]
+            buckets[i:j + 1] = [buckets[i] + buckets[j]]
+            size *= 2
+        hit = False
+        for k in range(1, len(buckets)):
+            left, right = sum(buckets[:k], []), sum(buckets[k:], [])
+            if min(len(left), len(right)) >= 5 and abs(np.mean(left) - np.mean(right)) > np.sqrt(
+                    np.log(4.0 / delta) / 2 * (1 / len(left) + 1 / len(right))):
+                buckets, hit = buckets[k:], True
+                break
+        flags.append((hit, sum(map(len, buckets))))
+    return flags
+
+
+def test_bucket_window_is_small_and_finds_the_cuts_of_the_exact_one(shifts):
+    window = detectors.BucketWindow()
+    for _ in range(1_000_000 // 997 + 1):  # quiet values
+        for x in range(997):
+            window.update(0.5 + (x % 7) * 1e-3)
+    assert window.size >= 1_000_000 and len(window.sums) * 12 < 2048  # eight bytes of sum, four of level
+    assert window.update(0.5) is False
+    exact, rough = detectors.AdaptiveWindow(), detectors.BucketWindow()
+    cuts = [[i for i, v in enumerate(shifts) if w.update(v)] for w in (exact, rough)]
+    for border in (150, 270):  # the series shifts here; both see it within a few values
+        assert [next(i for i in c if i >= border) - border < 15 for c in cuts] == [True, True]
+    assert abs(exact.size - rough.size) <= 40
+
+
+def test_exact_window_keeps_at_most_its_width():
+    window = detectors.AdaptiveWindow(width=50)
+    sizes = [(window.update(0.1), window.size)[1] for _ in range(130)]
+    assert max(sizes) == 50 and sizes[-1] == 50
 
 
 @pytest.mark.parametrize("chunk,alpha", [(7, 0.9999), (64, 0.9), (64, 1.0), (100_000, 0.9999)])
@@ -66,7 +109,7 @@ def test_online_detectors_over_several_batches(spark, shifts, folder):
     n = len(shifts)
     pdf = pd.DataFrame({"f": "a", "t": np.arange(n), "id": np.arange(n), "v": shifts})
     out = drain(detectors.online_detectors(write_parts(spark, pdf, f"{folder}/in", 4), "f", "t", "id", "v", threshold=20.0)).orderBy("id").collect()
-    d, w = detectors.PageHinkley(threshold=20.0), detectors.AdaptiveWindow()
+    d, w = detectors.PageHinkley(threshold=20.0), detectors.BucketWindow()
     assert [(r["adwin_drift"], r["ph_drift"]) for r in out] == [(w.update(v), d.update(v)) for v in shifts]
 
 

@@ -215,7 +215,7 @@ def _(t):
     scored = t.scored_multi.join(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
     hit = F.avg((F.col("actual") == F.col("pred")).cast("int"))
     out = ordered.rolling(scored, ["o_orderpriority"], "o_orderdate", ["o_orderkey"], 1000, {"accuracy": hit},
-                          seconds=30 * 86_400, chunk=1000)
+                          seconds=30 * 86_400)
     return rounded(out.select("o_orderkey", "accuracy"))
 
 

@@ -2,59 +2,30 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, chunks, is_missing, numeric_columns, quoted, stats_rows
+from tablewright.functions.columns import as_double, numeric_columns, quoted
 from tablewright.functions.labels import correlation_direction, correlation_strength
+from tablewright.operators.gram import correlation, pair_moments
 from tablewright.operators.summary import top_variance
 
-PAIRS_PER_AGGREGATE = 28
-
-
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows where both are present; null where it is undefined.
-
-    The built-in ``corr`` stops the query on a constant column under ANSI rules.
-    """
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
 
-def dense_columns(df: DataFrame, cols: list[str]) -> set[str]:
-    """Columns without a missing value and with some spread: for these ``corr`` itself is safe
-    and costs a third. One narrow job; its result is one row per column."""
-    stats = stats_rows(df, cols, lambda d, c: [
-        F.count_if(is_missing(d, c)).alias("nulls"), F.stddev_pop(as_double(d, c)).alias("std")])
-    return {r["column"] for r in stats.collect() if r["nulls"] == 0 and (r["std"] or 0.0) > 0.0}
+def _named(names: list[str], at: str) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in names]), F.col(at))
 
 
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(feature1, feature2, correlation) for i < j in column order; undefined pairs left out.
 
-    All pairs of a chunk are one aggregate: a scan and a one-row shuffle.
+    One scan for all pairs, whatever their number.
     """
     cols = cols or numeric_columns(df)
-    pairs = list(combinations(cols, 2))
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    dense = dense_columns(df, cols)
-
-    def one(a: str, b: str) -> Column:
-        x, y = as_double(df, a), as_double(df, b)
-        return F.corr(x, y) if a in dense and b in dense else pearson(x, y)
-
-    parts = []
-    for part in chunks(pairs, PAIRS_PER_AGGREGATE):
-        rows = F.array(*[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), one(a, b).alias("correlation")) for a, b in part])
-        parts.append(df.agg(rows.alias("r")).select(F.inline("r")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+    moments = pair_moments(df, cols)
+    found = moments.select(_named(cols, "i").alias("feature1"), _named(cols, "j").alias("feature2"), correlation(moments).alias("correlation"))
+    return found.where(F.col("correlation").isNotNull())
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -84,11 +55,11 @@ def high_correlations(df: DataFrame, threshold: float = 0.8, cols: list[str] | N
 def correlation_with_target(df: DataFrame, target: str, k: int = 3, cols: list[str] | None = None) -> DataFrame:
     """The k columns of largest |r| with the target; the target itself takes part with 1."""
     cols = cols or numeric_columns(df)
-    t = as_double(df, target)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.abs(pearson(as_double(df, c), t)).alias("abs_correlation"))
-                     for c in cols])
-    return (df.agg(rows.alias("r")).select(F.inline("r"))
-            .where(F.col("abs_correlation").isNotNull() & ~F.isnan("abs_correlation"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, abs_correlation double")
+    moments = pair_moments(df, cols, [target])
+    return (moments.select(_named(cols, "i").alias("column"), F.abs(correlation(moments)).alias("abs_correlation"))
+            .where(F.col("abs_correlation").isNotNull())
             .orderBy(F.col("abs_correlation").desc(), "column").limit(k))
 
 

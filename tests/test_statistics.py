@@ -88,6 +88,41 @@ def test_histogram_edges_fall_right(spark):
     assert got == np.histogram(values, bins=10)[0].tolist()
 
 
+def test_two_hundred_columns_with_gaps_take_one_scan(spark, capsys):
+    rng = np.random.default_rng(5)
+    n, k = 400, 200
+    x = rng.normal(size=(n, 1)) * rng.normal(size=k) + rng.normal(size=(n, k)) * rng.uniform(0.1, 3, k) + 10.0 ** rng.integers(0, 9, k)
+    x[rng.random((n, k)) < 0.2] = np.nan
+    x[:, 7] = 0.1  # no spread
+    x[::3, 8], x[1::3, 8], x[2::3, 8] = 0.3, np.nan, 0.3  # none where others are present
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(k)])
+    df = spark.createDataFrame(pdf).repartition(5)
+    pairs = correlation.correlation_pairs(df)
+    # one read of the rows: all that is aggregated afterwards are moments
+    pairs.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    got = {(r["feature1"], r["feature2"]): r["correlation"] for r in pairs.collect()}
+    want = pdf.corr()
+    assert len(got) == 198 * 197 // 2
+    for (a, b), r in got.items():
+        assert math.isclose(r, want.loc[a, b], rel_tol=1e-6, abs_tol=1e-7)
+
+
+def test_correlation_with_infinite_distant_and_empty_values(spark):
+    inf, nan = float("inf"), float("nan")
+    a = [1e9 + i for i in range(50)] + [None] * 3
+    b = [float(i * i) for i in range(50)] + [1.0, 2.0, 3.0]
+    c = [inf] + [float(i) for i in range(49)] + [5.0, 6.0, 9.0]
+    d = [None] * 50 + [1.0, 2.0, 4.0]
+    df = spark.createDataFrame(list(zip(a, b, c, d)), "a double, b double, c double, d double").repartition(4)
+    got = {(r["feature1"], r["feature2"]): r["correlation"] for r in correlation.correlation_pairs(df).collect()}
+    plain = np.corrcoef(np.arange(50), b[:50])[0, 1]
+    assert set(got) == {("a", "b"), ("b", "d"), ("c", "d")} and math.isclose(got["a", "b"], plain, rel_tol=1e-9)
+    target = correlation.correlation_with_target(df, "b", 9).collect()
+    assert [(r["column"], round(r["abs_correlation"], 9)) for r in target[:1]] == [("b", 1.0)] and {r["column"] for r in target} == {"a", "b", "d"}
+    assert correlation.correlation_pairs(df.limit(0)).collect() == []
+
+
 def test_correlations(spark, frame):
     df = spark.createDataFrame(frame)
     want = frame[["skewed", "hot", "ints", "gaps"]].corr()

@@ -117,6 +117,17 @@ def _(t):
     return explain.top_attributions(explain.shapley_attribution(classifier(t), binary(t), "doc_id"))
 
 
+@query("tree_attribution", "N4")
+def _(t):
+    return rounded(explain.tree_attribution(regressor(t), prices(t), "row_id").groupBy("feature").agg(
+        F.avg(F.abs("attribution")).alias("mean_attribution"), F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("f"))).alias("largest")))
+
+
+@query("shapley_walks", "N4")
+def _(t):
+    return explain.top_attributions(explain.shapley_walks(classifier(t), binary(t), "doc_id"))
+
+
 @query("linear_attribution", "N4", """
 WITH m AS (SELECT avg(l_quantity) AS q, regr_slope(l_extendedprice, l_quantity) AS s FROM lineitem)
 SELECT l_quantity AS id, 'l_quantity' AS feature, count(*) AS n, round(any_value(s) * (l_quantity - any_value(q)), 2) AS attribution

@@ -19,6 +19,7 @@ from tablewright.operators.evaluation import classification_metrics, regression_
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.sampling import sample_n
 from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target
+from tablewright.plans.tree_attribution import explain_rows, is_tree_model, tree_paths
 
 
 #: rows of a group inside which permuted values change places
@@ -130,9 +131,27 @@ def partial_dependence(model: TrainedModel, df: DataFrame, key: str, features: l
     return _score(model, rows).groupBy("feature", "value").agg(F.avg("f").alias("mean_prediction"))
 
 
+def tree_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """(id, feature, attribution, f, base): exact Shapley values of a tree model for all rows, or for as many as asked for.
+
+    Absent features follow the training rows' shares. The explained number is the prediction or the last class's probability
+    of a tree or forest, and the raw score of a boosted classifier, in which its trees add up.
+    """
+    paths = tree_paths(model.model, len(model.classes) if model.problem_type == CLASSIFICATION else 0)
+    return explain_rows(_vectors(model, df, key, rows), paths, model.features)
+
+
 def shapley_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int = 10, background: int | None = None,
                         permutations: int = 10, seed: int = 42) -> DataFrame:
-    """(id, feature, attribution, f, base): Monte-Carlo Shapley values by random feature orders.
+    """(id, feature, attribution, f, base): exact for tree models, else Monte-Carlo Shapley values by ``shapley_walks``."""
+    if is_tree_model(model.model):
+        return tree_attribution(model, df, key, rows)
+    return shapley_walks(model, df, key, rows, background, permutations, seed)
+
+
+def shapley_walks(model: TrainedModel, df: DataFrame, key: str, rows: int = 10, background: int | None = None,
+                  permutations: int = 10, seed: int = 42) -> DataFrame:
+    """(id, feature, attribution, f, base): Monte-Carlo Shapley values of any model by random feature orders.
 
     Each (row, background row, order) is a walk from the background row to the row; one step is
     one feature's share: what is scored after it counts for the feature, what is scored before it against it. Every

@@ -124,3 +124,68 @@ def test_release_checks(spark):
     got = {r["check"]: r["status"] for r in checks.collect()}
     assert got["performance_check"] == "FAILED" and got["prediction_distribution_check"] == "WARNING" and got["feature_importance_check"] == "WARNING"
     assert models.overall_status(checks).first()[0] == "FAILED"
+
+
+def brute_force(paths, x, k):
+    """Shapley values by all subsets: a present feature decides its splits, an absent one counts by the shares."""
+    from itertools import combinations
+
+    def value(subset):
+        total = 0.0
+        for p in paths:
+            inside = p.passes(x[None, :])[0]
+            total += p.value * np.prod([inside[i] if f in subset else p.shares[i] for i, f in enumerate(p.features)])
+        return total
+
+    out = np.zeros(k)
+    for f in range(k):
+        rest = [g for g in range(k) if g != f]
+        for m in range(k):
+            for some in combinations(rest, m):
+                weight = math.factorial(m) * math.factorial(k - m - 1) / math.factorial(k)
+                out[f] += weight * (value({*some, f}) - value(set(some)))
+    return out, value(set())
+
+
+@pytest.mark.parametrize("problem,algorithm", [("regression", "random_forest"), ("regression", "gradient_boosting"),
+                                               ("classification", "random_forest"), ("classification", "gradient_boosting")])
+def test_tree_attribution_equals_all_subsets(spark, problem, algorithm):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6))
+    y = x[:, 0] * x[:, 1] + np.where(x[:, 2] > 0, 2.0, 0.0) * x[:, 3] + 0.1 * x[:, 4]
+    pdf = pd.DataFrame(x, columns=list("abcdef")).assign(id=range(400), y=y if problem == "regression" else np.where(y > 0, "up", "down"))
+    df = spark.createDataFrame(pdf).repartition(3)
+    m = models.train(df.drop("id"), "y", problem, algorithm, params={"n_estimators": 4, "max_depth": 5})
+    got = explain.tree_attribution(m, df, "id").collect()
+    assert len(got) == 400 * 6
+    by_row = {}
+    for r in got:
+        by_row.setdefault(r["id"], {})[r["feature"]] = r
+    paths = explain.tree_paths(m.model, 2 if problem == "classification" else 0)
+    vectors = {r["id"]: np.array(r["x"]) for r in explain._vectors(m, df, "id", None).collect()}
+    for i in range(0, 400, 50):
+        want, base = brute_force(paths, vectors[i], 6)
+        assert np.allclose([by_row[i][f]["attribution"] for f in m.features], want, atol=1e-10)
+        assert math.isclose(by_row[i]["a"]["base"], base, abs_tol=1e-10)
+    scored = {r["id"]: r for r in m.score(df, ["id"]).collect()}
+    for i, some in by_row.items():
+        f = some["a"]["f"]
+        assert math.isclose(sum(r["attribution"] for r in some.values()), f - some["a"]["base"], abs_tol=1e-9)
+        if problem == "regression":
+            assert math.isclose(f, scored[i]["prediction"], abs_tol=1e-9)
+        else:
+            p = scored[i]["probability"][1]
+            assert math.isclose(f if algorithm == "random_forest" else 1 / (1 + math.exp(-2 * f)), p, abs_tol=1e-9)
+
+
+def test_paths_by_category_and_single_leaves():
+    from tablewright.plans.tree_attribution import _paths, attributions
+    split = {"featureIndex": 1, "leftCategoriesOrThreshold": [0.0, 2.0], "numCategories": 3}
+    leaf = {"leftChild": -1, "rightChild": -1, "split": None}
+    nodes = {0: {"leftChild": 1, "rightChild": 2, "rawCount": 10, "split": split},
+             1: {**leaf, "rawCount": 6, "prediction": 5.0}, 2: {**leaf, "rawCount": 4, "prediction": 1.0}}
+    values, f, base = attributions(_paths(nodes, 0, 1.0), np.array([[9.0, 2.0], [9.0, 1.0]]))
+    assert f.tolist() == [5.0, 1.0] and math.isclose(base, 3.4) and np.allclose(values, [[0, 1.6], [0, -2.4]])
+    only = _paths({0: {**leaf, "rawCount": 3, "prediction": 7.0}}, 0, 0.5)
+    values, f, base = attributions(only, np.zeros((2, 2)))
+    assert f.tolist() == [3.5, 3.5] and base == 3.5 and not values.any()

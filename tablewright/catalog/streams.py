@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tablewright.catalog.registry import query, rounded
 from tablewright.sources import logs, tables
 from tablewright.streaming import alerts as al
-from tablewright.streaming import detectors, monitoring
-from tablewright.streaming.runner import drain, stream_table
+from tablewright.streaming import delayed, detectors, monitoring
+from tablewright.streaming.runner import drain, marker_stream, stream_table
 
 
 def events(t):
@@ -92,9 +92,12 @@ def _(t):
     return rounded(out.drop("batch"))
 
 
-@query("delayed_ground_truth", "L5", """
+DELAYED = """
 SELECT p.event_id, a.truth FROM (SELECT event_id, ts FROM events WHERE event_type = 'click') p
-LEFT JOIN (SELECT event_id, ts + INTERVAL 2 HOURS AS seen, value AS truth FROM events WHERE value > 10) a USING (event_id)""")
+LEFT JOIN (SELECT event_id, ts + INTERVAL 2 HOURS AS seen, value AS truth FROM events WHERE value > 10) a USING (event_id)"""
+
+
+@query("delayed_ground_truth", "L5", DELAYED)
 def _(t):
     predictions = t.events.where("event_type = 'click'").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     actuals = t.events.where("value > 10").select(
@@ -107,12 +110,12 @@ def monitoring_join(predictions, actuals):
     return monitoring.delayed_ground_truth(predictions, actuals, "event_id", "ts", "seen").select("event_id", "truth")
 
 
-@query("delayed_ground_truth_stream", "L5")
+@query("delayed_ground_truth_stream", "L5", DELAYED)
 def _(t):
-    # inner part and expired outer part of a stream-stream join, as far as the watermark lets them out
     p = events(t).where("event_type = 'click'").select("event_id", "ts")
     a = events(t).where("value > 10").select("event_id", (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("seen"), F.col("value").alias("truth"))
-    return drain(monitoring.delayed_ground_truth(p, a, "event_id", "ts", "seen")).select("event_id", "truth")
+    markers, close = marker_stream(t.spark)
+    return drain(delayed.delayed_truth(p, a, "event_id", "ts", "seen", closing=markers), closing=close).select("event_id", "truth")
 
 
 @query("stream_alert_rules", "L6 U1", """

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.sources import feature_sets, logs, tables
-from tablewright.streaming import detectors, monitoring
+from tablewright.streaming import delayed, detectors, monitoring, runner
 from tablewright.streaming.runner import drain
 
 
@@ -187,3 +187,25 @@ def test_a_rule_with_an_unknown_column_is_passed_over_but_errors_are_raised(spar
     assert [r["rule"] for r in candidates(df, rules).collect()] == ["high"]
     with pytest.raises(AnalysisException):
         candidates(df, [AlertRule("typo", "no_such_function(error_rate) > 1")])
+
+
+def test_delayed_truth_lets_every_prediction_out(spark, folder):
+    start = pd.Timestamp("2024-01-01")
+    p = pd.DataFrame({"k": [1, 2, 3, 4, 5, 5, None, 1], "ts": [start + pd.Timedelta(hours=h) for h in (0, 1, 2, 30, 31, 31, 3)] + [None],
+                      "score": [0.5 + i for i in range(8)]})
+    a = pd.DataFrame({"k": [1, 1, 2, 4, 5, None], "seen": [start + pd.Timedelta(hours=h) for h in (2, 24, 30, 30.5, 54.9, 4)], "truth": [10, 11, 20, 40, 50, 90]})
+    a = pd.concat([a, pd.DataFrame({"k": [4], "seen": [start + pd.Timedelta(hours=29)], "truth": [39]})])  # before its prediction
+
+    def stream(pdf, ddl, name):
+        path = f"{folder}/{name}"
+        rows = [tuple(None if pd.isna(x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in pdf.itertuples(index=False)]
+        for i, part in enumerate((rows[:3], rows[3:])):
+            spark.createDataFrame([(None if r[0] is None else int(r[0]), *r[1:]) for r in part], ddl).coalesce(1).write.mode("append").parquet(path)
+        return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path), spark.read.schema(ddl).parquet(path)
+
+    ps, pb = stream(p, "k bigint, ts timestamp, score double", "p")
+    as_, ab = stream(a, "k bigint, seen timestamp, truth bigint", "a")
+    markers, close = runner.marker_stream(spark)
+    got = drain(delayed.delayed_truth(ps, as_, "k", "ts", "seen", lateness="3 days", closing=markers), closing=close)
+    want = monitoring.delayed_ground_truth(pb, ab, "k", "ts", "seen")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 9

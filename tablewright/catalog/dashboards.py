@@ -180,34 +180,42 @@ ov AS (SELECT count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3
 far AS (SELECT 0 AS i, 'cubed' AS c, pct FROM o UNION ALL SELECT 1, 'value', pct FROM ov),
 r AS (SELECT min(n) / max(n) AS r FROM (SELECT count(*) AS n FROM events GROUP BY event_type)),
 hc AS (SELECT corr(cubed, value) AS r FROM {SQ})
-SELECT 1 AS position, 'success' AS type, 'Data Quality' AS category, 'Excellent Data Quality' AS title, 'no missing values' AS detail
-UNION ALL SELECT 3, 'warning', 'Outliers', 'Outliers Detected', string_agg(c || ' (' || printf('%.1f', pct) || '%)', ', ' ORDER BY i) FROM far WHERE pct > 5 HAVING count(*) > 0
-UNION ALL SELECT 4, CASE WHEN r < 0.3 THEN 'warning' ELSE 'success' END, 'Target Variable',
-  CASE WHEN r < 0.3 THEN 'Class Imbalance Detected' ELSE 'Balanced Classes' END, 'ratio: ' || printf('%.2f', r) FROM r
-UNION ALL SELECT 6, 'info', 'Multicollinearity', 'Highly Correlated Features', '1 pairs: cubed-value' FROM hc WHERE abs(r) > 0.8""")
+SELECT 1 AS position, 'success' AS type, 'completeness' AS category, 'no gaps found' AS title, 'no missing values' AS detail
+FROM (SELECT count(*) AS n, count(value) AS a, count(event_type) AS b, count(event_id) AS c FROM events) WHERE a = n AND b = n AND c = n
+UNION ALL SELECT 3, 'warning', 'extremes', 'columns with many far values', string_agg(c || ' (' || printf('%.1f', pct) || '%)', ', ' ORDER BY i) FROM far WHERE pct > 5 HAVING count(*) > 0
+UNION ALL SELECT 4, CASE WHEN r < 0.3 THEN 'warning' ELSE 'success' END, 'target',
+  CASE WHEN r < 0.3 THEN 'classes of very unequal size' ELSE 'classes of similar size' END, 'ratio: ' || printf('%.2f', r) FROM r
+UNION ALL SELECT 6, 'info', 'redundancy', 'pairs of columns that move together', '1 pairs: cubed-value' FROM hc WHERE abs(r) > 0.8""")
 def _(t):
     v = F.col("value")
     df = t.events.select((v * v * v).alias("cubed"), "value", "event_type", "event_id")
     return rounded(dash.insights(df, prof.profile(df).persist(), "event_type"))
 
 
+LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_COLUMNS = [*LINEITEM_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 @query("insights_numeric_target", "I7 D15", f"""
 WITH c AS ({union_all(f"SELECT '{c}' AS n, abs(corr({c}, l_extendedprice)) AS r FROM lineitem" for c in
-                      ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])})
-SELECT 2 AS position, 'info' AS type, 'Feature Analysis' AS category, 'Top Correlated Features' AS title,
+                      LINEITEM_NUMBERS)})
+SELECT 2 AS position, 'info' AS type, 'target relation' AS category, 'columns that move with the target' AS title,
   string_agg(n, ', ' ORDER BY r DESC) AS detail FROM (SELECT * FROM c ORDER BY r DESC LIMIT 3)
-UNION ALL SELECT 1, 'success', 'Data Quality', 'Excellent Data Quality', 'no missing values'
-UNION ALL SELECT 6, 'info', 'Multicollinearity', 'Highly Correlated Features', '1 pairs: l_quantity-l_extendedprice'
-  FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) WHERE abs(r) > 0.8""")
+UNION ALL SELECT 1, 'success', 'completeness', 'no gaps found', 'no missing values'
+  FROM (SELECT 1) x WHERE (SELECT count(*) FROM lineitem WHERE {" OR ".join(f"{c} IS NULL" for c in LINEITEM_COLUMNS)}) = 0
+UNION ALL SELECT 6, 'info', 'redundancy', 'pairs of columns that move together', count(*) || ' pairs: ' || string_agg(a || '-' || b, ', ' ORDER BY i, j)
+  FROM ({union_all(f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(LINEITEM_NUMBERS)
+                   for j, b in enumerate(LINEITEM_NUMBERS) if i < j)}) WHERE abs(r) > 0.8 HAVING count(*) > 0""")
 def _(t):
     return rounded(dash.insights(t.lineitem, prof.profile(t.lineitem).persist(), "l_extendedprice"))
 
 
 @query("recommendations", "I8", """
-SELECT 2 AS position, 'high' AS priority, 'Model Selection' AS category, 'Binary Classification Task' AS title FROM (SELECT count(*) FROM lineitem)
-UNION ALL SELECT 3, 'medium', 'Feature Engineering', 'Feature Interactions'
-UNION ALL SELECT 1, 'low', 'Performance', 'Large Dataset Optimization' FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 100000
-UNION ALL SELECT 1, 'medium', 'Data Collection', 'Consider More Data' FROM (SELECT count(*) AS n FROM lineitem) WHERE n < 1000""")
+SELECT 2 AS position, 'high' AS priority, 'model' AS category,
+  CASE WHEN n = 2 THEN 'tell two classes apart' ELSE 'tell several classes apart' END AS title FROM (SELECT count(DISTINCT l_linestatus) AS n FROM lineitem)
+UNION ALL SELECT 3, 'medium', 'columns', 'try products of numeric columns'
+UNION ALL SELECT 1, 'low', 'scale', 'more than 100000 rows' FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 100000
+UNION ALL SELECT 1, 'medium', 'sample size', 'fewer than 1000 rows' FROM (SELECT count(*) AS n FROM lineitem) WHERE n < 1000""")
 def _(t):
     return rounded(dash.recommendations(prof.profile(t.lineitem), "l_linestatus"))
 

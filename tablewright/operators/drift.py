@@ -2,6 +2,10 @@
 
 Both frames are tagged and unioned once; every method is a formula over one of three
 small count tables: equal-width bins, category counts, or counts per distinct value.
+
+The last of them (``value_counts``) gives the other two, adds up, and says all there is to say
+about a column, so a reference can be stored in that form once and be tested against again
+and again without being read (``DriftReference``).
 """
 
 from __future__ import annotations
@@ -9,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import (CATEGORICAL, NUMERIC, as_double, is_missing, kind_of, melt, stats_rows)
-from tablewright.functions.pvalues import chi2_tail, kolmogorov_tail, normal_cdf
+from tablewright.functions.columns import (CATEGORICAL, NUMERIC, as_double, is_missing, kind_of, melt, quoted, stats_rows)
+from tablewright.functions.lineage import cut_lineage
+from tablewright.functions.pvalues import chi2_tail, kolmogorov_tail, ks_tail, normal_cdf
 from tablewright.operators.histograms import bin_index
 from tablewright.operators.running import RANGE, ranged_melt, running_totals
 
@@ -134,13 +139,95 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, cols: list[str] | No
     """
     cols = cols or shared_columns(reference, current, NUMERIC)
     both = tagged(reference, current, cols)
-    counted = ranged_melt(both, cols, ["is_ref"]).groupBy("column", RANGE, "value").agg(*_sides())
+    return _ks(ranged_melt(both, cols, ["is_ref"]).groupBy("column", RANGE, "value").agg(*_sides()))
+
+
+def _ks(counted: DataFrame) -> DataFrame:
+    """The statistic from (column, range, value, ref_n, cur_n)."""
     totals = counted.groupBy("column").agg(F.sum("ref_n").alias("n_ref"), F.sum("cur_n").alias("n_cur"))
     running = running_totals(counted, "value", ["ref_n", "cur_n"], ["column"])
     gap = F.abs(F.col("cum_ref_n") / F.col("n_ref") - F.col("cum_cur_n") / F.col("n_cur"))
     return (running.join(F.broadcast(totals), "column").where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
             .groupBy("column", "n_ref", "n_cur").agg(F.max(gap).alias("score"))
-            .withColumn("p_value", kolmogorov_tail(F.col("score"), F.col("n_ref"), F.col("n_cur"))))
+            .withColumn("p_value", ks_tail(F.col("score"), F.col("n_ref"), F.col("n_cur"))))
+
+
+def value_counts(df: DataFrame, numeric: list[str], texts: list[str]) -> DataFrame:
+    """(column, value, text, n): how often each value occurs; one scan, combined before the shuffle."""
+    cells = [F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value"), F.lit(None).cast("string").alias("text")) for c in numeric]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("value"),
+                       F.when(~is_missing(df, c), quoted(c).cast("string")).alias("text")) for c in texts]
+    long = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull() | F.col("text").isNotNull())
+    return long.groupBy("column", "value", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def aligned_counts(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, value, text, ref_n, cur_n) of two tables of value counts, or of several parts of either."""
+    zero = F.lit(0).cast("bigint")
+    both = reference.select("column", "value", "text", F.col("n").alias("ref_n"), zero.alias("cur_n")).unionByName(
+        current.select("column", "value", "text", zero.alias("ref_n"), F.col("n").alias("cur_n")))
+    return both.groupBy("column", "value", "text").agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
+
+
+def _bins_of_counts(numbers: DataFrame, bins: int = 10) -> DataFrame:
+    """``numeric_bins`` from aligned counts of numbers."""
+    spans = numbers.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    place = F.when(F.col("lo") == F.col("hi"), 0).otherwise(bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    counted = numbers.join(F.broadcast(spans), "column").groupBy("column", place.alias("bin")).agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
+    grid = spans.select("column", (F.col("lo") == F.col("hi")).alias("flat"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counted, ["column", "bin"], "left").fillna({"ref_n": 0, "cur_n": 0}).select("column", "bin", "flat", "ref_n", "cur_n")
+
+
+def _ranged_counts(numbers: DataFrame, ranges: int = 64) -> DataFrame:
+    """Distinct values with ranges of about equal depth per column (one row of cut points a column)."""
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = F.broadcast(numbers.groupBy("column").agg(F.percentile_approx("value", probs, F.lit(4 * ranges)).alias("cuts")))
+    return numbers.join(cuts, "column").select("column", "value", "ref_n", "cur_n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias(RANGE))
+
+
+class DriftReference:
+    """A reference kept as value counts in a folder; new parts may be added, every reader merges them."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def store(cls, reference: DataFrame, path: str, columns: list[str] | None = None) -> DriftReference:
+        """Reads the reference once."""
+        kept = [f for f in reference.schema.fields if columns is None or f.name in columns]
+        numeric, texts = ([f.name for f in kept if kind_of(f.dataType) == k] for k in (NUMERIC, CATEGORICAL))
+        out = cls(reference.sparkSession, path)
+        kinds = [(c, NUMERIC) for c in numeric] + [(c, CATEGORICAL) for c in texts]
+        reference.sparkSession.createDataFrame(kinds, "column string, kind string").coalesce(1).write.parquet(f"{out.path}/columns")
+        value_counts(reference, numeric, texts).write.parquet(f"{out.path}/counts")
+        return out
+
+    def add(self, more: DataFrame) -> None:
+        """Counts of further reference rows join those stored."""
+        numeric, texts = self.columns()
+        value_counts(more, numeric, texts).write.mode("append").parquet(f"{self.path}/counts")
+
+    def columns(self) -> tuple[list[str], list[str]]:
+        kinds = [(r["column"], r["kind"]) for r in self.spark.read.parquet(f"{self.path}/columns").collect()]
+        return tuple(sorted(c for c, k in kinds if k == kind) for kind in (NUMERIC, CATEGORICAL))
+
+    def detect(self, current: DataFrame, methods: list[str] | None = None, thresholds: dict[str, float] | None = None) -> DataFrame:
+        """``detect_drift`` of the stored reference and these rows."""
+        numeric, texts = ([c for c in side if c in current.columns] for side in self.columns())
+        stored = self.spark.read.parquet(f"{self.path}/counts").where(F.col("column").isin([*numeric, *texts]))
+        return _report(stored, value_counts(current, numeric, texts), numeric, texts, methods or ["psi", "ks_test"], thresholds)
+
+
+def _report(reference: DataFrame, current: DataFrame, numeric: list[str], texts: list[str], methods: list[str],
+            thresholds: dict[str, float] | None) -> DataFrame:
+    """The drift report from value counts; they are aligned once for all methods."""
+    counts = cut_lineage(aligned_counts(reference, current))
+    numbers = counts.where(F.col("column").isin(numeric) & F.col("value").isNotNull()).drop("text")
+    cats = counts.where(F.col("column").isin(texts)).select("column", F.col("text").alias("value"), "ref_n", "cur_n")
+    sources = {"bins": _bins_of_counts(numbers) if numeric else None, "cats": cats if texts else None,
+               "ks": (lambda: _ks(_ranged_counts(numbers))) if numeric else None, "values": numbers if numeric else None}
+    return _judged(sources, methods, thresholds)
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
@@ -165,9 +252,18 @@ def detect_drift(reference: DataFrame, current: DataFrame, methods: list[str] |
     reported as an error row, as a failed method, not as no drift.
     """
     methods = methods or ["psi", "ks_test"]
-    limits = {**THRESHOLDS, **(thresholds or {})}
     numeric = _kept(reference, current, columns, NUMERIC)
     texts = _kept(reference, current, columns, CATEGORICAL)
+    if set(methods) & set(P_VALUE_METHODS):  # tests look at single values: one table of them serves all methods
+        return _report(value_counts(reference, numeric, texts), value_counts(current, numeric, texts), numeric, texts, methods, thresholds)
+    return _judged({"bins": numeric_bins(reference, current, numeric) if numeric else None,
+                    "cats": category_counts(reference, current, texts) if texts else None}, methods, thresholds)
+
+
+def _judged(sources: dict, methods: list[str], thresholds: dict[str, float] | None) -> DataFrame:
+    """The report of the methods from their count tables."""
+    limits = {**THRESHOLDS, **(thresholds or {})}
+    bins, cats = sources["bins"], sources["cats"]
     parts: list[DataFrame] = []
 
     def add(scored: DataFrame, method: str, error: str | None = None) -> None:
@@ -176,23 +272,20 @@ def detect_drift(reference: DataFrame, current: DataFrame, methods: list[str] |
             (F.col("p_value") if "p_value" in scored.columns else F.lit(None).cast("double")).alias("p_value"),
             F.lit(error).cast("string").alias("error")))
 
-    bins = numeric_bins(reference, current, numeric) if numeric else None
-    cats = category_counts(reference, current, texts) if texts else None
     for method in methods:
         if method in ("psi", "kl_divergence", "js_divergence"):
             for counts, kind in ((bins, NUMERIC), (cats, CATEGORICAL)):
                 if counts is not None:
                     add(divergence(counts, method, kind), method)
         elif method == "ks_test":
-            if numeric:
-                add(ks_two_sample(reference, current, numeric), method)
-            if texts:
+            if bins is not None:
+                add(sources["ks"](), method)
+            if cats is not None:
                 add(cats.select("column").distinct().withColumn("score", F.lit(None).cast("double")), method,
                     "KS test requires numeric data")
         elif method == "chi_square":
-            if numeric:
-                both = tagged(reference, current, numeric)
-                add(chi_square(melt(both, numeric, ["is_ref"]).groupBy("column", "value").agg(*_sides())), method)
+            if bins is not None:
+                add(chi_square(sources["values"]), method)
             if cats is not None:
                 add(chi_square(cats), method)
         else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from tablewright.functions.columns import quoted
-from tablewright.operators.drift import detect_drift
+from tablewright.operators.drift import DriftReference
 
 PERFORMANCE = "model string, accuracy double, precision double, recall double, f1_score double, sample_count bigint"
 
@@ -97,24 +97,24 @@ def sessions(stream: DataFrame, time: str, gap: str, by: list[str], stats: dict[
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *stats))
 
 
-def periodic_drift_check(stream: DataFrame, reference: DataFrame, out: str, checkpoint: str, methods: list[str] | None = None,
+def periodic_drift_check(stream: DataFrame, reference: DataFrame | DriftReference, out: str, checkpoint: str, methods: list[str] | None = None,
                          columns: list[str] | None = None, interval: str | None = None,
                          on_report: Callable[[DataFrame, int], None] | None = None):
     """Starts a query that writes a drift report of every micro-batch against a fixed reference to ``out``.
 
-    ``interval`` is the processing-time trigger; without it all available input is checked once.
+    The reference is read once, into value counts below ``out``; a micro-batch is compared with those. A ``DriftReference``
+    stored before is used as it is. ``interval`` is the processing-time trigger; without it all available input is checked once.
     """
+    kept = reference if isinstance(reference, DriftReference) else DriftReference.store(reference, f"{out}_reference", columns)
+
     def check(batch: DataFrame, i: int) -> None:
-        batch = batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            report = detect_drift(reference, batch, methods, columns).withColumn("batch", F.lit(i))
-            report.write.mode("overwrite").parquet(f"{out}/check={i}")
-            if on_report:
-                on_report(report, i)
-        finally:
-            batch.unpersist()
+        wanted = batch.select(*[c for c in batch.columns if columns is None or c in columns])
+        if wanted.isEmpty():
+            return
+        report = kept.detect(wanted, methods).withColumn("batch", F.lit(i))
+        report.write.mode("overwrite").parquet(f"{out}/check={i}")
+        if on_report:
+            on_report(report, i)
 
     writer = stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

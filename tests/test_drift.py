@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.functions.pvalues import chi2_tail, kolmogorov_tail, upper_gamma
+from tablewright.functions.pvalues import chi2_tail, exact_ks, kolmogorov_tail, upper_gamma
 from tablewright.operators import drift
 
 
@@ -133,3 +133,69 @@ def test_baseline_check(spark, rows_by):
     cur = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=2000), "y": rng.normal(2, 1, 2000), "k": rng.choice(["a", "b"], 2000)}))
     got = rows_by(drift.baseline_check(base, share, cur), "column")
     assert not got["x"]["drift_detected"] and got["y"]["drift_detected"] and not got["k"]["drift_detected"]
+
+
+def test_exact_ks_law_equals_enumeration():
+    from itertools import combinations
+    for n1, n2 in ((1, 1), (3, 3), (4, 6), (5, 7), (8, 8), (8, 3)):
+        seen = {}
+        for where in combinations(range(n1 + n2), n1):
+            i = j = 0
+            top = 0
+            for k in range(n1 + n2):
+                i, j = (i + 1, j) if k in where else (i, j + 1)
+                top = max(top, abs(i * n2 - j * n1))
+            seen[top] = seen.get(top, 0) + 1
+        total = sum(seen.values())
+        for d in seen:
+            want = sum(c for x, c in seen.items() if x >= d) / total
+            assert math.isclose(exact_ks(d / (n1 * n2), n1, n2), want, abs_tol=1e-12)
+    # critical values of the published tables: at most 5 % beyond them, more than 5 % one step before
+    for n, steps in ((5, 5), (10, 7), (20, 9), (30, 11)):
+        assert exact_ks(steps / n, n, n) <= 0.05 < exact_ks((steps - 1) / n, n, n)
+    assert exact_ks(0.0, 5, 5) == 1.0 and 0 < exact_ks(0.02, 9000, 10_000) < 1 and exact_ks(1.0, 200, 300) < 1e-11
+    assert math.isclose(exact_ks(1.5 / math.sqrt(5000), 10_000, 10_000), 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * 2.25) for k in range(1, 20)), rel_tol=0.03)
+
+
+def test_p_values_are_exact_for_small_sides(spark):
+    a = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "x double")
+    b = spark.createDataFrame([(float(x),) for x in (3.5, 5, 6)], "x double")
+    row = drift.ks_two_sample(a, b).first()
+    assert math.isclose(row["score"], 0.75) and math.isclose(row["p_value"], exact_ks(0.75, 4, 3))
+
+
+def test_a_stored_reference_gives_the_batch_report_and_is_read_once(spark, frames, folder):
+    ref, cur = frames
+    methods = list(drift.THRESHOLDS)
+    want = sorted(map(str, drift.detect_drift(ref, cur, methods).collect()))
+    kept = drift.DriftReference.store(ref, f"{folder}/kept")
+    assert sorted(map(str, kept.detect(cur, methods).collect())) == want
+    one, two = ref.randomSplit([0.5, 0.5], seed=3)
+    parts = drift.DriftReference.store(one, f"{folder}/parts")
+    parts.add(two)
+    assert sorted(map(str, parts.detect(cur, methods).collect())) == want
+    # the bins of the method on its own scan agree with those of the counts
+    alone = {(r["column"], r["method"]): r["score"] for r in drift.detect_drift(ref, cur, ["psi", "js_divergence"]).collect()}
+    counted = {(r["column"], r["method"]): r["score"] for r in kept.detect(cur, ["psi", "js_divergence"]).collect()}
+    assert alone.keys() == counted.keys() and all(math.isclose(v, counted[k], abs_tol=1e-12) for k, v in alone.items())
+
+
+def test_micro_batches_do_not_read_the_reference_again(spark, folder):
+    from tablewright.streaming import monitoring
+    rng = np.random.default_rng(2)
+    spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=300)})).write.parquet(f"{folder}/ref")
+    for _ in range(3):
+        spark.createDataFrame(pd.DataFrame({"x": rng.normal(1, 1, size=200)})).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    reference = spark.read.parquet(f"{folder}/ref").mapInArrow(counted, "x double")
+    stream = spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    monitoring.periodic_drift_check(stream, reference, f"{folder}/out", f"{folder}/cp", ["psi", "ks_test"]).awaitTermination()
+    reports = spark.read.parquet(f"{folder}/out")
+    assert reports.select("batch").distinct().count() == 3 and reports.where("drift_detected").count() == 6
+    assert reads.value == 300

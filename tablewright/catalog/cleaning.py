@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.catalog.registry import query, rounded
 from tablewright.catalog.tables import LINEITEM_DUP, LINEITEM_N, union_all
 from tablewright.functions import text
+from tablewright.functions.labels import display_round
 from tablewright.operators import checks, cleaning, summary
 
 KEYS = "l_orderkey, l_linenumber, l_extendedprice"
@@ -315,10 +316,13 @@ def _(t):
     return text.flatten_struct(nested)
 
 
-@query("display_rounding", "H12", "SELECT p_partkey, round(p_retailprice / 7, 2) AS r2, round(p_retailprice / 7, 4) AS r4 FROM part")
+@query("display_rounding", "H12", """
+SELECT p_partkey, round_even(p_retailprice / 7 * 100, 0) / 100 AS r2, round_even(p_retailprice / 7 * 10000, 0) / 10000 AS r4,
+  round_even(p_partkey / 8.0 * 100, 0) / 100 AS ties FROM part""")
 def _(t):
     x = F.col("p_retailprice") / 7
-    return t.part.select("p_partkey", F.round(x, 2).alias("r2"), F.round(x, 4).alias("r4"))
+    return t.part.select("p_partkey", display_round(x, 2).alias("r2"), display_round(x, 4).alias("r4"),
+                         display_round(F.col("p_partkey") / 8, 2).alias("ties"))
 
 
 @query("date_detection", "H9", """

@@ -38,7 +38,7 @@ UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier""")
 def _(t):
     a = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "c_acctbal")
     b = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), "s_acctbal")
-    return tables.union_sources([a, b])
+    return tables.load_many(t.spark, [tables.write(x, tables.scratch_dir(t.spark, name)) for x, name in ((a, "first.parquet"), (b, "second.parquet"))])
 
 
 @query("source_counts", "A6", union_all(f"SELECT '{n}' AS source, count(*) AS n_rows FROM {n}" for n in ("orders", "lineitem", "events")))

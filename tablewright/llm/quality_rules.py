@@ -2,15 +2,18 @@
 
 A text is compressed whole and in fixed chunks. Repetitive text compresses to far fewer bytes than prose of
 its length, noise to far more; what counts as far depends on the length, because short texts hold little to
-refer back to. The ratio keeps falling with the length, so a text of two ``BLOCK`` or more is cut into equal blocks of at
-least ``BLOCK`` bytes, each compressed on its own, and its ratio is that of all blocks together; the band is that of a block's
-length. What repeats across blocks is seen by the base rules, which read the whole text. Base rules on words and repeated eight-word windows come first.
+refer back to. The ratio of whole texts keeps falling slowly, so the floor of the last band falls by ``FALL`` with each doubling
+down to ``LOWEST_FLOOR``. Beside the whole text and the chunks, equal blocks of at least ``BLOCK`` bytes are compressed on their own
+(a shorter text is one block); all blocks together must lie in the band of a block's length, which sees repetition inside
+blocks of texts of any length, while the whole ratio sees what repeats across them. All three hold at every length. Base rules on
+words and repeated eight-word windows come first.
 
 Null and empty texts have no words and fail the base rule. Rows with equal ids are judged one by one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Callable
@@ -44,12 +47,14 @@ WHOLE_BANDS = [
     (32768, 0.391, 0.60),
     (65536, 0.375, 0.60),
 ]
+#: what the floor of the last band loses with each doubling of the length, and where that ends
+FALL, LOWEST_FLOOR = 0.012, 0.345
 CHUNK_BAND = (0.40, 0.70)
 MAX_BAD_CHUNKS = 0.25
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-          "whole_ratio double, n_chunks long, n_bad_chunks long, kept boolean")
+          "whole_ratio double, block_ratio double, n_chunks long, n_bad_chunks long, kept boolean")
 _symbols = re.compile(r"[#*$%&|<>]")
 
 
@@ -76,7 +81,11 @@ def repeated_words(words: list) -> int:
 
 
 def band_of(n_bytes: int, bands: list) -> tuple:
-    return bands[max(0, bisect_right([b[0] for b in bands], n_bytes) - 1)][1:]
+    """Lowest and highest ratio of a text of this length."""
+    start, low, high = bands[max(0, bisect_right([b[0] for b in bands], n_bytes) - 1)]
+    if start == bands[-1][0] and n_bytes > start > 0:
+        low = max(min(low, LOWEST_FLOOR), low - FALL * math.log2(n_bytes / start))
+    return low, high
 
 
 def judge(text: str | None, compress: Callable, bands: list, chunk_band: tuple, max_bad: float) -> tuple:
@@ -87,17 +96,19 @@ def judge(text: str | None, compress: Callable, bands: list, chunk_band: tuple,
     lines = [x for x in data.split(b"\n") if x.strip()]
     repeats = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PCT * len(words)
+    ratio = len(compress(data)) / len(data) if data else 0.0
     n_blocks = max(1, len(data) // BLOCK)
     ends = [len(data) * i // n_blocks for i in range(n_blocks + 1)]
-    ratio = sum(len(compress(data[a:b])) for a, b in zip(ends, ends[1:])) / len(data) if data else 0.0
+    by_block = sum(len(compress(data[a:b])) for a, b in zip(ends, ends[1:])) / len(data) if n_blocks > 1 else ratio
     # equal chunks over the whole text, none shorter than half of the fixed size
     n_chunks = max(1, round(len(data) / CHUNK)) if data else 0
     cuts = [len(data) * i // n_chunks for i in range(n_chunks + 1)] if n_chunks > 1 else []
     bad = sum(not chunk_band[0] <= len(compress(data[a:b])) / (b - a) <= chunk_band[1] for a, b in zip(cuts, cuts[1:]))
-    low, high = band_of(len(data) // n_blocks, bands)
-    kept = not failed and low <= ratio <= high and bad <= max_bad * n_chunks
+    low, high = band_of(len(data), bands)
+    block_low, block_high = band_of(BLOCK if n_blocks > 1 else len(data), bands)
+    kept = not failed and low <= ratio <= high and block_low <= by_block <= block_high and bad <= max_bad * n_chunks
     return (len(words), chars, len(_symbols.findall(text or "")), len(lines) - len(set(lines)), repeats, failed, ratio,
-            n_chunks, bad, kept)
+            by_block, n_chunks, bad, kept)
 
 
 def _judge_of(bands, chunk_band, max_bad):

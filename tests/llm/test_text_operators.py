@@ -77,7 +77,33 @@ def test_quality_rules_keep_long_clean_texts_and_reject_long_noise(spark):
     noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9)) for _ in range(60_000))
     got = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, [*rows, (900, noise), (901, rows[0][1] * 2)])).collect()}
     assert not got[900].kept and not got[901].kept
-    assert [(i, got[i].whole_ratio) for i, _ in rows if not got[i].kept] == []
+    assert [(i, got[i].whole_ratio, got[i].block_ratio) for i, _ in rows if not got[i].kept] == []
+
+
+def test_quality_rules_reject_varied_repeats_across_blocks(spark):
+    # passages of clean text over one block long, one word in seven of each copy replaced, beside the clean text itself
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    texts = {}
+    for r in good.select("doc_id", "lang", "text").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, {})[r.text] = None
+    rows, clean = [], []
+    for lang in ("de", "en", "es", "fr"):
+        mixed = random.Random(1).sample(list(texts[lang]), len(texts[lang]))  # near copies have neighbouring ids
+        words = "\n".join(mixed).split(" ")
+        for size in (66_000, 100_000, 300_000):
+            passage, r = " ".join(words)[:size].split(" "), random.Random(size)
+            clean.append((len(clean), " ".join(passage)))
+            for copies in (2, 5, 16):
+                rows.append((1000 + len(rows), " ".join(r.choice(words) if r.random() < 1 / 7 else w for _ in range(copies) for w in passage)))
+    got = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, rows + clean)).collect()}
+    assert [(i, got[i].whole_ratio) for i, _ in rows if got[i].kept] == []
+    assert sum(not got[i].base_failed and got[i].block_ratio >= 0.375 for i, _ in rows) >= 8  # seen by the whole ratio alone
+    assert [(i, got[i].whole_ratio, got[i].block_ratio) for i, _ in clean if not got[i].kept] == []
+
+
+def test_quality_rules_of_an_empty_table(spark):
+    assert quality_rules.quality_rules(frame(spark, []).limit(0)).count() == 0 and quality_rules.keep_good(frame(spark, []).limit(0)).count() == 0
 
 
 # -- classifiers

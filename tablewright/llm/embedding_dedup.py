@@ -9,11 +9,13 @@ exact. All pairs that meet are verified by cosine in double precision.
 
 Vectors link with vectors of their own length only; every length has its own codebooks and cells.
 
-Equal vectors are one class from the start. Pairs that meet in one cell pair only are counted where they meet, so links
+Equal vectors are one class from the start, with a key of its own: rows that share a vec_id and hold different vectors are
+different vectors, each with its own links, and count as many. A class is ordered by its smallest vec_id, then by that key. Pairs that meet in one cell pair only are counted where they meet, so links
 are summed without writing pairs out. Cells are cut into blocks, the queries of a cell are salted by its measured number
 of visitors, so a cell with a third of all vectors is many tasks.
 
-Null, empty and zero vectors and vectors with null or non-finite components link with nothing. A null vec_id is returned with a null component and no links.
+Null, empty and zero vectors and vectors with null or non-finite components link with nothing; very large and very small
+components neither overflow nor vanish, because vectors are scaled by a power of two first. A null vec_id is returned with a null component and no links.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ ROUNDING = 1e-9
 #: rows that the codebooks are fitted on, shared by the lengths; a length with at most FEW vectors is one cell
 SAMPLE, FEW = 10_000, 64
 MEMBERS, VISITORS = 1024, 2048
-LINKS_ARROW = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+LINKS_ARROW = pa.schema([(n, pa.int64()) for n in ("rep", "key", "links", "root", "root_key")])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; a power of two is taken out first, which changes no digit and keeps squares finite."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -92,7 +96,7 @@ class Index:
 def _links(table: pa.Table, cosine: float) -> pa.Table:
     """Links of one block of members among themselves and with the queries that visit it."""
     vectors = unit(np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()]))
-    reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+    reps, keys, copies = (table.column(n).to_numpy() for n in ("rep", "key", "copies"))
     member, inner = table.column("member").to_numpy(zero_copy_only=False), table.column("inner").to_numpy(zero_copy_only=False)
     m, q = np.flatnonzero(member), np.flatnonzero(~member)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -109,12 +113,12 @@ def _links(table: pa.Table, cosine: float) -> pa.Table:
     left, right = np.concatenate(left), np.concatenate(right)
     n = len(reps)
     links = np.bincount(left, weights=copies[right], minlength=n) + np.bincount(right, weights=copies[left], minlength=n)
-    by_rep = np.argsort(reps, kind="stable")  # so that a root is the smallest id
+    by_rep = np.lexsort((keys, reps))  # so that a root has the smallest id
     back = np.empty(n, np.int64)
     back[by_rep] = np.arange(n)
-    root = reps[by_rep][roots_of(n, back[left], back[right])][back]
+    root = by_rep[roots_of(n, back[left], back[right])][back]
     hit = np.flatnonzero(links)
-    return pa.Table.from_arrays([pa.array(reps[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], schema=LINKS_ARROW)
+    return pa.Table.from_arrays([pa.array(x[hit]) for x in (reps, keys, links.astype(np.int64), reps[root], keys[root])], schema=LINKS_ARROW)
 
 
 def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
@@ -126,7 +130,8 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = F.coalesce((F.col("vec_id").isNotNull()) & (F.size("v") > 0) & good, F.lit(False))
     marked = source.select("vec_id", F.when(usable, F.col("v")).alias("v"))
     classes = cut_lineage(marked.where("v IS NOT NULL").groupBy("v").agg(
-        F.min(F.col("vec_id").cast("long")).alias("rep"), F.count(F.lit(1)).alias("copies")))
+        F.min(F.col("vec_id").cast("long")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("key", F.monotonically_increasing_id()))
     lengths = {r.n: r["count"] for r in classes.groupBy(F.size("v").alias("n")).count().collect()}
     alone = marked.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not lengths:
@@ -136,8 +141,8 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
     drawn: dict[int, list] = {n: [] for n in many}
     if many:
         quota = F.broadcast(source.sparkSession.createDataFrame([(n, lengths[n]) for n in many], "n int, total long"))
-        for r in (classes.withColumn("n", F.size("v")).join(quota, "n").where(F.pmod(F.xxhash64("rep"), "total") < share)
-                  .select("n", "v").orderBy(F.xxhash64("rep"), "rep").collect()):
+        for r in (classes.withColumn("n", F.size("v")).join(quota, "n").where(F.pmod(F.xxhash64("v"), "total") < share)
+                  .select("n", "v").orderBy(F.xxhash64("v"), "rep").collect()):
             drawn[r.n].append(r.v)
 
     def halves(v: np.ndarray) -> np.ndarray:
@@ -158,11 +163,11 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     cell, visits = np.zeros(len(v), np.int64), [np.zeros(0, np.int64)] * len(v)
                 first = n * codewords ** 2  # cells of a length are numbered after those of shorter ones
                 yield pa.RecordBatch.from_arrays([
-                    part.column("rep").cast(pa.int64()), part.column("copies").cast(pa.int64()),
+                    part.column("rep").cast(pa.int64()), part.column("key").cast(pa.int64()), part.column("copies").cast(pa.int64()),
                     pa.array([x.tobytes() for x in v], pa.binary()), pa.array(first + cell, pa.int64()),
-                    pa.array([(first + x).tolist() for x in visits], pa.list_(pa.int64()))], ["rep", "copies", "vector", "cell", "visits"])
+                    pa.array([(first + x).tolist() for x in visits], pa.list_(pa.int64()))], ["rep", "key", "copies", "vector", "cell", "visits"])
 
-    placed = cut_lineage(classes.mapInArrow(place, "rep long, copies long, vector binary, cell long, visits array<long>"))
+    placed = cut_lineage(classes.mapInArrow(place, "rep long, key long, copies long, vector binary, cell long, visits array<long>"))
     # one row for each cell, at most codewords squared for each length: members, visitors, and the blocks and salts that follow
     counts = (placed.select("cell", F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(
         placed.select(F.explode("visits").alias("cell"), F.lit(0).alias("m"), F.lit(1).alias("q")))
@@ -170,8 +175,8 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .select("cell", F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks"),
                 F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("m")) / VISITORS)).cast("int").alias("salts")))
     counts = F.broadcast(counts)
-    row = ["rep", "copies", "vector"]
-    block, salt = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "salts").cast("int")
+    row = ["rep", "key", "copies", "vector"]
+    block, salt = F.pmod(F.xxhash64("key"), "blocks").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "salts").cast("int")
 
     def task(b, s):
         return F.concat_ws("/", "cell", b, s).alias("task")
@@ -185,10 +190,14 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
         "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     queries = [x.select(task("b", "s"), *row, F.lit(False).alias("member"), F.lit(False).alias("inner")) for x in (later, away)]
     work = members.unionByName(queries[0]).unionByName(queries[1])
-    found = cut_lineage(work.groupBy("task").applyInArrow(lambda t: _links(t, cosine), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    per_class = classes.join(links, "rep", "left").join(labels, "rep", "left").select(
+    found = cut_lineage(work.groupBy("task").applyInArrow(
+        lambda t: _links(t, cosine), "rep long, key long, links long, root long, root_key long"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    # nodes are (rep, key), so the smallest node of a component holds its smallest id
+    labels = connected_components(found.select(
+        F.struct("rep", "key").alias("a"), F.struct(F.col("root").alias("rep"), F.col("root_key").alias("key")).alias("b"))).select(
+        F.col("node.key").alias("key"), F.col("component.rep").alias("component"))
+    per_class = classes.join(links, "key", "left").join(labels, "key", "left").select(
         "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = marked.where("v IS NOT NULL").join(per_class, "v").select("vec_id", "n_links", F.col("component_id").cast(kind).alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

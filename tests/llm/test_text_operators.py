@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tablewright.llm.components import connected_components
 from tablewright.llm import (embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules,
                              sentencepiece_bpe, suffix_dedup, toxicity)
 
@@ -313,6 +314,27 @@ def test_linked_vectors_of_uneven_spectra_and_of_every_length(spark):
     assert got == want and min(want.values()) >= 1
 
 
+def test_linked_vectors_of_repeated_ids_and_of_any_magnitude(spark):
+    r = np.random.default_rng(8)
+    a, b, c, d = r.normal(size=(4, 16))
+    near = lambda v: v + 0.01 * r.normal(size=16)
+    vectors = [(1, a), (1, b), (2, near(a)), (3, near(b)), (7, c * 1e300), (9, near(c) * 1e-320 * 1e10), (9, c * 1e300), (5, d), (5, d), (4, near(b))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
+    u = embedding_dedup.unit(np.array([v for _, v in vectors]))
+    near = u @ u.T >= 0.95
+    root = embedding_dedup.roots_of(len(u), *np.nonzero(np.triu(near, 1)))
+    want = [(i, int(near[k].sum()) - 1, min(j for (j, _), x in zip(vectors, root) if x == root[k])) for k, (i, _) in enumerate(vectors)]
+    got = sorted((g.vec_id, g.n_links, g.component_id) for g in embedding_dedup.linked_vectors(df).collect())
+    assert got == sorted(want) and (1, 1, 1) in got and (1, 2, 1) in got
+    assert embedding_dedup.linked_vectors(df.limit(0)).count() == 0
+
+
+def test_components_of_hubs_and_paths(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, 5000) for k in range(400, 900)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {k: 0 for k in range(400)} | {k: 400 for k in [*range(400, 900), 5000]} | {k: 1000 for k in range(1000, 1061)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
 
 def test_suffix_dedup_leaves_other_columns_alone_whatever_their_name(spark):
     shared = prose(31, 40)

@@ -11,13 +11,17 @@ shingles that the document holds must reach the threshold.
 Windows without a shingle of any template cannot reach it and are left out before hashing; that drops no match.
 The templates are a bounded table (at most ``MOST_SHINGLES`` shingles, else an error), which is why they may be broadcast.
 
-Documents without a match give no row. Rows with equal ids are one document, with the largest containment. Null and empty
-texts match nothing.
+A licence may have several templates, and licences that differ in their version are a family: a document reports the template with
+the largest containment of each licence, and of a family only the licences that reach its largest containment, so the notice
+of one version is not reported as another that shares most of its words.
+
+Documents without a match give no row. Rows with equal ids, and rows without an id, are one document with the best template of all
+their texts. Null and empty texts match nothing; so do templates without words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import id_and_text
@@ -26,14 +30,27 @@ WORDS, THRESHOLD, BANDS, MOST_SHINGLES = 5, 0.8, 32, 20_000
 #: windows are at most so many shingles; longer templates are retrieved by pieces of half of that
 LARGEST = 128
 
-# fixed values: usual short notices of licences
+# fixed values: usual short notices, headers and tags of licences
 NOTICES = [
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
      "associated documentation files, to deal in the Software without restriction"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
+     "the License, or (at your option) any later version"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of "
+     "the License, or (at your option) any later version"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -46,6 +63,11 @@ NOTICES = [
 ]
 
 
+def family(license_id: Column) -> Column:
+    """The licence without its version."""
+    return F.regexp_replace(license_id, r"-[0-9.]+$", "")
+
+
 def templates(spark: SparkSession, notices: list | None = None) -> DataFrame:
     return spark.createDataFrame(notices or NOTICES, "license_id string, notice string")
 
@@ -116,26 +138,31 @@ def license_matches(docs: DataFrame, notices: DataFrame, threshold: float = THRE
     shared = F.size(F.array_intersect("held", "shingles"))
     pairs = bands.join(F.broadcast(table), ["size", "width", "band", "minimum"]).select(
         "doc_id", "license_id", shared.alias("n_shared"), F.size("shingles").alias("n_shingles"))
-    return (pairs.where(F.col("n_shared") >= threshold * F.col("n_shingles")).groupBy("doc_id", "license_id")
-            .agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-            .withColumn("containment", F.col("n_shared") / F.col("n_shingles")))
+    match = F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")
+    best = (pairs.where(F.col("n_shared") >= threshold * F.col("n_shingles")).groupBy("doc_id", "license_id")
+            .agg(F.max(match).alias("x")).select("doc_id", "license_id", "x.n_shared", "x.n_shingles", "x.containment"))
+    top = F.max("containment").over(Window.partitionBy("doc_id", family(F.col("license_id"))))
+    return best.withColumn("top", top).where("containment = top").drop("top")
 
 
 def sql(notices: list | None = None) -> str:
     """The same matches without retrieval: every shingle of every template looked up in every document."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in notices or NOTICES)
+    rows = ", ".join(f"({i}, {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(notices or NOTICES))
     words = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     return f"""
-WITH notices(license_id, notice) AS (VALUES {rows}),
-t AS (SELECT license_id, {words.format('notice')} AS w FROM notices),
-ts AS (SELECT license_id, least({WORDS}, len(w)) AS size, w FROM t),
-tsh AS (SELECT DISTINCT license_id, size, array_to_string(w[i:i + size - 1], ' ') AS sh
+WITH notices(no, license_id, notice) AS (VALUES {rows}),
+t AS (SELECT no, license_id, {words.format('notice')} AS w FROM notices),
+ts AS (SELECT no, license_id, least({WORDS}, len(w)) AS size, w FROM t),
+tsh AS (SELECT DISTINCT no, license_id, size, array_to_string(w[i:i + size - 1], ' ') AS sh
   FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM ts)),
 d AS (SELECT doc_id, {words.format('text')} AS w FROM documents WHERE text IS NOT NULL),
 dsh AS (SELECT DISTINCT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS sh FROM (
   SELECT doc_id, size, w, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM tsh))),
-n AS (SELECT license_id, count(*) AS n_shingles FROM tsh GROUP BY license_id)
-SELECT doc_id, license_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
-FROM dsh JOIN tsh USING (size, sh) JOIN n USING (license_id) GROUP BY doc_id, license_id
-HAVING count(*) >= {THRESHOLD} * any_value(n_shingles)"""
+n AS (SELECT no, count(*) AS n_shingles FROM tsh GROUP BY no),
+m AS (SELECT doc_id, no, license_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+  FROM dsh JOIN tsh USING (size, sh) JOIN n USING (no) GROUP BY doc_id, no, license_id
+  HAVING count(*) >= {THRESHOLD} * any_value(n_shingles)),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, license_id ORDER BY containment DESC, n_shared DESC) = 1)
+SELECT doc_id, license_id, n_shared, n_shingles, containment FROM best
+QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, regexp_replace(license_id, '-[0-9.]+$', ''))"""

@@ -353,6 +353,28 @@ def test_license_scan_on_odd_texts(spark):
     assert got == {(1, "MIT"), (2, "reserved")}
 
 
+def test_license_scan_takes_the_best_template_and_version(spark):
+    r = [
+        (1, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        (2, "// SPDX-License-Identifier: MIT"), (3, "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies."),
+        (5, "This work is licensed under the GNU General Public License, version 3."),
+        (6, "Licensed under the GNU General Public License, version 3."),
+        (7, "SPDX-License-Identifier: GPL-2.0 and SPDX-License-Identifier: GPL-3.0"), (None, "All rights reserved."), (None, "SPDX-License-Identifier: MIT")]
+    got = sorted(((x.doc_id, x.license_id, x.containment) for x in license_scan.license_matches(
+        frame(spark, r), license_scan.templates(spark)).collect()), key=str)
+    assert got == sorted([(1, "GPL-3.0", 1.0), (2, "MIT", 1.0), (3, "GPL-2.0", 1.0), (4, "ISC", 1.0), (5, "GPL-3.0", 1.0), (6, "GPL-3.0", 1.0),
+                          (7, "GPL-2.0", 1.0), (7, "GPL-3.0", 1.0), (None, "reserved", 1.0), (None, "MIT", 1.0)], key=str)
+    long = prose(77, 24, 5000).split()  # four of four shingles of one template, twenty-four of thirty of the other
+    two = [("L", " ".join(long[:8])), ("L", " ".join(long + prose(78, 5, 5000).split()))]
+    best = license_scan.license_matches(frame(spark, [(1, " ".join(long))]), license_scan.templates(spark, two)).collect()
+    assert [(x.n_shared, x.n_shingles) for x in best] == [(4, 4)]
+    assert license_scan.license_matches(frame(spark, []).limit(0), license_scan.templates(spark)).count() == 0
+    assert license_scan.license_matches(frame(spark, r), license_scan.templates(spark).limit(0)).count() == 0
+
+
 def test_backoff_on_odd_texts(spark):
     rows = {x.doc_id: x for x in lm_scoring.stupid_backoff(frame(spark, ODD + [(1, "a b a b c"), (2, "")])).collect()}
     assert len(rows) == len({i for i, _ in ODD}) + 2

@@ -74,20 +74,30 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+#: characters that a memory holds for each word of its size; words of ordinary texts stay below
+CHARS_A_WORD = 12
+
+
 class Memory:
-    """What a process has computed for words; it holds at most twice ``size`` words and keeps those in use."""
+    """What a process has computed for words; it keeps those in use. It holds at most twice ``size`` words and twice
+    ``size * CHARS_A_WORD`` characters, and what one call brings: texts without spaces are words of thousands of characters."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.young, self.old, self.chars = size, {}, {}, 0
 
     def missing(self, words) -> list:
         """The words without a value, each once; afterwards all others are in ``young``."""
         young, old = self.young, self.old
         unseen = {w for w in words if w not in young}
-        if len(young) + len(unseen) > self.size and young:
-            self.old, self.young = young, {}
+        if not unseen:
+            return []
+        chars = sum(map(len, unseen))
+        if young and (len(young) + len(unseen) > self.size or self.chars + chars > self.size * CHARS_A_WORD):
+            self.old, self.young, self.chars = young, {}, 0
             young, old = self.young, self.old
             unseen = set(words)
+            chars = sum(map(len, unseen))
+        self.chars += chars
         found = {w: old[w] for w in unseen if w in old}
         young.update(found)
         return [w for w in unseen if w not in found]

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.labelled import training_sample
-from tablewright.llm.shared import held_out, id_and_text, keep_texts, map_texts
+from tablewright.llm.shared import CHARS_A_WORD, held_out, id_and_text, keep_texts, map_texts
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 # one word a window: on the test tables windows of 2 and 3 words gave 5 to 10 times as many false alarms
 WINDOW, EPOCHS, RATE, BATCH = 1, 6, 0.1, 2048
 #: rarely seen word types that take part in learning, and words whose margin a task remembers
 RARE_TYPES, CACHE = 60_000, 400_000
+#: characters whose n-grams are hashed at a time, unless a single word has more
+PART_CHARS = 400_000
 LOWEST = -12.0
 _edges = string.punctuation + "\u2018\u2019\u201c\u201d\u00ab\u00bb"
 
@@ -69,15 +71,23 @@ class Model:
     def scorer(self):
         """A function of a list of texts; it remembers the margins of a bounded number of words."""
         known: dict[str, float] = {}
+        held = [0]  # characters of the known words
 
         def margins(texts: list) -> np.ndarray:
             split = [(t or "").split() for t in texts]
             fresh = list({w for words in split for w in words if w not in known})
-            if len(known) + len(fresh) > CACHE:
+            held[0] += sum(map(len, fresh))
+            if len(known) + len(fresh) > CACHE or held[0] > CACHE * CHARS_A_WORD:
                 known.clear()
                 fresh = list({w for words in split for w in words})
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at:at + 20_000]
+                held[0] = sum(map(len, fresh))
+            at = 0
+            while at < len(fresh):
+                end, chars = at, 0
+                while end < len(fresh) and end < at + 20_000 and (end == at or chars + len(fresh[end]) <= PART_CHARS):
+                    chars += len(fresh[end])
+                    end += 1
+                part, at = fresh[at:end], end
                 known.update(zip(part, self.word_margins(part).tolist()))
             out = np.full(len(texts), LOWEST)
             for k, words in enumerate(split):

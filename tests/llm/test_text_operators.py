@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from tablewright.llm.components import connected_components
+from tablewright.llm.shared import CHARS_A_WORD, Memory
 from tablewright.llm import (embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules,
                              sentencepiece_bpe, suffix_dedup, toxicity)
 
@@ -185,6 +186,26 @@ def test_sentencepiece_equals_the_library(spark):
             len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())
 
 
+def test_what_is_remembered_is_bounded_in_characters():
+    memory = Memory(100)
+    for k in range(200):
+        for w in memory.missing([chr(19968 + k) * 900, "often"]):
+            memory.young[w] = len(w)
+        assert memory.young["often"] == 5
+        assert sum(map(len, [*memory.young, *memory.old])) <= 2 * 100 * CHARS_A_WORD + 2 * 905
+    r = random.Random(12)
+    han = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(5000)) for _ in range(6)] + ["", None, "plain words"]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder(han)] == [tok.encode(t or "", add_special_tokens=False).ids for t in han]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec = sentencepiece_bpe.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    for t in han:
+        ids = library.encode(t or "", add_eos=True)
+        assert codec.digest_parts(t or "") == (len(ids), " ".join(map(str, ids)), library.decode(ids).encode())
+
+
+
 # -- duplicates
 
 def plain_near_duplicates(rows):

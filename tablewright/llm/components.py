@@ -12,13 +12,13 @@ from tablewright.llm.shared import cut_lineage
 SALTS = 64
 
 
-def _with_least(links: DataFrame) -> DataFrame:
-    """``links`` (u, v) with m, the smallest v of each u. The edges of a hub meet in ``SALTS`` groups, never in one:
+def with_least(links: DataFrame) -> DataFrame:
+    """``links`` (u, v and more) with m, the smallest v of each u. The edges of a hub meet in ``SALTS`` groups, never in one:
     a group gives one minimum, and the smallest of at most ``SALTS`` minima goes back to each group."""
     spread = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     parts = spread.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.min("m").alias("m"))
-    return spread.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
+    return spread.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select(*links.columns, "m")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every node first hands its larger neighbours to its smallest one, then its smaller neighbours and itself;
     edges end as stars after about a logarithmic number of rounds. Each round is written to the shared
-    checkpoint folder; only two numbers a round come to the driver. Nodes may be of any type with an order, structs too.
+    checkpoint folder; only two numbers a round come to the driver.
     """
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         state = (n.n, n.h)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        joined = _with_least(large)
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        joined = with_least(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         now = cut_lineage(small.where("u <> v").distinct())
 

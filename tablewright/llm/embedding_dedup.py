@@ -10,7 +10,7 @@ exact. All pairs that meet are verified by cosine in double precision.
 Vectors link with vectors of their own length only; every length has its own codebooks and cells.
 
 Equal vectors are one class from the start, with a key of its own: rows that share a vec_id and hold different vectors are
-different vectors, each with its own links, and count as many. A class is ordered by its smallest vec_id, then by that key. Pairs that meet in one cell pair only are counted where they meet, so links
+different vectors, each with its own links, and count as many; components are found over keys, ids are put in at the end. Pairs that meet in one cell pair only are counted where they meet, so links
 are summed without writing pairs out. Cells are cut into blocks, the queries of a cell are salted by its measured number
 of visitors, so a cell with a third of all vectors is many tasks.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import quoted
-from tablewright.llm.components import connected_components, roots_of
+from tablewright.llm.components import connected_components, roots_of, with_least
 from tablewright.llm.shared import cut_lineage
 
 COSINE, CODEWORDS = 0.95, 16
@@ -35,7 +35,7 @@ ROUNDING = 1e-9
 #: rows that the codebooks are fitted on, shared by the lengths; a length with at most FEW vectors is one cell
 SAMPLE, FEW = 10_000, 64
 MEMBERS, VISITORS = 1024, 2048
-LINKS_ARROW = pa.schema([(n, pa.int64()) for n in ("rep", "key", "links", "root", "root_key")])
+LINKS_ARROW = pa.schema([(n, pa.int64()) for n in ("key", "links", "root")])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -95,8 +95,8 @@ class Index:
 
 def _links(table: pa.Table, cosine: float) -> pa.Table:
     """Links of one block of members among themselves and with the queries that visit it."""
-    vectors = unit(np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()]))
-    reps, keys, copies = (table.column(n).to_numpy() for n in ("rep", "key", "copies"))
+    vectors = np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()])
+    keys, copies = table.column("key").to_numpy(), table.column("copies").to_numpy()
     member, inner = table.column("member").to_numpy(zero_copy_only=False), table.column("inner").to_numpy(zero_copy_only=False)
     m, q = np.flatnonzero(member), np.flatnonzero(~member)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -111,14 +111,11 @@ def _links(table: pa.Table, cosine: float) -> pa.Table:
             left.append(m[at + a[keep]])
             right.append(m[b[keep]])
     left, right = np.concatenate(left), np.concatenate(right)
-    n = len(reps)
+    n = len(keys)
     links = np.bincount(left, weights=copies[right], minlength=n) + np.bincount(right, weights=copies[left], minlength=n)
-    by_rep = np.lexsort((keys, reps))  # so that a root has the smallest id
-    back = np.empty(n, np.int64)
-    back[by_rep] = np.arange(n)
-    root = by_rep[roots_of(n, back[left], back[right])][back]
+    root = keys[roots_of(n, left, right)]
     hit = np.flatnonzero(links)
-    return pa.Table.from_arrays([pa.array(x[hit]) for x in (reps, keys, links.astype(np.int64), reps[root], keys[root])], schema=LINKS_ARROW)
+    return pa.Table.from_arrays([pa.array(x[hit]) for x in (keys, links.astype(np.int64), root)], schema=LINKS_ARROW)
 
 
 def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
@@ -163,11 +160,11 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     cell, visits = np.zeros(len(v), np.int64), [np.zeros(0, np.int64)] * len(v)
                 first = n * codewords ** 2  # cells of a length are numbered after those of shorter ones
                 yield pa.RecordBatch.from_arrays([
-                    part.column("rep").cast(pa.int64()), part.column("key").cast(pa.int64()), part.column("copies").cast(pa.int64()),
-                    pa.array([x.tobytes() for x in v], pa.binary()), pa.array(first + cell, pa.int64()),
-                    pa.array([(first + x).tolist() for x in visits], pa.list_(pa.int64()))], ["rep", "key", "copies", "vector", "cell", "visits"])
+                    part.column("key").cast(pa.int64()), part.column("copies").cast(pa.int64()),
+                    pa.array([x.tobytes() for x in unit(v)], pa.binary()), pa.array(first + cell, pa.int64()),
+                    pa.array([(first + x).tolist() for x in visits], pa.list_(pa.int64()))], ["key", "copies", "vector", "cell", "visits"])
 
-    placed = cut_lineage(classes.mapInArrow(place, "rep long, key long, copies long, vector binary, cell long, visits array<long>"))
+    placed = cut_lineage(classes.drop("rep").mapInArrow(place, "key long, copies long, vector binary, cell long, visits array<long>"))
     # one row for each cell, at most codewords squared for each length: members, visitors, and the blocks and salts that follow
     counts = (placed.select("cell", F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(
         placed.select(F.explode("visits").alias("cell"), F.lit(0).alias("m"), F.lit(1).alias("q")))
@@ -175,7 +172,7 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .select("cell", F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks"),
                 F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("m")) / VISITORS)).cast("int").alias("salts")))
     counts = F.broadcast(counts)
-    row = ["rep", "key", "copies", "vector"]
+    row = ["key", "copies", "vector"]
     block, salt = F.pmod(F.xxhash64("key"), "blocks").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "salts").cast("int")
 
     def task(b, s):
@@ -190,13 +187,12 @@ def linked_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "
         "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     queries = [x.select(task("b", "s"), *row, F.lit(False).alias("member"), F.lit(False).alias("inner")) for x in (later, away)]
     work = members.unionByName(queries[0]).unionByName(queries[1])
-    found = cut_lineage(work.groupBy("task").applyInArrow(
-        lambda t: _links(t, cosine), "rep long, key long, links long, root long, root_key long"))
+    found = cut_lineage(work.groupBy("task").applyInArrow(lambda t: _links(t, cosine), "key long, links long, root long"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    # nodes are (rep, key), so the smallest node of a component holds its smallest id
-    labels = connected_components(found.select(
-        F.struct("rep", "key").alias("a"), F.struct(F.col("root").alias("rep"), F.col("root_key").alias("key")).alias("b"))).select(
-        F.col("node.key").alias("key"), F.col("component.rep").alias("component"))
+    labels = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).join(
+        classes.select(F.col("key").alias("node"), "rep"), "node")
+    labels = with_least(labels.select(F.col("component").alias("u"), F.col("rep").alias("v"), "node")).select(
+        F.col("node").alias("key"), F.col("m").alias("component"))
     per_class = classes.join(links, "key", "left").join(labels, "key", "left").select(
         "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = marked.where("v IS NOT NULL").join(per_class, "v").select("vec_id", "n_links", F.col("component_id").cast(kind).alias("component_id"))

@@ -19,6 +19,8 @@ from tablewright.functions.text import clip, finite, lowercase_strings
 from tablewright.operators.categories import value_counts
 from tablewright.operators.quantiles import exact_quantiles
 
+#: a mapping of at most so many labels and bytes travels to the rows
+SHIPPED_LABELS, SHIPPED_BYTES = 100_000, 16_000_000
 
 
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,6 +103,9 @@ def label_mapping(df: DataFrame, col: str, null_token: str = "nan") -> DataFrame
     Tokens in use: "nan", "NaN", "Unknown", "_MISSING_". The distinct labels are range-sorted
     over the cluster and numbered per partition; the partition sizes (one row each) give the
     offsets. The sorted table is checkpointed, because both uses must see the same partitions.
+
+    A mapping of few labels carries a broadcast hint: joined by a shuffle, rows would gather in as many
+    tasks as there are labels. AQE does not choose it, as few labels leave most shuffle partitions empty.
     """
     text = F.when(is_missing(df, col), F.lit(null_token)).otherwise(quoted(col).cast("string"))
     labels = df.select(text.alias("label")).distinct().orderBy("label")
@@ -109,8 +114,10 @@ def label_mapping(df: DataFrame, col: str, null_token: str = "nan") -> DataFrame
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return placed.join(F.broadcast(offsets), "__part").select(
+    mapping = placed.join(F.broadcast(offsets), "__part").select(
         "label", (F.col("__o") + F.col("__pos")).cast("int").alias("code"))
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("label")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(mapping) if size["n"] <= SHIPPED_LABELS and size["bytes"] <= SHIPPED_BYTES else mapping
 
 
 def label_encode(df: DataFrame, col: str, null_token: str = "nan", mapping: DataFrame | None = None,
@@ -122,7 +129,7 @@ def label_encode(df: DataFrame, col: str, null_token: str = "nan", mapping: Data
     """
     mapping = label_mapping(df, col, null_token) if mapping is None else mapping
     text = F.when(is_missing(df, col), F.lit(null_token)).otherwise(quoted(col).cast("string"))
-    # no hint: the size of the mapping decides at run time (AQE) whether it is broadcast
+    # no hint here: a small mapping brings one, a large one is joined by a shuffle
     joined = df.withColumn("label", text).join(mapping, "label", "left")
     if unseen == "minus_one":
         code = F.coalesce("code", F.lit(-1))

@@ -18,7 +18,7 @@ from tablewright.functions.columns import quoted
 from tablewright.operators.evaluation import classification_metrics, regression_metrics
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.sampling import sample_n
-from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target
+from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target, spread
 from tablewright.plans.tree_attribution import explain_rows, is_tree_model, tree_paths
 
 
@@ -247,9 +247,13 @@ def lime_local(model: TrainedModel, df: DataFrame, key: str, rows: int = 3, feat
 
 def surrogate_tree(model: TrainedModel, df: DataFrame, key: str, depth: int = 4):
     """(tree model, fidelity frame): a small tree fitted to the model's own predictions on all rows."""
-    scored = model.score(df, [key]).select("features", F.col("prediction").alias("label"))
+    def scores(rows: DataFrame) -> DataFrame:
+        return model.score(rows).select("features", F.col("prediction").alias("label"))
+
     tree = (DecisionTreeClassifier if model.problem_type == CLASSIFICATION else DecisionTreeRegressor)(maxDepth=depth, seed=42)
-    fitted = tree.fit(scored)
+    present = [quoted(f) for f in model.features if f in df.columns]
+    fitted = tree.fit(scores(spread(df.select(*present), len(model.features))))
+    scored = scores(df)
     both = fitted.transform(scored).select(F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     if model.problem_type == CLASSIFICATION:
         return fitted, classification_metrics(both).select(F.col("accuracy").alias("fidelity"))

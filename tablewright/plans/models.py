@@ -18,6 +18,8 @@ from tablewright.operators.evaluation import classification_metrics, regression_
 from tablewright.operators.sampling import nested_fractions, train_test_split
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
+#: numbers (rows times features) that one task of a solver holds
+CELLS = 8_000_000
 # fixed values: the names models are asked for by
 ALGORITHMS = {
     (CLASSIFICATION, "logistic"): lambda p: LogisticRegression(maxIter=p.get("max_iter", 100), regParam=p.get("reg_param", 0.0)),
@@ -90,6 +92,16 @@ def encode_target(df: DataFrame, target: str, classes: list[str]) -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in classes]), text) - 1).cast("double")
 
 
+def spread(df: DataFrame, features: int) -> DataFrame:
+    """The rows dealt evenly over tasks of about ``CELLS`` numbers, where there are more of them than the cores' share.
+
+    A solver keeps its rows in the partitions it is given and reads them whole in every pass, so a partition must
+    not grow with the table (a small file may hold many rows).
+    """
+    parts = -(-df.count() * features // CELLS)
+    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def train(df: DataFrame, target: str, problem_type: str, algorithm: str, features: list[str] | None = None,
           params: dict | None = None) -> TrainedModel:
     """Fits encoders, scaling, fills and the model.
@@ -102,7 +114,7 @@ def train(df: DataFrame, target: str, problem_type: str, algorithm: str, feature
     classes = target_labels(df, target) if problem_type == CLASSIFICATION else []
     label = encode_target(df, target, classes) if classes else quoted(target).cast("double")
     labelled = df.select(*[quoted(c) for c in features], label.alias("__label")).where(F.col("__label").isNotNull())
-    encoded = prep.transform(labelled)
+    encoded = prep.transform(spread(labelled, len(features)))
     estimator = ALGORITHMS[problem_type, algorithm](params or {})
     if algorithm == "gradient_boosting" and len(classes) > 2:
         estimator = OneVsRest(classifier=estimator)

@@ -189,3 +189,23 @@ def test_paths_by_category_and_single_leaves():
     only = _paths({0: {**leaf, "rawCount": 3, "prediction": 7.0}}, 0, 0.5)
     values, f, base = attributions(only, np.zeros((2, 2)))
     assert f.tolist() == [3.5, 3.5] and base == 3.5 and not values.any()
+
+
+def test_encoding_leaves_rows_where_they_are(spark):
+    from tablewright.operators import cleaning
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 8000, 1, 8).select("id", F.when(F.col("id") % 10 < 8, "often").otherwise("rare").alias("c"))
+        parts = cleaning.label_encode(df, "c").groupBy(F.spark_partition_id().alias("p"), "c").count().groupBy("p").agg(F.sum("count").alias("n"))
+        assert sorted(r["n"] for r in parts.collect()) == [1000] * 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 2).select("id", (F.col("id") % 7).alias("a"))
+    assert models.spread(df, 2).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(models, "CELLS", 200)
+    wide = models.spread(df, 2)
+    sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 200 and sum(sizes) == 4000

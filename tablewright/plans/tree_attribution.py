@@ -25,6 +25,8 @@ from tablewright.sources.tables import scratch_dir
 
 #: most rows whose patterns are worked on at once
 ROWS = 8192
+#: most features of a path for which the values of all patterns are worked out beforehand
+BITS = 8
 
 
 @dataclass
@@ -39,11 +41,20 @@ class Path:
     value: float
 
     def passes(self, x: np.ndarray) -> np.ndarray:
-        at = x[:, self.features]
-        inside = (at > self.low) & (at <= self.high)
-        for k, kept in self.allowed.items():
-            inside[:, k] = np.isin(at[:, k], list(kept))
-        return inside
+        return np.column_stack([self.passes_one(k, x[:, f]) for k, f in enumerate(self.features)])
+
+    def passes_one(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Which values of the feature at position k of the path it lets pass."""
+        if k in self.allowed:
+            return np.isin(at, list(self.allowed[k]))
+        return (at > self.low[k]) & (at <= self.high[k])
+
+    def codes(self, columns: np.ndarray) -> np.ndarray:
+        """The features that let each row pass, as the bits of a number; ``columns`` is (feature, row)."""
+        out = np.zeros(columns.shape[1], np.int64)
+        for k, f in enumerate(self.features):
+            out |= self.passes_one(k, columns[f]).astype(np.int64) << k
+        return out
 
 
 def _paths(nodes: dict, classes: int, weight: float) -> list[Path]:
@@ -119,26 +130,76 @@ def path_attributions(path: Path, inside: np.ndarray) -> np.ndarray:
 
 def attributions(paths: list[Path], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(row, feature) Shapley values, the explained number of each row, and its mean over the training rows of the paths."""
-    out, f, base = np.zeros(x.shape), np.zeros(len(x)), 0.0
+    columns = np.ascontiguousarray(x.T)
+    out, f, base = np.zeros(columns.shape), np.zeros(len(x)), 0.0
     for path in paths:
         base += path.value * path.shares.prod()
         if not len(path.features):
             f += path.value
             continue
-        inside = path.passes(x)
-        f += path.value * inside.all(1)
         # rows that pass the same features share their values; there are at most 2^D kinds of them
-        kinds, which = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True)
-        kinds = np.unpackbits(kinds, axis=1, count=inside.shape[1]).astype(bool)
-        out[:, path.features] += path_attributions(path, kinds)[which.reshape(-1)]
-    return out, f, base
+        d = len(path.features)
+        which = path.codes(columns)
+        f += path.value * (which == (1 << d) - 1)
+        if d > BITS:
+            kinds, which = np.unique(which, return_inverse=True)
+        else:
+            kinds = np.arange(1 << d)
+        values = path_attributions(path, (kinds[:, None] >> np.arange(d)) & 1 > 0)
+        for k, feature in enumerate(path.features):
+            out[feature] += values[:, k][which]
+    return out.T, f, base
+
+
+def dependence(vectors: DataFrame, paths: list[Path], grids: dict[int, list[float]]) -> dict[int, list[float]] | None:
+    """The mean over all rows of the sum of the paths' leaves, with one feature (a position) set to each value of its grid.
+
+    A leaf is reached under a set value if the value passes and the row passes the path's other features. So one scan
+    counts, for every path, the rows that pass it whole and those that only the feature in question stops; the values of
+    the grid cost nothing more. The counts are of the size of the model. None where there is no row.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(paths)
+
+    def run(batches):
+        paths = shared.value
+        counts, n = [np.zeros(1 + len(p.features), np.int64) for p in paths], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                n += part.num_rows
+                columns = np.ascontiguousarray(
+                    part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).T)
+                for path, found in zip(paths, counts):
+                    which, whole = path.codes(columns), (1 << len(path.features)) - 1
+                    found[0] += np.count_nonzero(which == whole)
+                    for k in range(len(path.features)):
+                        found[k + 1] += np.count_nonzero(which == whole ^ (1 << k))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64()))], ["n", "counts"])
+
+    parts = vectors.select("x").mapInArrow(run, "n bigint, counts array<bigint>")
+    total = parts.agg(F.sum("n")).first()[0] if not paths else None
+    cells = parts.select("n", F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
+    total = cells[0]["n"] if cells else total
+    if not total:
+        return None
+    flat, at = {r["i"]: r["c"] for r in cells}, 0
+    out = {j: np.zeros(len(g)) for j, g in grids.items()}
+    for path in paths:
+        for j, grid in grids.items():
+            where = np.flatnonzero(path.features == j)
+            if len(where):
+                k = int(where[0])
+                out[j] += path.value * path.passes_one(k, np.array(grid)) * ((flat[at] + flat[at + k + 1]) / total)
+            else:
+                out[j] += path.value * (flat[at] / total)
+        at += 1 + len(path.features)
+    return {j: v.tolist() for j, v in out.items()}
 
 
 def explain_rows(vectors: DataFrame, paths: list[Path], features: list[str]) -> DataFrame:
     """(id, feature, attribution, f, base) of every row of (id, x array); attributions of a row add up to f - base."""
     shared = vectors.sparkSession.sparkContext.broadcast(paths)
     kind = vectors.schema["id"].dataType.simpleString()
-    names = pa.array(features, pa.string())
     k = len(features)
 
     def run(batches):
@@ -146,12 +207,15 @@ def explain_rows(vectors: DataFrame, paths: list[Path], features: list[str]) ->
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, k)
-                values, f, base = attributions(paths, x)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id").take(pa.array(np.repeat(np.arange(n), k))), names.take(pa.array(np.tile(np.arange(k), n))),
-                    pa.array(values.reshape(-1)), pa.array(np.repeat(f, k)), pa.array(np.full(n * k, base))],
-                    ["id", "feature", "attribution", "f", "base"])
-
-    return vectors.select("id", "x").mapInArrow(run, f"id {kind}, feature string, attribution double, f double, base double")
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+                values, f, base = attributions(paths, x)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(values.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(f), pa.array(np.full(n, base))],
+                                                 ["id", "values", "f", "base"])
+
+    # a row leaves Python once and is taken apart by Spark
+    rows = vectors.select("id", "x").mapInArrow(run, f"id {kind}, values array<double>, f double, base double")
+    names = F.array(*[F.lit(f) for f in features])
+    return rows.select("id", F.posexplode("values").alias("j", "attribution"), "f", "base").select(
+        "id", F.get(names, F.col("j")).alias("feature"), "attribution", "f", "base")

@@ -19,7 +19,7 @@ from tablewright.operators.evaluation import classification_metrics, regression_
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.sampling import sample_n
 from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target, spread
-from tablewright.plans.tree_attribution import explain_rows, is_tree_model, tree_paths
+from tablewright.plans.tree_attribution import dependence, explain_rows, is_tree_model, tree_paths
 
 
 #: rows of a group inside which permuted values change places
@@ -112,25 +112,40 @@ def partial_dependence(model: TrainedModel, df: DataFrame, key: str, features: l
     """(feature, value, mean_prediction): mean output over the rows with one feature set to each grid value.
 
     The grid spans the 5 % to 95 % quantiles of the encoded feature; where fewer distinct
-    values exist, those are the grid. Features default to the four most important ones.
+    values exist, those are the grid. Features default to the four most important ones. Trees and forests are
+    read once (``dependence``); other models score every row with every value.
     """
     if features is None:
         features = [r["feature"] for r in feature_importance(model, 4).collect()]
     base = _vectors(model, df, key, sample)
     wide = base.select(*[F.get("x", F.lit(model.features.index(f))).alias(f) for f in features])
     ends = {r["column"]: r for r in exact_quantiles(wide, features, {"lo": 0.05, "hi": 0.95}).collect()}
-    cells = []
+    grids = {}
     for f in features:
         # no more than ``points`` values come back; as many mean that the grid is needed
         values = sorted(r[0] for r in wide.select(quoted(f)).distinct().limit(points).collect() if r[0] is not None)
         if len(values) >= points:
             values = np.linspace(ends[f]["lo"], ends[f]["hi"], points).tolist()
-        cells.append(F.struct(F.lit(f).alias("feature"), F.lit(model.features.index(f)).alias("j"), F.array(*[F.lit(float(v)) for v in values]).alias("grid")))
+        grids[f] = [float(v) for v in values]
+    if _adds_up(model) and all(np.isfinite(g).all() for g in grids.values()):
+        paths = tree_paths(model.model, len(model.classes) if model.problem_type == CLASSIFICATION else 0)
+        grids = {model.features.index(f): sorted(set(g)) for f, g in grids.items()}
+        means = dependence(base, paths, grids) or {}
+        rows = [(model.features[j], v, m) for j, found in means.items() for v, m in zip(grids[j], found)]
+        return df.sparkSession.createDataFrame(rows, "feature string, value double, mean_prediction double")
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(model.features.index(f)).alias("j"), F.array(*[F.lit(v) for v in g]).alias("grid"))
+             for f, g in grids.items()]
     copies = (base.select("x", F.inline(F.array(*cells))).select("x", "feature", "j", F.explode("grid").alias("value")))
     rows = copies.withColumn("x", _replaced(F.col("j"), F.col("value")))
     return _score(model, rows).groupBy("feature", "value").agg(F.avg("f").alias("mean_prediction"))
 
 
+def _adds_up(model: TrainedModel) -> bool:
+    """Whether the explained number is a sum over the paths of the model's trees: not the probability of boosting."""
+    return is_tree_model(model.model) and not hasattr(model.model, "models") and (
+        model.problem_type != CLASSIFICATION or not type(model.model).__name__.startswith("GBT"))
+
+
 def tree_attribution(model: TrainedModel, df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """(id, feature, attribution, f, base): exact Shapley values of a tree model for all rows, or for as many as asked for.
 
@@ -164,19 +179,28 @@ def shapley_walks(model: TrainedModel, df: DataFrame, key: str, rows: int = 10,
     explained = _vectors(model, df, key, rows).select("id", "x")
     back = df if background is None else sample_n(df, key, background, seed + 1)
     pairs = _vectors(model, back, key, None).select(F.col("x").alias("z")).crossJoin(F.broadcast(explained))
-    walks = F.explode(F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders]))
-    steps = (pairs.select("id", "x", "z", walks.alias("order"))
-             .select("id", "x", "z", "order", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("step")))
-    mixed = F.transform("x", lambda v, i: F.when(
-        F.array_position(F.col("order"), i) <= F.col("step"), v).otherwise(F.get(F.col("z"), i)))
-    scored = _score(model, steps.select("id", "order", "step", mixed.alias("x")))
+    # what is scored depends on the set of features taken from the row only: each set once, however many walks pass it
+    sets: dict[int, list[list[int]]] = {}
+    for order in orders:
+        for step in range(k + 1):
+            at = sets.setdefault(sum(1 << j for j in order[:step]), [[0, 0] for _ in range(k)])
+            if step:
+                at[order[step - 1]][0] += 1
+            if step < k:
+                at[order[step]][1] += 1
+    everything = (1 << k) - 1
+    moves = F.array(*[F.struct(
+        F.array(*[F.lit(bool(s >> j & 1)) for j in range(k)]).alias("taken"), F.lit(s == 0).alias("none"), F.lit(s == everything).alias("all"),
+        F.array(*[F.struct(F.lit(j).alias("j"), F.lit(a).alias("after"), F.lit(b).alias("before")) for j, (a, b) in enumerate(at) if a or b])
+        .alias("steps")) for s, at in sorted(sets.items())])
+    mixed = F.transform("x", lambda v, i: F.when(F.get("taken", i), v).otherwise(F.get(F.col("z"), i)))
+    steps = pairs.select("id", "x", "z", F.inline(moves)).select("id", "none", "all", "steps", mixed.alias("x"))
+    scored = _score(model, steps)
     names = F.array(*[F.lit(f) for f in model.features])
-    sides = F.array(F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1).alias("sign")),
-                    F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1).alias("sign")))
-    moved = scored.select("id", "f", F.inline(sides)).where(F.col("j").isNotNull()).withColumn("feature", F.get(names, F.col("j")))
-    share = F.sum(F.col("sign") * F.col("f")) / F.count_if(F.col("sign") > 0)
-    totals = scored.groupBy("id").agg(F.avg(F.when(F.col("step") == k, F.col("f"))).alias("f"),
-                                      F.avg(F.when(F.col("step") == 0, F.col("f"))).alias("base"))
+    moved = scored.select("id", "f", F.inline("steps")).withColumn("feature", F.get(names, F.col("j")))
+    share = F.sum((F.col("after") - F.col("before")) * F.col("f")) / F.sum("after")
+    totals = scored.groupBy("id").agg(F.avg(F.when(F.col("all"), F.col("f"))).alias("f"),
+                                      F.avg(F.when(F.col("none"), F.col("f"))).alias("base"))
     return (moved.groupBy("id", "feature").agg(share.alias("attribution"))
             .join(F.broadcast(totals), "id"))
 

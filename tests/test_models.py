@@ -209,3 +209,21 @@ def test_training_rows_are_spread(spark, monkeypatch):
     wide = models.spread(df, 2)
     sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 40 and max(sizes) < 200 and sum(sizes) == 4000
+
+
+@pytest.mark.parametrize("target,problem", [("y", "regression"), ("label", "classification")])
+def test_partial_dependence_of_a_forest_scores_no_copies(data, monkeypatch, target, problem):
+    m = models.train(data, target, problem, "random_forest", FEATURES, {"n_estimators": 3, "max_depth": 4})
+    with monkeypatch.context() as patch:
+        patch.setattr(explain, "_adds_up", lambda model: False)
+        want = {(r["feature"], r["value"]): r["mean_prediction"] for r in explain.partial_dependence(m, data, "id", ["a", "kind"], points=7).collect()}
+    monkeypatch.setattr(explain, "_score", None)
+    got = {(r["feature"], r["value"]): r["mean_prediction"] for r in explain.partial_dependence(m, data, "id", ["a", "kind"], points=7).collect()}
+    assert got.keys() == want.keys() and len(got) == 9 and all(math.isclose(v, want[c], abs_tol=1e-9) for c, v in got.items())
+
+
+def test_walks_score_each_set_once(linear, data, monkeypatch):
+    scored, score = [], explain._score
+    monkeypatch.setattr(explain, "_score", lambda model, rows: scored.append(rows.count()) or score(model, rows))
+    explain.shapley_walks(linear, data, "id", rows=1, background=5, permutations=20)
+    assert max(scored) <= 5 * 2 ** 4

@@ -1,85 +1,17 @@
-"""Predictions and the truth that comes later, for every prediction once: a keyed state with event-time timers.
+"""Predictions and the truth that comes later, for every prediction once: a stream-stream outer join that can be closed.
 
-A stream-stream outer join lets a prediction without truth out only when later rows have moved the watermark far enough; the
-last ones stay inside. Here every prediction sets a timer for the end of its wait, and a closing row (``marker_stream``) moves
-the watermark past all of them, so nothing stays behind.
+Such a join lets a prediction without truth out only when later rows have moved the watermark past the end of its wait; the
+last ones would stay inside. A closing row on both sides (``marker_stream``) moves the watermark past all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablewright.functions.columns import quoted
 from tablewright.streaming.detectors import ROCKSDB
 
-JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
-PREDICTION, TRUTH, CLOSING = 0, 1, 2
-#: keys travel as text behind a letter; this one is the null key, which equals nothing
-NO_KEY = ""
-
-
-class LateTruth(StatefulProcessor):
-    """Of one key: waiting predictions (time, matched, body) and truths that a late prediction may still match."""
-
-    def __init__(self, delay: int):
-        self.delay = delay  # microseconds
-        self.waiting_schema = T.StructType.fromDDL("t bigint, matched boolean, body string")
-        self.truth_schema = T.StructType.fromDDL("t bigint, body string")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
-        self.truths = handle.getListState("truths", self.truth_schema)
-
-    def _frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["p", "a"], dtype=object)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting, truths = [tuple(r) for r in self.waiting.get()], [tuple(r) for r in self.truths.get()]
-        out, comparable = [], key[0] != NO_KEY
-        for batch in rows:
-            for side, t, body in zip(batch["side"], batch["t"], batch["body"]):
-                if side == CLOSING:
-                    continue
-                if side == PREDICTION:
-                    met = [b for s, b in truths if comparable and t <= s <= t + self.delay]
-                    out += [(body, b) for b in met]
-                    waiting.append((int(t), bool(met), body))
-                    self.handle.registerTimer((int(t) + self.delay) // 1000 + 1)
-                elif comparable:
-                    for i, (p, _, b) in enumerate(waiting):
-                        if p <= t <= p + self.delay:
-                            out.append((b, body))
-                            waiting[i] = (p, True, b)
-                    truths.append((int(t), body))
-                    self.handle.registerTimer(int(t) // 1000 + 1)
-        self._store(waiting, truths)
-        yield self._frame(out)
-
-    def _store(self, waiting: list, truths: list) -> None:
-        for state, rows in ((self.waiting, waiting), (self.truths, truths)):
-            if rows:
-                state.put(rows)
-            elif state.exists():
-                state.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()]
-        truths = [tuple(r) for r in self.truths.get()]
-        over = [r for r in waiting if r[0] + self.delay < now]
-        self._store([r for r in waiting if r[0] + self.delay >= now], [r for r in truths if r[0] >= now])
-        yield self._frame([(body, None) for _, matched, body in over if not matched])
-
-    def close(self) -> None:
-        pass
-
 
 def delayed_truth(predictions: DataFrame, actuals: DataFrame, key: str, prediction_time: str, actual_time: str, delay_seconds: int = 86_400,
                   lateness: str = "10 minutes", closing: DataFrame | None = None) -> DataFrame:
@@ -87,29 +19,32 @@ def delayed_truth(predictions: DataFrame, actuals: DataFrame, key: str, predicti
     prediction, and one with nulls for a prediction that gets none, when its wait is over or the stream is closed.
 
     ``closing`` is a marker stream. Rows later than the watermark are dropped, as in any event-time operator. A prediction
-    whose key or time is null is given without a truth.
+    whose key or time is null is given without a truth, at once, as it waits for nothing.
     """
     spark = predictions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rest = [c for c in actuals.columns if c != key and c not in predictions.columns]
-
-    def text_key(c):
-        return F.coalesce(F.concat(F.lit("k"), c.cast(predictions.schema[key].dataType).cast("string")), F.lit(NO_KEY)).alias("key")
-
-    def side(df: DataFrame, number: int, time: str, columns: list[str]) -> DataFrame:
-        at = quoted(time).cast("timestamp")
-        return df.where(at.isNotNull()).select(text_key(quoted(key)), F.lit(number).alias("side"), at.alias("at"), F.unix_micros(at).alias("t"),
-                         F.to_json(F.struct(*[quoted(c) for c in columns]), JSON).alias("body"))
-
-    rows = side(predictions, PREDICTION, prediction_time, predictions.columns).unionByName(side(actuals, TRUTH, actual_time, rest or [key]))
-    if closing is not None:
-        rows = rows.unionByName(closing.select(F.lit(NO_KEY).alias("key"), F.lit(CLOSING).alias("side"), "at",
-                                               F.unix_micros("at").alias("t"), F.lit(None).cast("string").alias("body")))
-    found = rows.withWatermark("at", lateness).groupBy("key").transformWithStateInPandas(
-        LateTruth(delay_seconds * 1_000_000), T.StructType.fromDDL("p string, a string"), "append", "EventTime")
-    left = F.from_json("p", predictions.schema, JSON)
-    right = F.from_json("a", T.StructType([actuals.schema[c] for c in rest or [key]]), JSON)
-    out = found.select(left.alias("p"), right.alias("a")).select("p.*", *[F.col("a").getField(c).alias(c) for c in rest])
-    # a prediction without a time waits for nothing and goes straight through
+    kind = predictions.schema[key].dataType
+
+    def side(df: DataFrame, at: str, time: str, same: str, columns: list[str]) -> DataFrame:
+        moment = quoted(time).cast("timestamp")
+        # keys are compared as text of the predictions' type, behind a letter
+        rows = df.where(moment.isNotNull() & quoted(key).cast(kind).isNotNull()).select(
+            F.concat(F.lit("k"), quoted(key).cast(kind).cast("string")).alias(same), moment.alias(at), F.struct(*[quoted(c) for c in columns]).alias(f"{at}_row"))
+        if closing is not None:
+            # a key of its own, and no row
+            rows = rows.unionByName(closing.select(F.lit("").alias(same), F.col("at").alias(at),
+                                                   F.lit(None).cast(rows.schema[f"{at}_row"].dataType).alias(f"{at}_row")))
+        return rows.withWatermark(at, lateness)
+
+    left = side(predictions, "__p", prediction_time, "__pk", predictions.columns)
+    right = side(actuals, "__a", actual_time, "__ak", rest or [key])
+    within = ((F.col("__pk") == F.col("__ak")) & (F.col("__a") >= F.col("__p"))
+              & (F.col("__a") <= F.col("__p") + F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")))
+    # asked of both sides: a filter on one side would move below its watermark and keep the closing row from it
+    real = F.col("__p_row").isNotNull() | F.col("__a_row").isNotNull()
+    out = left.join(right, within, "left_outer").where(real).select(
+        "__p_row.*", *[F.col("__a_row").getField(c).alias(c) for c in rest])
     nothing = [F.lit(None).cast(actuals.schema[c].dataType).alias(c) for c in rest]
-    return out.unionByName(predictions.where(quoted(prediction_time).isNull()).select(*[quoted(c) for c in predictions.columns], *nothing))
+    alone = quoted(prediction_time).cast("timestamp").isNull() | quoted(key).isNull()
+    return out.unionByName(predictions.where(alone).select(*[quoted(c) for c in predictions.columns], *nothing))

@@ -35,9 +35,10 @@ def marker_stream(spark: SparkSession) -> tuple[DataFrame, Callable[[], None]]:
     return spark.readStream.schema("at timestamp").parquet(folder), close
 
 
-def drain(stream: DataFrame, mode: str = "append", timeout: int = 600, closing: Callable[[], None] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", timeout: int | None = None, closing: Callable[[], None] | None = None) -> DataFrame:
     """Processes all available input and returns the stored output.
 
+    ``timeout`` ends a run after so many seconds; without it a run lasts as long as its input needs.
     ``closing`` is called when the input is through; the query then goes on from its checkpoint with what that added.
 
     ``append`` uses the parquet sink; ``update`` and ``complete`` write each micro-batch to
@@ -56,7 +57,10 @@ def drain(stream: DataFrame, mode: str = "append", timeout: int = 600, closing:
             query = writer.foreachBatch(
                 lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
         try:
-            if not query.awaitTermination(timeout):
+            # without a timeout the call returns when the query has ended, and raises what failed it
+            if timeout is None:
+                query.awaitTermination()
+            elif not query.awaitTermination(timeout):
                 raise TimeoutError("the stream did not finish")
         finally:
             query.stop()

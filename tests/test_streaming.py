@@ -209,3 +209,8 @@ def test_delayed_truth_lets_every_prediction_out(spark, folder):
     got = drain(delayed.delayed_truth(ps, as_, "k", "ts", "seen", lateness="3 days", closing=markers), closing=close)
     want = monitoring.delayed_ground_truth(pb, ab, "k", "ts", "seen")
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 9
+
+
+def test_a_drain_has_no_time_limit_of_its_own():
+    import inspect
+    assert inspect.signature(drain).parameters["timeout"].default is None

@@ -4,9 +4,11 @@ distributed transform, and aggregates. All rows take part unless the caller asks
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -24,6 +26,8 @@ from tablewright.plans.tree_attribution import dependence, explain_rows, is_tree
 
 #: rows of a group inside which permuted values change places
 GROUP = 1000
+#: groups, and places (rows times shuffles), of a block of rows that one task holds
+BLOCK, BLOCK_PLACES = 64, 5_000_000
 
 
 def feature_importance(model: TrainedModel, top: int = 15) -> DataFrame:
@@ -73,25 +77,64 @@ def _replaced(position: Column, value: Column) -> Column:
     return F.transform("x", lambda v, i: F.when(i == position, value).otherwise(v))
 
 
+def _exchange(k: int, shuffles: int, most: int) -> Callable:
+    """Copies (g, label, x) of a task's rows, which come in the order of their ids, for every shuffle g.
+
+    In copy g feature g mod k comes from the row that has the same rank in the same group in the order of ``h``. Only a
+    great many equal rows make a task hold more than ``most``; it then takes them in several parts.
+    """
+    schema = pa.schema([("g", pa.int32()), ("label", pa.float64()), ("x", pa.list_(pa.float64()))])
+
+    def copies(rows: pa.Table):
+        n = rows.num_rows
+        label, x, b, h = (rows.column(c).combine_chunks() for c in ("label", "x", "b", "h"))
+        x, b, h = (c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in (x, b, h))
+        ends = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+        for g in range(shuffles):
+            here, there = np.argsort(b[:, g], kind="stable"), np.lexsort((h[:, g], b[:, g]))
+            moved = x.copy()
+            moved[here, g % k] = x[there, g % k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, g, np.int32)), label, pa.ListArray.from_arrays(ends, pa.array(moved.ravel()))], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if n and n + batch.num_rows > most:
+                yield from copies(pa.Table.from_batches(held))
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from copies(pa.Table.from_batches(held))
+
+    return run
+
+
 def permutation_importance(model: TrainedModel, df: DataFrame, key: str, repeats: int = 10, sample: int | None = None,
                            top: int = 15, seed: int = 42) -> DataFrame:
     """(feature, importance, std): loss of accuracy or R² when one feature is shuffled.
 
-    Rows are dealt by hash into groups of about ``GROUP`` rows, anew for every feature and repeat; inside a group
-    row and donor are paired by their ranks in two orders, so a window holds one group however many rows
-    there are. All features and repeats are scored in one transform.
+    Rows are dealt by hash into blocks of at most about ``BLOCK`` groups, in the only shuffle of rows. Inside a block they
+    are dealt into groups of about ``GROUP`` rows, anew for every feature and repeat; inside a group row and donor are
+    paired by their ranks in two orders. The copies are made where the block is, scored and added up without leaving
+    the task, so what is shuffled does not grow with features and repeats.
     """
     base = _vectors(model, df, key, sample).where(F.col("label").isNotNull())
     k = len(model.features)
-    groups = max(1, base.count() // GROUP)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(k * repeats - 1)))
-    copies = base.select("id", "label", "x", grid.alias("g")).withColumn("j", (F.col("g") % k).cast("int")).withColumn(
-        "b", F.pmod(F.xxhash64("id", "g", F.lit(seed + 1)), F.lit(groups)))
-    here = F.row_number().over(W.partitionBy("g", "b").orderBy("id"))
-    there = F.row_number().over(W.partitionBy("g", "b").orderBy(F.xxhash64("id", "g", F.lit(seed)), "id"))
-    receivers = copies.withColumn("r", here)
-    donors = copies.select("g", "b", there.alias("r"), F.get("x", F.col("j")).alias("donated"))
-    shuffled = receivers.join(donors, ["g", "b", "r"]).withColumn("x", _replaced(F.col("j"), F.col("donated")))
+    n = base.count()
+    groups = max(1, n // GROUP)
+    blocks = max(1, -(-groups // BLOCK), n * k * repeats // BLOCK_PLACES)
+    groups = max(1, groups // blocks)
+    # label and x take part, so that a key that repeats does not gather its rows in one block
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "label", "x", F.lit(seed + 2)), F.lit(blocks)).cast("int"))
+    held = dealt.repartitionById(blocks, "block").sortWithinPartitions("id", F.xxhash64("label", "x"))
+    grid = F.sequence(F.lit(0), F.lit(k * repeats - 1))
+    placed = held.select(
+        "label", "x", F.transform(grid, lambda g: F.pmod(F.xxhash64("id", g, F.lit(seed + 1)), F.lit(groups))).alias("b"),
+        F.transform(grid, lambda g: F.xxhash64("id", g, F.lit(seed))).alias("h"))
+    exchange = _exchange(k, k * repeats, 2 * (n // blocks + GROUP))
+    shuffled = placed.mapInArrow(exchange, "g int, label double, x array<double>").withColumn("j", (F.col("g") % k).cast("int"))
     scored = _score(model, shuffled.select("g", "j", "label", "x")).select("g", "j", F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     plain = _score(model, base.select("label", "x")).select(F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     if model.problem_type == CLASSIFICATION:

@@ -227,3 +227,42 @@ def test_walks_score_each_set_once(linear, data, monkeypatch):
     monkeypatch.setattr(explain, "_score", lambda model, rows: scored.append(rows.count()) or score(model, rows))
     explain.shapley_walks(linear, data, "id", rows=1, background=5, permutations=20)
     assert max(scored) <= 5 * 2 ** 4
+
+
+def test_permutation_shuffles_rows_once(linear, data, monkeypatch, capsys):
+    monkeypatch.setattr(explain, "GROUP", 50)
+    monkeypatch.setattr(explain, "BLOCK", 3)
+    moved, score = [], explain._score
+    monkeypatch.setattr(explain, "_score", lambda model, rows: moved.append(rows) or score(model, rows))
+    twice = data.unionByName(data.withColumn("y", F.col("y") + 1))  # each key comes twice
+    explain.permutation_importance(linear, twice, "id", repeats=2).explain()
+    plan = capsys.readouterr().out
+    # copies are neither ranked by windows nor joined: they are made above the shuffle of rows
+    assert "row_number" not in plan and "MapInArrow" in plan
+    plain = explain._vectors(linear, twice, "id", None).toPandas()
+    got = moved[0].toPandas()
+    assert len(got) == 8 * 1200
+    for g, part in got.groupby("g"):
+        x, was = np.array(part["x"].tolist()), np.array(plain["x"].tolist())
+        rest = [i for i in range(4) if i != g % 4]
+        assert sorted(x[:, g % 4]) == sorted(was[:, g % 4])
+        assert sorted(map(tuple, np.c_[x[:, rest], part["label"]])) == sorted(map(tuple, np.c_[was[:, rest], plain["label"]]))
+        if g % 4 < 3:
+            known = {tuple(v) for v in np.c_[was, plain["label"]]}
+            assert np.mean([tuple(v) in known for v in np.c_[x, part["label"]]]) < 0.1
+
+
+def test_permutation_pairs_by_ranks(linear, data, monkeypatch):
+    monkeypatch.setattr(explain, "GROUP", 50)
+    moved, score = [], explain._score
+    monkeypatch.setattr(explain, "_score", lambda model, rows: moved.append(rows) or score(model, rows))
+    explain.permutation_importance(linear, data, "id", repeats=2, seed=5)
+    g = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    ranked = explain._vectors(linear, data, "id", None).select("id", "x", g.alias("g")).select(
+        "*", F.pmod(F.xxhash64("id", "g", F.lit(6)), F.lit(12)).alias("b"), F.xxhash64("id", "g", F.lit(5)).alias("h")).toPandas()
+    want = set()
+    for (g, _), part in ranked.groupby(["g", "b"]):
+        x = np.array(part.sort_values("id")["x"].tolist())
+        x[:, g % 4] = np.array(part.sort_values("h")["x"].tolist())[:, g % 4]
+        want |= {(g, *v) for v in x}
+    assert {(r["g"], *r["x"]) for r in moved[0].collect()} == want

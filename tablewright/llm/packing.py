@@ -12,7 +12,6 @@ Null and empty texts hold the end id only. Rows with equal ids are packed as sep
 from __future__ import annotations
 
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,22 +24,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from tablewright.llm.shared import Memory, id_and_text, slices
+from tablewright.llm.shared import id_and_text, slices
 
 CAPACITY, END_ID = 1024, 0
-CACHE = 300_000
 SCHEMA = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 #: sequence ids of a task begin at its partition number times this
 TASK_STRIDE = 1 << 40
 
 
 class WordEncoder:
-    """Token ids, as little-endian 32-bit bytes, by words that the process has met before.
+    """Token ids of texts, as little-endian 32-bit bytes.
 
-    A single space before a non-space always begins a new pre-token under this vocabulary's rule, and so does a full
-    stop or comma after letters, so a text may be cut there and its parts encoded one by one. Texts with a run of
-    spaces, a space at the end or a special token are encoded whole. The vocabulary's ids are its merge order, so
-    new words go through the faster of the two libraries that apply it.
+    The vocabulary's ids are its merge order, so texts go through the faster of the two libraries that apply it. It knows
+    no special tokens, and its pattern fails on runs of some hundred thousand blanks: such texts go through the other.
     """
 
     def __init__(self, path: str):
@@ -53,43 +49,27 @@ class WordEncoder:
         byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in self.special}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words, self.stems = Memory(CACHE), Memory(CACHE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, fresh: list[str]) -> None:
-        cut = [(w, w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, w, "") for w in fresh]
-        encode, stems = self.fast.encode_ordinary, self.stems
-        new = stems.missing([c[1] for c in cut])
-        known = stems.young
-        for w in new:
-            known[w] = array("I", encode(" " + w)).tobytes()
-        tails = {t: array("I", encode(t)).tobytes() for t in ("", ".", ",")}
-        self.words.young.update((w, known[stem] + tails[tail]) for w, stem, tail in cut)
+    def one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return self.whole(text)
 
     def __call__(self, texts: list) -> list[bytes]:
-        split = []
-        for t in texts:
-            plain = t and "  " not in t and t[-1] != " " and not any(s in t for s in self.special)
-            split.append(t.split(" ") if plain else None)
-        every = set()
-        for words in split:
-            if words:
-                every.update(words[1:])
-        self.learn(self.words.missing(every))
-        out, get = [], self.words.young.__getitem__
-        for t, words in zip(texts, split):
-            if words is None:
-                out.append(self.whole(t) if t else b"")
-            else:
-                out.append((self.whole(words[0]) if words[0] else b"") + b"".join(map(get, words[1:])))
-        return out
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(4)
 def encoder(path: str) -> WordEncoder:
-    """One for the process, so that the tasks of a worker share what it has learned."""
+    """One for the process, so that the tasks of a worker share its tables."""
     return WordEncoder(path)
 
 

@@ -172,6 +172,21 @@ def test_sum_of_squares_step():
     assert sorted(x[0] for x in p.out) == [1, 2] and p.level[6] == 1
 
 
+def test_packing_encodes_whole_texts_without_memory(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, coder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    r = random.Random(4)
+    texts = ["".join(r.choice("abethé's 'll\n\t  ,.12中９\u00a0\u0085\u2028#") for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    texts += ["a" + " " * 3000 + "b", "x\n\n", "two  spaces ", "<|endoftext|> x", "a" * 5000, None, ""]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    seen = []
+    monkeypatch.setattr(coder, "whole", lambda t, whole=coder.whole: seen.append(t) or whole(t))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder(texts)] == want
+    assert seen == ["<|endoftext|> x"]
+    blanks = "a" + "\n" * 2_000_000 + "b"  # more than the pattern of the faster library can take
+    assert np.frombuffer(coder([blanks])[0], "<u4").tolist() == tok.encode(blanks, add_special_tokens=False).ids
+
+
 def test_sentencepiece_equals_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

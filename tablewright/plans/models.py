@@ -19,7 +19,7 @@ from tablewright.operators.sampling import nested_fractions, train_test_split
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 #: numbers (rows times features) that one task of a solver holds
-CELLS = 8_000_000
+CELLS = 1_000_000
 # fixed values: the names models are asked for by
 ALGORITHMS = {
     (CLASSIFICATION, "logistic"): lambda p: LogisticRegression(maxIter=p.get("max_iter", 100), regParam=p.get("reg_param", 0.0)),
@@ -93,13 +93,13 @@ def encode_target(df: DataFrame, target: str, classes: list[str]) -> Column:
 
 
 def spread(df: DataFrame, features: int) -> DataFrame:
-    """The rows dealt evenly over tasks of about ``CELLS`` numbers, where there are more of them than the cores' share.
+    """The rows dealt evenly over tasks of at most about ``CELLS`` numbers, where there are more of them than one task's.
 
     A solver keeps its rows in the partitions it is given and reads them whole in every pass, so a partition must
-    not grow with the table (a small file may hold many rows).
+    not grow with the table (a small file may hold many rows, and one partition most of the rows).
     """
     parts = -(-df.count() * features // CELLS)
-    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
 
 
 def train(df: DataFrame, target: str, problem_type: str, algorithm: str, features: list[str] | None = None,

@@ -266,3 +266,10 @@ def test_permutation_pairs_by_ranks(linear, data, monkeypatch):
         x[:, g % 4] = np.array(part.sort_values("h")["x"].tolist())[:, g % 4]
         want |= {(g, *v) for v in x}
     assert {(r["g"], *r["x"]) for r in moved[0].collect()} == want
+
+
+def test_training_rows_leave_a_full_partition(spark, monkeypatch):
+    monkeypatch.setattr(models, "CELLS", 2000)
+    one = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 7).alias("a"))  # fewer shares than cores
+    sizes = [r["count"] for r in models.spread(one, 2).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 4000

@@ -4,7 +4,8 @@ Counts are a table partitioned by n-gram hash. Documents are dealt into chunks;
 holds once, with its count, to the partition of that n-gram. A partition adds up what all chunks sent and answers each
 chunk with the totals in the order it asked, so the join of totals to the n-grams of the documents moves one
 small number for each distinct n-gram of a chunk. The chunk then looks up every position and sums by document.
-A frequent n-gram is one entry in each chunk, however often it occurs, so no partition runs hot.
+A frequent n-gram is one entry in each chunk, however often it occurs, so no partition runs hot. There are as many chunks as
+the bytes of all texts ask for, however many partitions the input has, so a task's memory does not grow with the corpus.
 
 The score of a word after its context is count(n-gram) / count(context) for the longest n-gram seen at least
 ``min_count`` times, times ``backoff`` for every order left out; at the end of the line count(word) / all words.
@@ -16,6 +17,8 @@ empty and white-space texts have no words: counts 0, sum 0, mean null. Rows with
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,8 +34,10 @@ from tablewright.llm.shared import id_and_text
 #: bigrams, as ``SQL`` has them; ``op10_lm_scoring_trigrams`` scores with ``TRIGRAMS``, as ``SQL_TRIGRAMS`` does
 TRIGRAMS = 3
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
-#: chunks for each partition of the input
-CHUNKS = 2
+#: bytes of text in a chunk, about; what a task holds is some twenty times as much
+CHUNK_BYTES = 12 << 20
+#: characters of a text that are cut into words at once
+PIECE = 1 << 20
 SCHEMA = "n_words long, n_seen long, log_score double, mean_log_score double"
 
 
@@ -42,14 +47,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, piece by piece; a word that goes on in the next piece is kept for it."""
+    rest = b""
+    for at in range(0, len(text or ""), PIECE):
+        piece = rest + text[at:at + PIECE].encode("utf-8", "surrogatepass")
+        words, rest = piece.split(), b""
+        if words and at + PIECE < len(text) and piece.endswith(words[-1]):
+            rest = words.pop()
+        yield words
+
+
+def word_hashes(texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of all texts in order, and the number of words of each text."""
     seen: dict[bytes, int] = {}
     parts, sizes = [], []
     for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").split()
-        sizes.append(len(words))
-        parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
+        n = 0
+        for words in words_of(t):
+            parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+            n += len(words)
+        sizes.append(n)
     table = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
     return table[np.concatenate(parts)] if parts and seen else np.zeros(0, np.uint64), np.array(sizes, np.int64)
 
@@ -66,6 +84,23 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.nda
     return grams
 
 
+def distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all orders, sorted, each once, and how often each occurs."""
+    every = np.concatenate(grams)
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(first, append=len(every)).astype("<u4")
+
+
+def looked_up(grams: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The total of every n-gram in its place, 0 for none; keys are looked up in their order, which needs little memory."""
+    order = np.argsort(grams)
+    out = np.empty(len(grams))
+    out[order] = totals[np.searchsorted(keys, grams[order])]
+    out[grams == 0] = 0
+    return out
+
+
 def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range of hashes begins in sorted keys, and the end."""
     edges = [(i << 64) // buckets for i in range(1, buckets)]
@@ -76,37 +111,47 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, words scored by a full-order n-gram, sum and mean of the log scores (4 and 6 decimals)."""
     source = id_and_text(docs, id_col, text_col)
-    chunks = max(1, CHUNKS * source.rdd.getNumPartitions())
+    size = source.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n
+    chunks = max(1, -(-(size or 0) // CHUNK_BYTES))
     # one exchange: the plan below reads it twice
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     asked = to_arrow_schema(T.StructType.fromDDL("bucket int, chunk int, words long, keys binary, counts binary"))
     answer = to_arrow_schema(T.StructType.fromDDL("chunk int, bucket int, words long, totals binary"))
     out = T.StructType([source.schema["doc_id"]] + T.StructType.fromDDL(SCHEMA).fields)
     arrow = to_arrow_schema(out)
 
     def grams_of(table: pa.Table):
-        words, sizes = word_hashes(table.column("text").to_pylist())
+        words, sizes = word_hashes(t.as_py() for t in table.column("text"))
         return sizes, gram_hashes(words, sizes, order)
 
     def ask(table: pa.Table) -> pa.Table:
         sizes, grams = grams_of(table)
-        keys, counts = np.unique(np.concatenate(grams), return_counts=True)
+        keys, counts = distinct(grams)
+        del grams
         at, chunk = _bounds(keys, chunks), table.column("chunk")[0].as_py()
         pack = zstandard.ZstdCompressor(level=1).compress
-        rows = [(b, chunk, int(sizes.sum()), keys[at[b]:at[b + 1]].tobytes(), pack(counts[at[b]:at[b + 1]].astype("<u4").tobytes()))
-                for b in range(chunks)]
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), asked)], schema=asked)
+        return pa.Table.from_arrays([
+            pa.array(np.arange(chunks), asked.field("bucket").type), pa.array(np.full(chunks, chunk), asked.field("chunk").type),
+            pa.array(np.full(chunks, sizes.sum()), pa.int64()),
+            pa.Array.from_buffers(pa.binary(), chunks, [None, pa.py_buffer((8 * at).astype("<i4")), pa.py_buffer(keys)]),
+            pa.array([pack(counts[at[b]:at[b + 1]].tobytes()) for b in range(chunks)], pa.binary())], schema=asked)
 
     def add_up(table: pa.Table) -> pa.Table:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         keys = [np.frombuffer(k.as_buffer(), "<u8") for k in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(unpack(c), "<u4") for c in table.column("counts").to_pylist()])
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(place, weights=counts, minlength=len(unique)).astype("<u8")[place]
         ends = np.cumsum([len(k) for k in keys])
-        words = pc.sum(table.column("words")).as_py()
-        rows = [(c, b, words, pack(totals[e - len(k):e].tobytes()))
-                for c, b, k, e in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), keys, ends)]
+        keys = np.concatenate(keys)
+        counts = np.concatenate([np.frombuffer(unpack(c.as_py()), "<u4") for c in table.column("counts")])
+        place = np.argsort(keys)
+        keys = keys[place]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        del keys
+        sums = np.add.reduceat(counts[place], first, dtype="<u8") if len(first) else np.zeros(0, "<u8")
+        totals = np.empty(len(place), "<u8")
+        totals[place] = np.repeat(sums, np.diff(first, append=len(place)))
+        words, starts = pc.sum(table.column("words")).as_py(), [0, *ends[:-1].tolist()]
+        rows = [(c.as_py(), b.as_py(), words, pack(totals[s:e].tobytes()))
+                for c, b, s, e in zip(table.column("chunk"), table.column("bucket"), starts, ends.tolist())]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), answer)], schema=answer)
 
     def score(table: pa.Table, totals: pa.Table) -> pa.Table:
@@ -114,11 +159,12 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             return arrow.empty_table()
         sizes, grams = grams_of(table)
         unpack = zstandard.ZstdDecompressor().decompress
-        parts = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist()))
-        every = np.concatenate([np.frombuffer(unpack(p), "<u8") for _, p in parts]).astype(np.float64)
-        place = np.unique(np.concatenate(grams), return_inverse=True)[1].reshape(order, -1)
+        buckets = np.argsort(totals.column("bucket").to_numpy())
+        every = np.concatenate([np.frombuffer(unpack(totals.column("totals")[b].as_py()), "<u8") for b in buckets.tolist()]).astype(np.float64)
+        keys = distinct(grams)[0]
         n_all = totals.column("words")[0].as_py()
-        counts = [np.where(g == 0, 0.0, every[p]) for g, p in zip(grams, place)]
+        counts = [looked_up(grams.pop(0), keys, every) for _ in range(order)]
+        del keys, every
         value = np.log(np.maximum(counts[0], 1)) - np.log(max(n_all, 1))
         for k in range(1, order):
             context = np.ones_like(counts[k])

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -466,6 +467,26 @@ def test_license_scan_takes_the_best_template_and_version(spark):
     assert license_scan.license_matches(frame(spark, r), license_scan.templates(spark).limit(0)).count() == 0
 
 
+def test_backoff_chunks_go_by_bytes_of_text_and_not_by_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000, raising=False)
+    rows = [(i % 40, prose(i, 60, 50)) for i in range(80)]
+    size = sum(len(t) for _, t in rows)
+    found = []
+    for parts in (1, 7):
+        scored = lm_scoring.stupid_backoff(frame(spark, rows, parts))
+        modulus = re.search(r"pmod\(xxhash64\([^)]*\), (\d+)\)", scored._jdf.queryExecution().optimizedPlan().toString())
+        found.append((int(modulus[1]), sorted(map(tuple, scored.collect()))))
+    assert found[0] == found[1] and found[0][0] == -(-size // 2000)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 30, raising=False)
+    assert sorted(map(tuple, lm_scoring.stupid_backoff(frame(spark, rows)).collect())) == found[0][1]
+
+
+def test_words_that_go_on_in_the_next_piece(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 3)
+    for text in ("", "   ", "a", "abcdefgh ij  k\u00e9lm\n nopqr ", " ab cd efghijk", None):
+        assert [w for part in lm_scoring.words_of(text) for w in part] == (text or "").encode().split()
+
+
 def test_backoff_on_odd_texts(spark):
     rows = {x.doc_id: x for x in lm_scoring.stupid_backoff(frame(spark, ODD + [(1, "a b a b c"), (2, "")])).collect()}
     assert len(rows) == len({i for i, _ in ODD}) + 2

@@ -20,6 +20,7 @@ from tablewright.functions.columns import quoted
 from tablewright.operators.evaluation import classification_metrics, regression_metrics
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.sampling import sample_n
+from tablewright.plans.binned_trees import fit_binned
 from tablewright.plans.models import CLASSIFICATION, TrainedModel, encode_target, spread
 from tablewright.plans.tree_attribution import dependence, explain_rows, is_tree_model, tree_paths
 
@@ -317,9 +318,11 @@ def surrogate_tree(model: TrainedModel, df: DataFrame, key: str, depth: int = 4)
     def scores(rows: DataFrame) -> DataFrame:
         return model.score(rows).select("features", F.col("prediction").alias("label"))
 
-    tree = (DecisionTreeClassifier if model.problem_type == CLASSIFICATION else DecisionTreeRegressor)(maxDepth=depth, seed=42)
     present = [quoted(f) for f in model.features if f in df.columns]
-    fitted = tree.fit(scores(spread(df.select(*present), len(model.features))))
+    if model.problem_type == CLASSIFICATION:
+        fitted = DecisionTreeClassifier(maxDepth=depth, seed=42).fit(scores(spread(df.select(*present), len(model.features))))
+    else:
+        fitted = fit_binned(DecisionTreeRegressor(maxDepth=depth, seed=42), df.select(*present), scores, len(model.features))
     scored = scores(df)
     both = fitted.transform(scored).select(F.col("label").alias("actual"), F.col("prediction").alias("pred"))
     if model.problem_type == CLASSIFICATION:

@@ -16,6 +16,7 @@ from tablewright.functions.columns import quoted
 from tablewright.operators.cleaning import Preprocessor, align_to_schema, label_mapping
 from tablewright.operators.evaluation import classification_metrics, regression_metrics
 from tablewright.operators.sampling import nested_fractions, train_test_split
+from tablewright.plans.binned_trees import fit_binned
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 #: numbers (rows times features) that one task of a solver holds
@@ -107,18 +108,22 @@ def train(df: DataFrame, target: str, problem_type: str, algorithm: str, feature
     """Fits encoders, scaling, fills and the model.
 
     Boosting of more than two classes is one-vs-rest. The assembled training set is persisted
-    for the iterations of the solver and spills to disk.
+    for the iterations of the solver and spills to disk; that of boosting for numbers is counted by bins (``fit_binned``).
     """
     features = features or [c for c in df.columns if c != target]
     prep = Preprocessor(None).fit(df.select(*[quoted(c) for c in features]))
     classes = target_labels(df, target) if problem_type == CLASSIFICATION else []
     label = encode_target(df, target, classes) if classes else quoted(target).cast("double")
     labelled = df.select(*[quoted(c) for c in features], label.alias("__label")).where(F.col("__label").isNotNull())
-    encoded = prep.transform(spread(labelled, len(features)))
     estimator = ALGORITHMS[problem_type, algorithm](params or {})
+    out = TrainedModel(None, prep, features, target, problem_type, algorithm, classes)
+    if isinstance(estimator, GBTRegressor):
+        out.model = fit_binned(estimator, labelled, lambda rows: out._assemble(prep.transform(rows)).select(
+            "features", F.col("__label").alias("label")), len(features))
+        return out
+    encoded = prep.transform(spread(labelled, len(features)))
     if algorithm == "gradient_boosting" and len(classes) > 2:
         estimator = OneVsRest(classifier=estimator)
-    out = TrainedModel(None, prep, features, target, problem_type, algorithm, classes)
     ready = out._assemble(encoded).select("features", F.col("__label").alias("label")).persist()
     try:
         out.model = estimator.fit(ready)

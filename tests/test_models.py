@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from tablewright.plans import explain, models
@@ -109,6 +110,35 @@ def test_surrogate(data, spark):
     assert "a" in " ".join(r["rule"] for r in explain.tree_rules(tree, m.features, spark).collect())
 
 
+def test_boosting_over_counted_bins_gives_the_trees_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 4000
+    a, b, c = rng.normal(size=n), rng.integers(0, 9, n).astype(float), rng.exponential(size=n)
+    pdf = pd.DataFrame({"id": range(n), "a": a, "b": b, "c": c, "y": 3 * a + 2 * np.sin(2 * b) + a * c + rng.normal(size=n)})
+    df = spark.createDataFrame(pdf)
+    fitted, fit = [], GBTRegressor._fit
+
+    def counting(self, rows):
+        fitted.append(rows.count())
+        return fit(self, rows)
+
+    monkeypatch.setattr(GBTRegressor, "_fit", counting)
+    names, params = ["a", "b", "c"], {"n_estimators": 5, "max_depth": 3}
+    m = models.train(df, "y", "regression", "gradient_boosting", names, params)
+    ready = m.prepare(df, ["y"]).withColumnRenamed("y", "label")
+    plain = fit(models.ALGORITHMS["regression", "gradient_boosting"](params), ready)
+    both = np.array([(x.prediction, plain.predict(x.features)) for x in m.model.transform(ready).limit(500).collect()])
+    assert np.allclose(both[:, 0], both[:, 1]) and np.allclose(m.model.featureImportances.toArray(), plain.featureImportances.toArray())
+    # the solver's passes go over combinations of bins, whose number does not grow with the rows
+    again = models.train(df.unionByName(df).unionByName(df.withColumn("a", F.col("a") + 1e-9)), "y", "regression", "gradient_boosting", names, params)
+    assert fitted[0] < n and fitted[1] < 1.2 * n and again.model.getNumTrees == 5
+    tree, fidelity = explain.surrogate_tree(m, df, "id")
+    scored = m.score(df).select("features", F.col("prediction").alias("label"))
+    direct = DecisionTreeRegressor(maxDepth=4, seed=42).fit(scored)
+    assert all(math.isclose(tree.predict(x.features), direct.predict(x.features)) for x in scored.limit(300).collect())
+    assert fidelity.first()["fidelity"] > 0.5 and tree.depth == 4
+
+
 def test_learning_curve(data):
     got = models.learning_curve(data.drop("y"), "id", "label", "classification", "logistic", [0.1, 1.0]).collect()
     assert len(got) == 4 and all(0.5 < r["score"] <= 1 for r in got)

@@ -4,7 +4,7 @@ A tree of Spark sees of a feature only the bin between two of its candidate spli
 bins only how many there are and the sum of their labels: their squares add the same to the impurity before and after any
 split. So rows are counted by combination in one aggregate, and the solver's many passes go over combinations, weighted by
 their rows, with the mean label of each. There are no more of them than rows, and never more than the bins to the power
-of the features. Candidate splits are chosen as Spark chooses them, from as many rows as it draws; all rows are counted.
+of the features. Candidate splits are chosen as Spark chooses them, from the rows that it draws; all rows are counted.
 The solver is given numbers of bins; the splits of the fitted trees are put back into the numbers of the features.
 """
 
@@ -23,13 +23,29 @@ from pyspark.sql import functions as F
 DRAWN = 10_000
 
 
-def candidate_splits(values: np.ndarray, most: int) -> list[float]:
-    """At most ``most`` numbers between values that lie next to each other, an equal share of the rows apart."""
-    distinct, counts = np.unique(values, return_counts=True)
+def drawn_rows(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """The rows that a solver of Spark draws for candidate splits, where it is given them in these partitions."""
+    if share >= 1:
+        return rows
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.toJavaRDD().sample(False, share, at), rows._jdf.schema()), spark)
+
+
+def candidate_splits(values: np.ndarray, most: int, expected: float) -> list[float]:
+    """At most ``most`` numbers between values that lie next to each other, an equal share of the ``expected`` values apart.
+
+    As in Spark, values that the sample has fewer of than expected count as zeros.
+    """
+    distinct, counts = np.unique(values[values != 0], return_counts=True)
+    zeros = expected - counts.sum()
+    if zeros > np.finfo(np.float64).eps * max(1, counts.sum()) * 100:
+        at = np.searchsorted(distinct, 0.0)
+        distinct, counts = np.insert(distinct, at, 0.0), np.insert(counts.astype(np.float64), at, zeros)
     with np.errstate(invalid="ignore"):
         between = (distinct[:-1] + distinct[1:]) / 2
     if len(between) > most:
-        kept, stride = [], counts.sum() / (most + 1)
+        kept, stride = [], expected / (most + 1)
         current, target = counts[0], stride
         for i in range(1, len(distinct)):
             before, current = current, current + counts[i]
@@ -66,10 +82,9 @@ def fit_binned(estimator: DecisionTreeRegressor | GBTRegressor, rows: DataFrame,
     n = rows.count()
     most = estimator.getMaxBins()
     share = min(1.0, max(most * most, DRAWN) / max(n, 1))
-    some = rows if share >= 1 else rows.sample(False, share, estimator.getSeed())
-    drawn = ready(some).select(vector_to_array("features").alias("x")).toPandas()["x"]
+    drawn = ready(drawn_rows(rows, share, estimator.getSeed())).select(vector_to_array("features").alias("x")).toPandas()["x"]
     drawn = np.array(drawn.tolist(), np.float64).reshape(-1, features)
-    splits = [candidate_splits(drawn[:, j], max(1, min(most, n)) - 1) for j in range(features)]
+    splits = [candidate_splits(drawn[:, j], max(1, min(most, n)) - 1, share * n) for j in range(features)]
     bins = [bin_of(F.get("x", F.lit(j)), s).cast("double").alias(f"b{j}") for j, s in enumerate(splits)]
     names = [f"b{j}" for j in range(features)]
     x = ready(rows).select(vector_to_array("features").alias("x"), "label")
